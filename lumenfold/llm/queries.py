@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenfold.llm.decontam import op4_decontamination
+from lumenfold.llm.language_crf import op9_language_id
+from lumenfold.llm.licenses import op5_license_scan, op5_sql
+from lumenfold.llm.mixing import op3_source_mixing
+from lumenfold.llm.secret_scan import op8_secret_scan
 from lumenfold.llm.simhash import op6_simhash_dedup
+from lumenfold.llm.token_counts import op7_token_counts
+from lumenfold.llm.url_filter import op1_url_filter
 
 
 def _over(op: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,9 +22,33 @@ def _over(op: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": _over(op1_url_filter, "pages"),
+        "op3_source_mixing": _over(op3_source_mixing, "documents"),
+        "op4_decontamination": _over(op4_decontamination, "documents", "benchmark"),
+        "op5_license_scan": _over(op5_license_scan, "documents"),
         "op6_simhash_dedup": _over(op6_simhash_dedup, "documents"),
+        "op7_token_counts": _over(op7_token_counts, "documents"),
+        "op8_secret_scan": _over(op8_secret_scan, "documents"),
+        "op9_language_id": _over(op9_language_id, "documents"),
     }
 
 
+OP4_SQL = """
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+dw AS (SELECT doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM low),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bwin AS (SELECT DISTINCT item_id, least(len(w), 8) AS n, array_to_string(w[i:i + least(len(w), 8) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS i FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bwin),
+dwin AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+met AS (SELECT doc_id, item_id, dwin.n, i FROM dwin JOIN bwin USING (win) WHERE dwin.n = bwin.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM met GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL, "op5_license_scan": op5_sql()}
