@@ -78,5 +78,5 @@ def mixture(docs: DataFrame, target_entropy: float | None = None, max_repeats: f
 
 
 def op3_source_mixing(docs: DataFrame) -> DataFrame:
-    """Temperature mixing of documents to the smallest exponent that draws no document more than twice over."""
-    return mixture(docs, max_repeats=2.0)
+    """Temperature mixing of documents to the smallest exponent that repeats no source more than 1.25 times."""
+    return mixture(docs, max_repeats=1.25)

@@ -10,6 +10,8 @@ from lumenfold.llm.decontam import op4_decontamination
 from lumenfold.llm.language_crf import op9_language_id
 from lumenfold.llm.licenses import op5_license_scan, op5_sql
 from lumenfold.llm.mixing import op3_source_mixing
+from lumenfold.llm.pii import op10_pii
+from lumenfold.llm.quality import op2_quality_rules
 from lumenfold.llm.secret_scan import op8_secret_scan
 from lumenfold.llm.simhash import op6_simhash_dedup
 from lumenfold.llm.token_counts import op7_token_counts
@@ -23,6 +25,7 @@ def _over(op: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": _over(op1_url_filter, "pages"),
+        "op2_quality_rules": _over(op2_quality_rules, "documents"),
         "op3_source_mixing": _over(op3_source_mixing, "documents"),
         "op4_decontamination": _over(op4_decontamination, "documents", "benchmark"),
         "op5_license_scan": _over(op5_license_scan, "documents"),
@@ -30,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_counts": _over(op7_token_counts, "documents"),
         "op8_secret_scan": _over(op8_secret_scan, "documents"),
         "op9_language_id": _over(op9_language_id, "documents"),
+        "op10_pii": _over(op10_pii, "documents"),
     }
 
 

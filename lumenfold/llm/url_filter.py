@@ -102,5 +102,6 @@ def judged(pages: DataFrame, weights: list[float], rules=RULES) -> DataFrame:
 def op1_url_filter(pages: DataFrame) -> DataFrame:
     """The contract's columns and the score."""
     spark: SparkSession = pages.sparkSession
-    weights = train(spark.createDataFrame(labelled_urls(), "url string, label int"))
+    rows = ", ".join(f"('{url}', {label})" for url, label in labelled_urls())
+    weights = train(spark.sql(f"SELECT * FROM VALUES {rows} AS t(url, label)"))
     return judged(pages.select("page_id", "url"), weights).select("page_id", "host", "path", "rule", "verdict", "score")
