@@ -22,17 +22,20 @@ from lumenfold.llm.common import alnum_words, let, text_of, written
 
 #: Words of the benchmark up to which its vocabulary is broadcast; the index may have ten times as many (some 20 MB).
 BROADCAST_ROWS = 200_000
+#: Words of a document that are joined as one row's block, unless the longest item has more than half as many.
+BLOCK = 512
 #: A token that no text can hold; it carries each document through the join once.
 SENTINEL = "\x00"
 
 
-def _index(documents: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, bool]:
-    """Rows (token, item_id, off, item, w): w is the item's window size. True if they may be broadcast."""
+def _index(documents: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, bool, int]:
+    """Rows (token, item_id, off, item, w): w is the item's window size. True if they may be broadcast. The longest item's words."""
     items = benchmark.select("item_id", alnum_words(text_of()).alias("item")).where(F.size("item") > 0).distinct()
     items = written(items.withColumn("w", F.least(F.size("item"), F.lit(window))), "leak-items")
     vocabulary = items.select(F.explode("item").alias("token")).distinct()
-    seen = documents.select(alnum_words(text_of()).alias("words")).select(F.explode("words").alias("token"))
-    if (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_ROWS:
+    seen = documents.select(alnum_words(text_of()).alias("words")).select(F.explode_outer("words").alias("token"))
+    words, longest = items.agg(F.sum(F.size("item")), F.max(F.size("item"))).first()
+    if (words or 0) <= BROADCAST_ROWS:
         counts = seen.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df"))
     else:
         counts = seen.groupBy("token").agg(F.count("*").alias("df")).join(vocabulary, "token")
@@ -44,9 +47,9 @@ def _index(documents: DataFrame, benchmark: DataFrame, window: int) -> tuple[Dat
     inside = lambda s: F.filter("places", lambda p: (p["off"] >= s) & (p["off"] < s + F.col("w")))
     rarest = lambda places: F.array_min(F.transform(places, lambda p: F.struct(p["df"].alias("df"), p["token"].alias("token"), p["off"].alias("off"))))
     tokens = F.transform(starts, lambda s: let(inside(s), lambda places: F.when(F.size(places) == F.col("w"), rarest(places))))
-    chosen = ranked.select("item_id", "item", "w", F.explode(F.array_distinct(tokens)).alias("p")).where("p IS NOT NULL")
+    chosen = ranked.select("item_id", "item", "w", F.explode_outer(F.array_distinct(tokens)).alias("p")).where("p IS NOT NULL")
     index = written(chosen.select("p.token", "item_id", F.col("p.off").alias("off"), "item", "w"), "leak-index")
-    return index, (index.agg(F.sum(F.size("item") + 8)).first()[0] or 0) <= 10 * BROADCAST_ROWS
+    return index, (index.agg(F.sum(F.size("item") + 8)).first()[0] or 0) <= 10 * BROADCAST_ROWS, longest or 0
 
 
 def _runs(words: Column, pos: Column, item: Column, off: Column, w: Column) -> Column:
@@ -64,22 +67,32 @@ def _runs(words: Column, pos: Column, item: Column, off: Column, w: Column) -> C
 def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8) -> DataFrame:
     """Per row of documents: doc_id, n_words, spans (array of word intervals that are hit, disjoint and in order), items
     (array of item_id, containment: the share of the item's windows that occur under its best alignment)."""
-    index, small = _index(documents, benchmark, window)
+    index, small, longest = _index(documents, benchmark, window)
     docs = documents.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), alnum_words(text_of()).alias("words"))
-    tokens = docs.select("doc_id", "text_hash", "words", F.concat(F.array(F.lit(SENTINEL)), "words").alias("tokens")).select("doc_id", "text_hash", "words", F.posexplode("tokens").alias("pos", "token"))
+    docs = docs.withColumn("n_words", F.size("words").cast("bigint"))
+    # a row of the join carries the words around a block, never those of a whole long text
+    length = max(BLOCK, 2 * longest)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(length)), lambda at: F.struct(
+        at.alias("at"), F.greatest(at - longest, F.lit(0)).alias("base"),
+        F.slice("words", F.greatest(at - longest, F.lit(0)) + 1, F.lit(length) + F.least(at, F.lit(longest)) + longest).alias("around")))
+    docs = docs.select("doc_id", "text_hash", "n_words", blocks.alias("blocks")).select("doc_id", "text_hash", "n_words", F.explode_outer("blocks").alias("block"))
+    own = lambda block: F.slice(block["around"], block["at"] - block["base"] + 1, F.lit(length))
+    # outer explosions, here and above: Spark guards inner ones by a filter that would split each text once more
+    # a lambda here keeps the two explosions in stages of their own, so that one block's rows are buffered at a time
+    tokens = let(F.col("block"), lambda block: F.when(block["at"] == 0, F.array_append(own(block), F.lit(SENTINEL))).otherwise(own(block)))
+    docs = docs.select("doc_id", "text_hash", "n_words", (F.col("block.at") - F.col("block.base")).alias("skip"), F.col("block.base").alias("base"), F.col("block.around").alias("around"), tokens.alias("tokens"))
+    tokens = docs.select("doc_id", "text_hash", "n_words", "skip", "base", "around", F.posexplode_outer("tokens").alias("pos", "token"))
     mark = index.sparkSession.range(1).select(F.lit(SENTINEL).alias("token"), F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("off"), F.lit(None).cast("array<string>").alias("item"), F.lit(0).alias("w"))
     index = index.unionByName(mark)
-    met = tokens.join(F.broadcast(index) if small else index, "token")
-    size = F.size("item")
-    # bounds before the words are looked at: a whole window has to fit around the token
-    fits = F.col("item").isNull() | (F.size("words") >= F.col("w"))
-    met = met.where(fits).select("doc_id", "text_hash", "item_id", F.when(F.col("item").isNull(), 1).otherwise(0).alias("mark"), F.size("words").cast("bigint").alias("n_words"),
-                                 F.when(F.col("item").isNotNull(), _runs(F.col("words"), F.col("pos") - 1, F.col("item"), F.col("off"), F.col("w"))).alias("runs"), (size - F.col("w") + 1).alias("windows"), "w")
-    met = met.where((F.col("mark") == 1) | (F.size("runs") > 0))
+    # length bound: a whole window has to fit into the text
+    met = tokens.join(F.broadcast(index) if small else index, "token").where("n_words >= w")
+    found = F.when(F.col("item").isNotNull(), _runs(F.col("around"), F.col("skip") + F.col("pos"), F.col("item"), F.col("off"), F.col("w")))
+    met = met.select("doc_id", "text_hash", "n_words", "item_id", F.when(F.col("item").isNull(), 1).otherwise(0).alias("mark"), "base", (F.size("item") - F.col("w") + 1).alias("windows"), "w", found.alias("runs"))
     here = F.aggregate("runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] - F.col("w") + 1)
-    met = met.withColumn("containment", F.when(F.col("mark") == 0, here / F.col("windows")))
-    per_item = F.when(F.col("mark") == 0, F.struct("item_id", "containment"))
-    rows = met.groupBy("doc_id", "text_hash").agg(F.sum("mark").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("runs")).alias("runs"), F.collect_set(per_item).alias("found"))
+    placed = F.when(F.size("runs") > 0, F.transform("runs", lambda r: F.struct((F.col("base") + r["a"]).alias("a"), (F.col("base") + r["b"]).alias("b"))))
+    per_item = F.when(F.size("runs") > 0, F.struct("item_id", (here / F.col("windows")).alias("containment")))
+    met = met.select("doc_id", "text_hash", "n_words", "mark", placed.alias("runs"), per_item.alias("item"))
+    rows = met.groupBy("doc_id", "text_hash").agg(F.sum("mark").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("runs")).alias("runs"), F.collect_set("item").alias("found"))
     ids = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item_id"])))
     items = F.transform(ids, lambda i: F.struct(i.alias("item_id"), F.array_max(F.transform(F.filter("found", lambda f: f["item_id"] == i), lambda f: f["containment"])).alias("containment")))
     merged = F.aggregate(F.array_sort("runs"), F.array().cast("array<struct<a:int,b:int>>"), lambda out, r: F.when(
