@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streaming: evaluation in micro-batches that can stop and start anew."""
