@@ -177,7 +177,7 @@ def held_out() -> F.Column:
 
 def learned(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[str], dict[str, np.ndarray]]:
     """Labels and weights from documents that aren't held out."""
-    usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).where(F.length("text") <= SAMPLE_CHARS)
+    usable = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).where(F.length("text") <= SAMPLE_CHARS)
     counts = usable.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     labels = sorted(r["lang"] for r in counts)
     if not labels:

@@ -4,7 +4,8 @@ Each text becomes a vector of four transformed statistics: log word length, log
 the root of the share of capitals, each smoothed so that short texts don't stand out. Per group of language and source, a
 regularised minimum-covariance-determinant estimate is found by concentration steps from coordinatewise medians and
 quartiles: order by Mahalanobis distance, take the H share of smallest distance, re-estimate centre and covariance. A text
-is rejected if its squared distance is over CUTOFF times the group's scale (median distance over the chi-square median).
+is rejected if its squared distance is over CUTOFF times the group's scale (median distance over the chi-square median, 1 at
+least).
 
 Every step is one pass over the small table of vectors: distances fall into at most BINS logarithmic bins, and counts, sums
 and cross products are aggregated by group and bin before the shuffle, so a group of any size costs its bins. Groups under
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import let, space_words, text_of, written
 
 DIMS = 4
-H, STEPS, CUTOFF, MIN_GROUP, BINS = 0.75, 3, 60.0, 40, 512
+H, STEPS, CUTOFF, MIN_GROUP, BINS = 0.75, 3, 60.0, 40, 1024
 #: Median of the chi-square distribution with DIMS degrees of freedom.
 CHI_MEDIAN = 3.3567
 #: Standard deviation added to each statistic (the regularisation).
 FLOOR = (0.03, 0.1, 0.1, 0.02)
+#: Bins per unit of the logarithm of distance.
+CELLS = 64
 #: Width of the cells in which medians and quartiles are counted.
 CELL = 0.004
 
@@ -51,11 +54,13 @@ def _statistics(text: Column) -> Column:
 
     def of(t: Column) -> Column:
         lines = lambda: F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-        only = lambda kept: F.length(F.regexp_replace(t, f"[^{kept}]+", ""))
-        return let(space_words(t), lambda w: F.struct(
+        only = lambda x, kept: F.length(F.regexp_replace(x, f"[^{kept}]+", ""))
+        # one scan of the text leaves its capitals and marks, from which both and the symbols are counted
+        marks = F.regexp_replace(t, "[^!-/:-`{-~]+", "")
+        return let(space_words(t), lambda w: let(marks, lambda m: F.struct(
             F.size(w).cast("bigint").alias("n_words"), F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-            only("#*$%&|<>").cast("bigint").alias("n_symbols"), let(lines(), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-            _repeated(w).cast("bigint").alias("n_repeat_words"), only("A-Z").alias("n_upper"), only(r"!-/:-@\[-`{-~").alias("n_marks")))
+            only(m, "#*$%&|<>").cast("bigint").alias("n_symbols"), let(lines(), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+            _repeated(w).cast("bigint").alias("n_repeat_words"), only(m, "A-Z").alias("n_upper"), (F.length(m) - only(m, "A-Z")).alias("n_marks"))))
 
     return let(text, of)
 
@@ -85,7 +90,7 @@ def _distance() -> Column:
 
 
 def _cell() -> Column:
-    return F.least(F.floor(16 * F.log1p(_distance())), F.lit(BINS - 1)).cast("int")
+    return F.least(F.floor(CELLS * F.log1p(_distance())), F.lit(BINS - 1)).cast("int")
 
 
 def _factor(df: DataFrame) -> DataFrame:
@@ -137,7 +142,8 @@ def fit(rows: DataFrame) -> DataFrame:
             near = binned.groupBy("estimate").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in binned.columns if c[0] in "sp" and c[1:].isdigit()))
             model = written(groups.join(_factor(near), "estimate", "left"), "mcd-model")
         else:
-            scale = binned.groupBy("estimate").agg((F.expm1((F.max("cell") + 1) / 16.0) / CHI_MEDIAN).alias("scale"))
+            # under 1 the regularisation prevails, and stretching distances would undo it
+            scale = binned.groupBy("estimate").agg(F.greatest(F.lit(1.0), F.expm1((F.max("cell") + 1) / float(CELLS)) / CHI_MEDIAN).alias("scale"))
             model = written(model.join(scale, "estimate", "left"), "mcd-model")
     return model
 
@@ -158,7 +164,7 @@ def quality(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, all columns. Texts are measured once more rather than shuffled to their verdicts."""
     model = fit(written(measured(docs), "mcd-rows"))
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), *docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), "lang", "source", "text")
     return _judged(measured(whole, "_row"), model).where("kept").select("_row.*")
 
 
