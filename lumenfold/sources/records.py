@@ -18,8 +18,9 @@ HEAVY = ("raw_response", "evidence_package", "prompt", "messages", "computed_evi
 
 def read_records(spark: SparkSession, paths: list[str] | str, schema: str = RECORD) -> DataFrame:
     """Records of JSON-lines files with their file; malformed lines are dropped."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(paths)
-    return rows.where("_bad IS NULL").drop("_bad").withColumn("file", F.col("_metadata.file_path"))
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(paths).where("trim(value) <> ''").select(parsed.alias("r"), F.col("_metadata.file_path").alias("file"))
+    return rows.where("r._bad IS NULL").select("r.*", "file").drop("_bad")
 
 
 def done_keys(spark: SparkSession, paths: list[str] | str) -> DataFrame:
