@@ -8,7 +8,8 @@ from lumenfold.functions.buckets import answer_kind, question_kind, record_sourc
 from lumenfold.functions.numbers import ratio
 from lumenfold.functions.text import answer_letter, record_key_parts
 from lumenfold.operators import metrics, sampling
-from lumenfold.plans.standins import ANSWERS, QUESTIONS, RUNS, dealt, runs, sql_dealt, sql_list, table
+from lumenfold.plans.standins import ANSWERS, RUNS, dealt, runs, sql_list, table
+from lumenfold.plans.text_queries import letter_sql
 
 
 def metered(spark, sf_dir):
@@ -215,7 +216,9 @@ SELECT grp, count(*) AS shared, sum(a_ok)::BIGINT AS a_correct, sum(b_ok)::BIGIN
   count(*) FILTER (NOT vote1 AND majority) AS flips_up, count(*) FILTER (vote1 AND NOT majority) AS flips_down, count(*) FILTER (NOT vote1 AND NOT majority) AS still_wrong FROM votes"""),
     "merged_runs": (merged, f"""WITH {RUNS}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, record_key ORDER BY (status = 'completed') DESC, CASE WHEN status = 'completed' THEN -ord ELSE ord END) AS rk FROM metered) WHERE rk = 1),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY config DESC) AS k FROM best) WHERE k = 1) SELECT config, count(*) AS records, count(*) FILTER (correct) AS correct FROM last GROUP BY config"""),
-    "rechecked_accuracy": (rechecked, None),
+    "rechecked_accuracy": (rechecked, f"""WITH l AS ({letter_sql()}), r AS (SELECT (['A', 'B', 'C', 'D', 'E'])[doc_id % 5 + 1] AS truth, letter AS answer, CASE WHEN doc_id % 3 = 0 THEN (['C', 'B', 'A'])[(doc_id // 3) % 3 + 1] END AS rechecked FROM l),
+f AS (SELECT *, coalesce(rechecked, answer) AS final FROM r) SELECT count(rechecked) AS rechecked_rows, round(count(*) FILTER (rechecked = truth)::DOUBLE / nullif(count(rechecked), 0), 6) AS rechecked_accuracy,
+  count(final) AS answered, round(count(*) FILTER (final = truth)::DOUBLE / nullif(count(final), 0), 6) AS combined_accuracy FROM f"""),
     "slice_accuracy": (slice_accuracy, """WITH r AS (SELECT doc_id + 1 AS position, (['A', 'B', 'C', 'D', 'E'])[doc_id % 5 + 1] AS truth, nullif((['C', 'B', '', 'D'])[doc_id % 4 + 1], '') AS answer FROM documents WHERE doc_id + 1 BETWEEN 11 AND 400)
 SELECT count(answer) AS processed, count(*) - count(answer) AS skipped, count(*) FILTER (truth = answer) AS correct, round(count(*) FILTER (truth = answer)::DOUBLE / nullif(count(answer), 0), 6) AS accuracy FROM r"""),
     "keyword_scores": (keyword_scores, f"""WITH {RUNS} SELECT modality, count(*) AS n, round(avg(regexp_matches(lower(answer_text), '\\b(answer|option)\\b')::INT::DOUBLE), 6) AS keyword_accuracy,

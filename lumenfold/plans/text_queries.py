@@ -30,7 +30,7 @@ def answer_letter(spark, sf_dir):
     return _docs(spark, sf_dir, t=_by(ANSWERS)).select("doc_id", text.answer_letter(F.col("t")).alias("letter"), text.first_letter(F.col("t")).alias("first_letter"))
 
 
-def _letter_sql() -> str:
+def letter_sql() -> str:
     last = lambda p: f"regexp_extract_all(x, '{p}', 1)[-1]".replace("(?:final_", "(?:final_")
     cues = ", ".join(last(c.replace("'", "''")) for c in text.LETTER_CUES)
     return f"""SELECT doc_id, upper(coalesce(nullif(regexp_extract(x, '^\\(?\\s*([A-Fa-f])\\s*\\)?\\.?,?$', 1), ''), {cues}, {last(text.ALONE)}, CASE WHEN length(x) <= 120 THEN {last(chr(92) + 'b([A-Fa-f])' + chr(92) + 'b')} END)) AS letter,
@@ -191,11 +191,26 @@ def tile_grids(spark, sf_dir):
     return p.select("p_partkey", numbers.tile_grid(F.col("p_size") * 37, F.col("p_partkey") % 900 + 100).alias("g")).select("p_partkey", "g.columns", "g.rows")
 
 
+def _unescaped(x: str) -> str:
+    for name, value in text.ENTITIES:
+        x = f"replace({x}, {sql_text(name)}, {sql_text(value)})"
+    return x
+
+
+def _tiles_sql() -> str:
+    grids = sorted({(i, j) for i in range(1, 7) for j in range(1, 7) if i * j <= 6}, key=lambda g: (g[0] * g[1], g))
+    rows = ", ".join(f"({n}, {i}, {j})" for n, (i, j) in enumerate(grids))
+    # of the nearest grids the first counts, then each later one that the area fills half
+    return f"""WITH g(n, c, r) AS (VALUES {rows}), p AS (SELECT p_partkey, p_size * 37 AS w, p_partkey % 900 + 100 AS h FROM part), d AS (SELECT *, abs(w::DOUBLE / h - c::DOUBLE / r) AS d FROM p, g),
+b AS (SELECT *, min(d) OVER (PARTITION BY p_partkey) AS least FROM d), e AS (SELECT *, min(n) OVER (PARTITION BY p_partkey) AS first FROM b WHERE d = least)
+SELECT p_partkey, arg_max(c, n) AS columns, arg_max(r, n) AS rows FROM e WHERE n = first OR w * h > 0.5::DOUBLE * 448 * 448 * c * r GROUP BY p_partkey"""
+
+
 _LABEL_LIST = """CASE WHEN len(regexp_extract_all(t, '''([^'']+)''|"([^"]+)"')) > 0 THEN list_transform(regexp_extract_all(t, '''([^'']+)''|"([^"]+)"'), lambda x: x[2:-2]) ELSE regexp_split_to_array(t, '[,;/]') END"""
 _NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' ')"
 _NUMBER = r"\s*(-?[0-9]*\.?[0-9]+)\s*"
 QUERIES = {
-    "answer_letter": (answer_letter, _letter_sql()),
+    "answer_letter": (answer_letter, letter_sql()),
     "option_parse": (option_parse, f"""WITH p AS (SELECT doc_id, regexp_extract_all(t, '{text.OPTION}', 1) AS l, list_transform(regexp_extract_all(t, '{text.OPTION}', 2), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'), ' ')) AS x FROM {_sql(OPTIONS)}),
 e AS (SELECT doc_id, unnest(l) AS letter, unnest(x) AS text, generate_subscripts(l, 1) AS i FROM p), f AS (SELECT doc_id, letter, arg_max(text, i) AS text FROM e GROUP BY doc_id, letter)
 SELECT d.doc_id, count(letter) AS n, coalesce(string_agg(letter || '=' || f.text, '|' ORDER BY letter), '') AS options FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""),
@@ -207,7 +222,8 @@ SELECT doc_id, normal, CASE WHEN e = '' OR p = '' THEN FALSE WHEN e = p THEN TRU
     "bbox_parse": (bbox_parse, f"""WITH p AS (SELECT doc_id, list_transform(string_split(regexp_extract_all(t, '(?i)bbox[^\\[]*\\[({_NUMBER},{_NUMBER},{_NUMBER},{_NUMBER})\\]', 1)[-1], ','), lambda x: least(greatest(trim(x, ' ')::DOUBLE, 0), 1)) AS b FROM {_sql(BOXES)}),
 v AS (SELECT doc_id, CASE WHEN b[1] < b[3] AND b[2] < b[4] THEN b END AS b FROM p) SELECT doc_id, b[1] AS x1, b[2] AS y1, b[3] AS x2, b[4] AS y2 FROM v"""),
     "query_terms": (query_tokens, f"SELECT item_id, {_tokens_sql(terms.TRANSCRIPT_STOPWORDS, cap=80)} AS query, {_tokens_sql(terms.EVIDENCE_STOPWORDS)} AS evidence, {_tokens_sql(terms.OPTION_STOPWORDS, False)} AS options FROM (SELECT item_id, text || ' ' || {sql_dealt(QUESTIONS, 'item_id')} AS t FROM benchmark)"),
-    "caption_clean": (captions, None),
+    "caption_clean": (captions, f"""WITH c AS (SELECT doc_id, t, trim(regexp_replace(regexp_replace(regexp_replace({_unescaped('t')}, '<[^>]+>', ' ', 'g'), '\\{{\\\\[^}}]+\\}}', ' ', 'g'), '[\\s\\x{{00A0}}]+', ' ', 'g'), ' ') AS caption FROM {_sql(CAPTIONS)}),
+s AS (SELECT *, trim(regexp_replace(t || ' and so on', '\\s+', ' ', 'g'), ' ') AS x FROM c) SELECT doc_id, caption, CASE WHEN length(x) > 16 THEN rtrim(substr(x, 1, 13), ' ') || '...' ELSE x END AS short FROM s"""),
     "page_text": (page_text, "SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')) AS chars FROM pages"),
     "srt_parse": (srt_parse, """SELECT doc_id, i AS sequence_index, s AS start_sec, e AS end_sec, CASE WHEN i = 5 THEN 'end ' || doc_id::VARCHAR ELSE t END AS text, b || CASE WHEN i = 5 THEN 'end ' || doc_id::VARCHAR ELSE t END || chr(10) AS block FROM documents,
 (VALUES (1, 1.5::DOUBLE, 3.25::DOUBLE, 'Hello there', '1' || chr(10) || '00:00:01,500 --> 00:00:03,250' || chr(10)), (4, 65, 67.5, 'All right', '4' || chr(10) || '00:01:05,000 --> 00:01:07,500' || chr(10)), (5, 0, 9, '', '5' || chr(10) || '00:00:00,000 --> 00:00:09,000' || chr(10))) AS v(i, s, e, t, b)"""),
@@ -227,5 +243,5 @@ i AS (SELECT *, greatest(0::DOUBLE, least(ax2, bx2) - greatest(ax1, bx1)) * grea
 SELECT l_orderkey, l_linenumber, round(CASE WHEN both_ - inter > 0 THEN inter / (both_ - inter) ELSE 0 END, 6) AS iou FROM i"""),
     "expand_boxes": (expand_boxes, """WITH b AS (SELECT p_partkey, (p_size + p_size * 3) / 2.0::DOUBLE AS cx, (p_size + p_size + 20) / 2.0::DOUBLE AS cy, greatest(1::DOUBLE, (p_size * 3 - p_size) * 1.5::DOUBLE / 2) AS hw, greatest(1::DOUBLE, 20 * 1.5::DOUBLE / 2) AS hh FROM part)
 SELECT p_partkey, greatest(0, round_even(cx - hw, 0)::INT) AS x1, greatest(0, round_even(cy - hh, 0)::INT) AS y1, least(100, round_even(cx + hw, 0)::INT) AS x2, least(60, round_even(cy + hh, 0)::INT) AS y2 FROM b"""),
-    "tile_grids": (tile_grids, None),
+    "tile_grids": (tile_grids, _tiles_sql()),
 }
