@@ -62,3 +62,21 @@ def sample_ends(values: Column, n: int) -> Column:
     """The first half and the last half of n of an array; the first n for three or fewer."""
     head = n // 2
     return F.when(F.size(values) <= n, values).otherwise(F.slice(values, 1, n) if n <= 3 else F.concat(F.slice(values, 1, head), F.slice(values, -(n - head), n - head)))
+
+
+def even_times(videos: DataFrame, key: str, duration: str, beginning: str, count: int = 48) -> DataFrame:
+    """key, i and time_sec of an even grid over a video, or over its first eight seconds where a question asks for its beginning."""
+    n = max(8, count)
+    end = F.when(F.col(beginning), F.least(F.col(duration), F.lit(8.0))).otherwise(F.col(duration))
+    return videos.where(F.col(duration) > 0).select(key, end.alias("_end"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select(key, "i", F.round(F.col("_end") * F.col("i") / (n - 1), 3).alias("time_sec"))
+
+
+def instance_count(frames: DataFrame, key: str, count: str) -> DataFrame:
+    """The largest and the median (rounded down) number of instances seen in a frame."""
+    return frames.groupBy(key).agg(F.count("*").alias("frames"), F.max(count).alias("most"), F.floor(F.median(count)).cast("bigint").alias("median"))
+
+
+def latest_quota_hits(lines: DataFrame, pattern: str = r"(?i)quota|insufficient balance|rate limit|429", ord_: str = "ord", key: str = "file") -> DataFrame:
+    """The last line of each log that speaks of a quota, and how many do."""
+    hit = lines.where(F.col("value").rlike(pattern))
+    return hit.groupBy(key).agg(F.count("*").alias("hits"), F.max_by("value", ord_).alias("latest"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.functions import routing, terms
-from lumenfold.operators import filters, packages
+from lumenfold.functions import crops, routing, terms
+from lumenfold.operators import evidence, filters, packages
 from lumenfold.plans.standins import ANSWERS, FRAMES, QUESTIONS, SEGMENTS, dealt, frames, segments, sql_dealt, table
 from lumenfold.plans.text_queries import _any, _docs, _sql
 
@@ -74,8 +74,38 @@ def record_bytes(spark, sf_dir):
     return _docs(spark, sf_dir, b=packages.package_bytes(dealt(ANSWERS, F.col("doc_id")), F.array(F.col("n_chars"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))))).select("doc_id", F.col("b").alias("evidence_bytes"))
 
 
+def image_crops(spark, sf_dir):
+    d = _docs(spark, sf_dir, low=routing.lowered(dealt(QUESTIONS, F.col("doc_id"))), w=(F.col("doc_id") % 640 + 1).cast("int"), h=(F.col("doc_id") % 480 + 1).cast("int"))
+    c = crops.image_crops(F.col("low"), F.col("w"), F.col("h"), F.col("doc_id") % 2 == 0)
+    return d.select("doc_id", F.posexplode_outer(c).alias("place", "c")).select("doc_id", "place", "c.label", F.array_join(F.col("c.box").cast("array<string>"), ",").alias("box"))
+
+
+def frame_crops(spark, sf_dir):
+    d = _docs(spark, sf_dir, low=routing.lowered(dealt(QUESTIONS, F.col("doc_id"))))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x["label"]), ",")
+    return d.select("doc_id", text(crops.frame_crops(F.col("low"))).alias("frame"), text(crops.tubelet_crops(F.col("low"))).alias("tubelet"))
+
+
+def even_times(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 1.5).alias("d"), (F.col("p_partkey") % 2 == 0).alias("b"))
+    return evidence.even_times(p, "p_partkey", "d", "b", 9)
+
+
+def instance_count(spark, sf_dir):
+    return evidence.instance_count(frames(spark, sf_dir).withColumn("people", F.col("ord") % 7), "video_id", "people")
+
+
+def _frame_sql(names, text_terms) -> str:
+    joined = {k: ",".join(c[0] for c in v) for k, v in names.items()}
+    return f"CASE WHEN {_any('low', text_terms)} THEN '{joined['text']}' WHEN {_any('low', terms.SIDE_TERMS)} THEN '{joined['side']}' ELSE '{joined['other']}' END"
+
+
 _MARKS = {n: _any("low", w) for n, w in terms.CITATION_WORDS.items()} | {"has_timestamp": "regexp_matches(low, '\\b[0-9]+(?:\\.[0-9]+)?(?:-[0-9]+(?:\\.[0-9]+)?)?s\\b')"}
 QUERIES = {
+    "image_crops": (image_crops, None),
+    "frame_crops": (frame_crops, f"SELECT doc_id, {_frame_sql(terms.FRAME_CROPS, terms.FRAME_TEXT_TERMS)} AS frame, {_frame_sql(terms.TUBELET_CROPS, terms.TUBELET_TEXT_TERMS)} AS tubelet FROM (SELECT doc_id, lower(t) AS low FROM {_sql(QUESTIONS)})"),
+    "even_times": (even_times, "SELECT p_partkey, i::INT AS i, round(CASE WHEN p_partkey % 2 = 0 THEN least(p_size * 1.5::DOUBLE, 8) ELSE p_size * 1.5::DOUBLE END * i / 8, 3) AS time_sec FROM part, range(0, 9) AS g(i) WHERE p_size > 0"),
+    "instance_count": (instance_count, f"WITH {FRAMES} SELECT video_id, count(*) AS frames, max(ord % 7) AS most, floor(median(ord % 7))::BIGINT AS median FROM frames GROUP BY 1"),
     "image_filter": (image_filter, "WITH p AS (SELECT p_partkey, p_size * 80 AS w, CASE WHEN p_partkey % 9 > 0 THEN p_partkey % 2000 END AS h, p_partkey * 100 AS b FROM part) SELECT p_partkey, round(w * h / 1000000.0::DOUBLE, 4) AS mp FROM p WHERE w >= 800 AND h >= 600 AND round(w * h / 1000000.0::DOUBLE, 4) >= 1 AND b >= 20000"),
     "duration_filter": (duration_filter, f"""WITH d AS (SELECT doc_id, n_chars, {sql_dealt(('short', 'MEDIUM', 'long', ''), 'doc_id')} AS duration, {sql_dealt(('12', 'x', '90.5'), 'doc_id')} AS s FROM documents)
 SELECT doc_id, duration FROM d WHERE lower(duration) IN ('short', 'long', '') AND coalesce(try_cast(s AS DOUBLE), n_chars) >= 30"""),

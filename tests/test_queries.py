@@ -1,4 +1,4 @@
-"""Every query against its SQL, on the smallest tables, and the entry points."""
+"""Every query against its SQL, on small tables, and the entry points."""
 
 import math
 import os
@@ -7,7 +7,7 @@ import pytest
 
 from lumenfold.plans import catalog
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
 
