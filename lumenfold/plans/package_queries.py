@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import crops, routing, terms
 from lumenfold.operators import evidence, filters, packages
-from lumenfold.plans.standins import ANSWERS, FRAMES, QUESTIONS, SEGMENTS, dealt, frames, segments, sql_dealt, table
-from lumenfold.plans.text_queries import _any, _docs, _sql
+from lumenfold.plans.standins import ANSWERS, FRAMES, QUESTIONS, SEGMENTS, dealt, frames, segments, sql_dealt, sql_text, table
+from lumenfold.plans.text_queries import _any, _docs, _sql, typed_sql
 
 CITED = ("audio_anchor_low_bitrate_event at 3s aligns", "video_anchor_low_fps_frame 1.5-2s is sufficient", "unsure", "", "nothing to cite here", "I cannot answer; not enough information")
 
@@ -100,6 +100,18 @@ def _frame_sql(names, text_terms) -> str:
     return f"CASE WHEN {_any('low', text_terms)} THEN '{joined['text']}' WHEN {_any('low', terms.SIDE_TERMS)} THEN '{joined['side']}' ELSE '{joined['other']}' END"
 
 
+def _constraints_sql() -> str:
+    c = {k: sql_text(v) for k, v in terms.CONSTRAINTS.items()}
+    scenes = [w for words in terms.SCENES.values() for w in words]
+    narrow = f"({_any('low', (*terms.BEGINNING_TERMS, *terms.END_TERMS, *scenes, *terms.CURRENT_TERMS))} OR regexp_matches(low, '{routing.CLIP}'))"
+    when = lambda holds, name: f"CASE WHEN {holds} THEN {c[name]} END"
+    has = lambda name: f"list_contains(types, '{name}')"
+    items = [c["no_answer"], c["grounded"], c["each_option"], "'Use task_family=' || family || ' resolver semantics before generic evidence if confidence is medium/high.'", when(narrow, "in_scope"), when(has("count"), "count"), when(has("absence_verification"), "absence"),
+             when(f"{has('ocr')} OR {_any('low', ('model', 'screen', 'score', 'text', 'advertised'))}", "ocr"), f"CASE WHEN family = 'scene_group_attribute_count' THEN CASE WHEN {_any('low', terms.CAST_TERMS)} AND {_any('low', terms.STAGE_TERMS)} THEN {c['cast']} ELSE {c['group']} END END",
+             when("family = 'container_object_count'", "container"), when("family = 'ordinal_clip_action'", "ordinal"), when("family = 'domain_intention'", "intent"), when(_any("low", ("beginning", "at the start", "opening")), "beginning")]
+    return f"WITH {typed_sql()}, c AS (SELECT doc_id, list_filter([{', '.join(items)}], lambda x: x IS NOT NULL) AS c FROM typed) SELECT doc_id, len(c)::INT AS n, md5(array_to_string(c, chr(10))) AS digest FROM c"
+
+
 _MARKS = {n: _any("low", w) for n, w in terms.CITATION_WORDS.items()} | {"has_timestamp": "regexp_matches(low, '\\b[0-9]+(?:\\.[0-9]+)?(?:-[0-9]+(?:\\.[0-9]+)?)?s\\b')"}
 QUERIES = {
     "image_crops": (image_crops, None),
@@ -113,7 +125,7 @@ SELECT doc_id, duration FROM d WHERE lower(duration) IN ('short', 'long', '') AN
     "key_selection": (key_selection, "WITH d AS (SELECT doc_id, 'k' || (doc_id % 200)::VARCHAR AS record_key, doc_id % 60 AS video FROM documents WHERE (doc_id % 200) % 2 = 0) SELECT doc_id, record_key, video FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY doc_id) AS k FROM d) WHERE k = 1"),
     "citation_scores": (citation_scores, f"""WITH d AS (SELECT doc_id, lower(t) AS low FROM {_sql(CITED)}) SELECT doc_id, {', '.join(f'{s} AS {n}' for n, s in _MARKS.items())}, {' + '.join(f'({s})::INT' for s in _MARKS.values())} AS score,
   trim(low, ' ') <> '' AND NOT {_any('low', terms.REFUSALS)} AS answerable, regexp_matches(low, '\\b(?:cite|align)\\b') AS keyword FROM d"""),
-    "constraint_lists": (constraint_lists, None),
+    "constraint_lists": (constraint_lists, _constraints_sql()),
     "transcript_evidence": (transcript_evidence, f"""WITH {SEGMENTS}, f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ord) AS i, {sql_dealt(('beginning', 'full_video', 'end'), 'video_id')} AS type, video_id % 2 = 0 AS counts FROM segments),
 m AS (SELECT *, type = 'full_video' OR (end_sec >= 0 AND start_sec <= 9.5::DOUBLE) AS scope_match, counts AND type = 'beginning' AS visual FROM f WHERE i <= 5)
 SELECT video_id, ord, start_sec, end_sec, scope_match, scope_match AND NOT visual AS use_for_answer, CASE WHEN visual THEN 'weak' ELSE 'normal' END AS task_match, CASE WHEN NOT scope_match THEN 'outside' WHEN visual THEN 'auxiliary' ELSE 'inside' END AS reason FROM m"""),

@@ -133,15 +133,23 @@ def question_profile(spark, sf_dir):
     return q.select("doc_id", F.array_join("types", ",").alias("types"), F.array_join(routing.required_evidence(F.col("types"), F.col("family")), ",").alias("evidence"), numbers.budget(F.col("types"))["anchor"].alias("anchor_budget"))
 
 
-def _profile_sql() -> str:
+def typed_sql() -> str:
+    """CTEs up to typed (doc_id, low, family, types)."""
     own = ", ".join(f"CASE WHEN {_any('low', words)} THEN '{name}' END" for name, words in terms.QUESTION_TYPES.items())
-    arrays = lambda d: {k: f"[{sql_list(v)}]" for k, v in d.items()}
-    first = lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+    added = _family_case({k: f"[{sql_list(v)}]" for k, v in terms.FAMILY_TYPES.items()})
+    return f"""{_CTE}, own AS (SELECT doc_id, low, family, list_filter([{own}], lambda x: x IS NOT NULL) || coalesce({added}, []) AS ty FROM routed),
+typed AS (SELECT doc_id, low, family, CASE WHEN len(ty) = 0 THEN ['semantic_video'] ELSE {_first('ty')} END AS types FROM own)"""
+
+
+def _first(x: str) -> str:
+    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+
+
+def _profile_sql() -> str:
     by_type = "CASE t " + " ".join(f"WHEN '{k}' THEN [{sql_list(v)}]" for k, v in terms.TYPE_EVIDENCE.items()) + " ELSE [] END"
-    return f"""WITH {_CTE}, own AS (SELECT doc_id, family, list_filter([{own}], lambda x: x IS NOT NULL) || coalesce({_family_case(arrays(terms.FAMILY_TYPES))}, []) AS ty FROM routed),
-typed AS (SELECT doc_id, family, CASE WHEN len(ty) = 0 THEN ['semantic_video'] ELSE {first('ty')} END AS types FROM own),
-ev AS (SELECT doc_id, types, ['global_timeline', 'low_fps_context'] || flatten(list_transform(types, lambda t: {by_type})) || {_family_case(arrays(terms.FAMILY_EVIDENCE))} AS e FROM typed)
-SELECT doc_id, array_to_string(types, ',') AS types, array_to_string({first('e')}, ',') AS evidence,
+    by_family = _family_case({k: f"[{sql_list(v)}]" for k, v in terms.FAMILY_EVIDENCE.items()})
+    return f"""WITH {typed_sql()}, ev AS (SELECT doc_id, types, ['global_timeline', 'low_fps_context'] || flatten(list_transform(types, lambda t: {by_type})) || {by_family} AS e FROM typed)
+SELECT doc_id, array_to_string(types, ',') AS types, array_to_string({_first('e')}, ',') AS evidence,
   CASE WHEN list_contains(types, 'spatial_relation') THEN 300 WHEN list_has_any(types, ['ocr', 'temporal_order', 'audio_visual']) THEN 250 WHEN list_contains(types, 'semantic_video') THEN 150 ELSE 200 END AS anchor_budget FROM ev"""
 
 
@@ -206,6 +214,16 @@ b AS (SELECT *, min(d) OVER (PARTITION BY p_partkey) AS least FROM d), e AS (SEL
 SELECT p_partkey, arg_max(c, n) AS columns, arg_max(r, n) AS rows FROM e WHERE n = first OR w * h > 0.5::DOUBLE * 448 * 448 * c * r GROUP BY p_partkey"""
 
 
+def _windows_sql() -> str:
+    count, score = _any("low", terms.PRIORITY_COUNT_TERMS), _any("low", ("current score", "ongoing game", "scoreboard", "score of", "final score"))
+    rows = [(_any("low", terms.BEGINNING_TERMS), "0::DOUBLE", "least(10::DOUBLE, d)", "question_start_focus"), (score, "0::DOUBLE", "d", "question_score_full_timeline_focus"), (count, "0::DOUBLE", "greatest(4::DOUBLE, d / 3)", "question_counting_early_coverage"),
+            (count, "d / 3 - 2", "2 * d / 3 + 2", "question_counting_middle_coverage"), (count, "2 * d / 3 - 2", "d", "question_counting_late_coverage")]
+    union = " UNION ALL ".join(f"SELECT doc_id, d, {k} AS k, {a} AS s, {b} AS e, '{source}' AS source FROM q WHERE {holds}" for k, (holds, a, b, source) in enumerate(rows))
+    return f"""WITH q AS (SELECT doc_id, lower(q) AS low, (doc_id % 97)::DOUBLE AS d FROM {_sql(QUESTIONS, 'q')} WHERE doc_id % 97 > 0), u AS ({union}), c AS (SELECT *, greatest(0::DOUBLE, least(s, d)) AS a FROM u),
+r AS (SELECT doc_id, k, round(a, 3) AS start_sec, round(least(greatest(e, a + 0.5::DOUBLE), d), 3) AS end_sec, source FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start_sec, end_sec ORDER BY k) AS i FROM r WHERE end_sec > start_sec)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS place, start_sec, end_sec, source FROM f WHERE i = 1"""
+
+
 _LABEL_LIST = """CASE WHEN len(regexp_extract_all(t, '''([^'']+)''|"([^"]+)"')) > 0 THEN list_transform(regexp_extract_all(t, '''([^'']+)''|"([^"]+)"'), lambda x: x[2:-2]) ELSE regexp_split_to_array(t, '[,;/]') END"""
 _NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' ')"
 _NUMBER = r"\s*(-?[0-9]*\.?[0-9]+)\s*"
@@ -235,7 +253,7 @@ SELECT doc_id, try_cast(nullif(regexp_extract(t, 'men\\s*[=:]\\s*([0-9]+)', 1),
     "anchor_policy": (anchor_policy, _policy_sql()),
     "question_profile": (question_profile, _profile_sql()),
     "temporal_scope": (temporal_scope, _scope_sql()),
-    "priority_windows": (priority_windows, None),
+    "priority_windows": (priority_windows, _windows_sql()),
     "token_estimates": (estimates, """SELECT p_partkey, (ceil(p_size * 40 / 28.0::DOUBLE) * ceil((p_partkey % 1000 + 1) / 28.0::DOUBLE))::BIGINT AS image_tokens, greatest(1, length(p_name) // 4)::BIGINT AS text_tokens, greatest(1, ceil(strlen(p_name) / 4.0::DOUBLE))::BIGINT AS byte_tokens,
   greatest(1, round_even(p_size / 4.0::DOUBLE, 0))::INT AS frame_step FROM part"""),
     "boxes_overlap": (boxes_overlap, """WITH b AS (SELECT l_orderkey, l_linenumber, l_discount AS ax1, l_tax AS ay1, l_discount + 0.3::DOUBLE AS ax2, l_tax + 0.25::DOUBLE AS ay2, l_tax AS bx1, l_discount AS by1, l_tax + 0.5::DOUBLE AS bx2, l_discount + l_quantity / 100 AS by2 FROM lineitem),

@@ -179,6 +179,13 @@ def stage_records(spark, sf_dir):
     return stage(items, answer)
 
 
+def _spaced_sql(order: str, gap: float, most: int, label: str = "", where: str = "TRUE") -> str:
+    """CTEs up to kept (video_id, x with o, t, l): a fold over each video's rows in order."""
+    near = f"abs(k.t - x[1].t) < {gap}::DOUBLE{' AND k.l = x[1].l' if label else ''}"
+    return f"""{FRAMES}, a AS (SELECT video_id, list([{{'o': ord, 't': time_sec, 'l': label}}] ORDER BY {order}) AS rows FROM frames WHERE {where} GROUP BY 1),
+kept AS (SELECT video_id, unnest(list_reduce(rows, lambda acc, x: CASE WHEN len(acc) < {most} AND len(list_filter(acc, lambda k: {near})) = 0 THEN acc || x ELSE acc END)) AS x FROM a)"""
+
+
 QUERIES = {
     "energy_profile": (energy_profile, f"WITH {_PROFILE} SELECT * FROM profile"),
     "energy_totals": (energy_totals, f"WITH {_PROFILE} SELECT video_id, round(rms_mean, 4) AS rms_mean, round(rms_std, 4) AS rms_std, round(rms_max, 4) AS rms_max, windows FROM stats"),
@@ -200,7 +207,9 @@ SELECT DISTINCT video_id, ord FROM p, range(0, 7) AS g(i) WHERE n <= 7 OR round_
     "nearest_join": (nearest_join, f"""WITH {FRAMES}, a AS (SELECT video_id, ord AS probe, time_sec + 0.5::DOUBLE AS t FROM frames WHERE ord % 9 = 0), b AS (SELECT video_id, ord, time_sec FROM frames WHERE ord % 4 = 1)
 SELECT video_id, probe, arg_min(ord, (abs(time_sec - t), ord)) AS ord, min(abs(time_sec - t)) AS delta FROM a LEFT JOIN b USING (video_id) GROUP BY video_id, probe"""),
     "scope_overlap_join": (scope_overlap, f"WITH {SEGMENTS}, s AS (SELECT video_id, max(end_sec) * 0.25::DOUBLE AS a, max(end_sec) * 0.5::DOUBLE AS b FROM segments GROUP BY 1) SELECT video_id, ord, start_sec, end_sec FROM segments JOIN s USING (video_id) WHERE end_sec >= a AND start_sec <= b"),
-    "suppress_near": (suppress_near, None), "suppress_alike": (suppress_alike, None), "distinct_times": (distinct_times, None),
+    "suppress_near": (suppress_near, f"WITH {_spaced_sql('score DESC, ord', 600, 12)} SELECT video_id, x.o AS ord, x.t AS time_sec FROM kept"),
+    "suppress_alike": (suppress_alike, f"WITH {_spaced_sql('score DESC, ord', 900, 12, 'label')} SELECT video_id, x.o AS ord, x.l AS label FROM kept"),
+    "distinct_times": (distinct_times, f"WITH {_spaced_sql('ord', 1200, 16, where='ord % 3 = 0')} SELECT video_id, x.o AS ord, x.t AS time_sec FROM kept"),
     "motion_peaks": (motion_peaks, f"""WITH {FRAMES}, s AS (SELECT *, (coalesce(lag(k) OVER w, 0) + k + coalesce(lead(k) OVER w, 0)) / 3 AS sm FROM (SELECT *, round(score, 2) AS k FROM frames) WINDOW w AS (PARTITION BY video_id ORDER BY ord)),
 t AS (SELECT *, lag(sm) OVER w AS p, lead(sm) OVER w AS n, avg(sm) OVER (PARTITION BY video_id) + 0.4::DOUBLE * stddev_pop(sm) OVER (PARTITION BY video_id) AS thr FROM s WINDOW w AS (PARTITION BY video_id ORDER BY ord))
 SELECT video_id, count(*) AS frames, count(*) FILTER (sm > thr AND sm >= p AND sm > n) AS peaks FROM t GROUP BY 1"""),
