@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.runtime import ship
+
 
 def model_json(text: Column) -> Column:
     """The object in a model's output as VARIANT: the text without a code fence, else its first brace to its last; else null."""
@@ -41,6 +43,7 @@ def fallback(reason: Column, attempts: Column) -> Column:
 
 def without_keys(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """rows with the keys gone from the JSON text of a column, at any depth; text that isn't JSON stays as it is."""
+    ship(rows.sparkSession)
     gone = set(keys)
 
     def drop(value):

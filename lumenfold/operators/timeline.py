@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.numbers import dot
+from lumenfold.runtime import ship
 
 
 def energy_profile(samples: DataFrame, key: str, index: str, value: str, window: int) -> DataFrame:
@@ -186,6 +187,7 @@ def object_tracks(detections: DataFrame, key: str = "video_id", least: float = 0
         out.insert(0, key, rows[key].iloc[0])
         return out
 
+    ship(detections.sparkSession)
     prepared = detections.withColumns({"label": F.lower(F.coalesce("label", F.lit(""))), key: F.col(key).cast("string"), "confidence": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))})
     tracks = prepared.groupBy(key, "label").applyInPandas(follow, schema)
     number = F.row_number().over(Window.partitionBy(key).orderBy("first_time", "first_ord"))
@@ -223,6 +225,7 @@ def select_frames(frames: DataFrame, most: int, key: str = "video_id") -> DataFr
             del at[k]
         return rows.loc[at, [key, "ord"]]
 
+    ship(frames.sparkSession)
     source = frames.select(F.col(key).cast("string").alias(key), F.col("ord").cast("bigint").alias("ord"), F.col("change_score").cast("double").alias("change_score"), "feature")
     return source.groupBy(key).applyInPandas(choose, f"{key} string, ord bigint")
 
@@ -250,4 +253,5 @@ def spectrum_summary(clips: DataFrame, samples: str = "samples", rate: float = 1
                 out.append((clip, float(np.log1p(magnitude).mean()), float(np.sqrt((x**2).mean())) if len(x) else 0.0, [float(f) for f in top]))
             yield pd.DataFrame(out, columns=["clip_id", "log_magnitude", "rms", "top_hz"])
 
+    ship(clips.sparkSession)
     return clips.select("clip_id", samples).mapInPandas(run, "clip_id string, log_magnitude double, rms double, top_hz array<double>")

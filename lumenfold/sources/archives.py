@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import subtitle_segments
+from lumenfold.runtime import ship
 
 
 def _stem(column: str):
@@ -32,6 +33,7 @@ def archive_members(spark: SparkSession, path: str, pattern: str = "*.zip", suff
                     continue
             yield pd.DataFrame(rows, columns=["archive", "member", "size"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
     members = files.mapInPandas(run, "archive string, member string, size bigint").withColumn("stem", _stem("member"))
     last = Window.partitionBy("stem").orderBy(F.desc("archive"), F.desc("member"))
@@ -51,6 +53,7 @@ def member_bytes(spark: SparkSession, path: str, members: DataFrame, pattern: st
                         if len(data) == m["size"]:
                             yield pd.DataFrame({"stem": [m["stem"]], "content": [data]})
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("archive"), "content")
     return files.join(wanted, "archive").select("content", "members").mapInPandas(run, "stem string, content binary")
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.runtime import ship
+
 
 def image_size(data: bytes | None) -> tuple[int, int]:
     """Width and height in a PNG, GIF, BMP, WebP or JPEG header; zeros if there is none."""
@@ -45,6 +47,7 @@ def image_size(data: bytes | None) -> tuple[int, int]:
 
 def image_stats(rows: DataFrame, content: str = "content") -> DataFrame:
     """rows with width, height, bytes and megapixels of an image cell."""
+    ship(rows.sparkSession)
 
     @F.pandas_udf("width int, height int")
     def sized(cells: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -82,6 +85,7 @@ def resample(x: np.ndarray, own: int, rate: int) -> np.ndarray:
 
 def audio_samples(rows: DataFrame, key: str, content: str = "content", rate: int = 16000) -> DataFrame:
     """key and samples of WAV cells."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

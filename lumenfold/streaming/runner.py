@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lumenfold.runtime import ship
+
 RESULT = "record_key string, status string, response string, error string, attempts int"
 
 
@@ -32,6 +34,7 @@ def stage(items: DataFrame, answer: Callable[[dict, int], str], tokens: int = 51
                 rows.append((item["record_key"], "failed" if response is None else "completed", response, error, tried))
             yield pd.DataFrame(rows, columns=["record_key", "status", "response", "error", "attempts"])
 
+    ship(items.sparkSession)
     return items.mapInPandas(run, RESULT)
 
 
@@ -90,6 +93,7 @@ def change_stream(frames: DataFrame, key: str = "video_id") -> DataFrame:
         if last is not None:
             state.update((last.tolist(),))
 
+    ship(frames.sparkSession)
     return frames.groupBy(key).applyInPandasWithState(step, f"{key} string, ord bigint, change_score double", "last array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
