@@ -50,7 +50,7 @@ def _repeated(words: Column) -> Column:
 
 
 def _statistics(text: Column) -> Column:
-    """One struct of all counts of a text."""
+    """An array of one struct of all counts of a text."""
 
     def of(t: Column) -> Column:
         lines = lambda: F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -62,7 +62,7 @@ def _statistics(text: Column) -> Column:
             only(m, "#*$%&|<>").cast("bigint").alias("n_symbols"), let(lines(), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
             _repeated(w).cast("bigint").alias("n_repeat_words"), only(m, "A-Z").alias("n_upper"), (F.length(m) - only(m, "A-Z")).alias("n_marks"))))
 
-    return let(text, of)
+    return F.transform(F.array(text), of)
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -70,8 +70,9 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns of keep, the base statistics, base_failed, x0 to x3, and the group keys g and pool."""
-    s = docs.select(*keep, F.to_json(F.struct(F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s"))).alias("g"), F.to_json(F.struct(F.col("lang").cast("string").alias("l"))).alias("pool"), _statistics(text_of()).alias("_s"))
-    s = s.select(*keep, "g", "pool", *(F.col(f"_s.{c}").alias(c) for c in (*BASE, "n_upper", "n_marks")))
+    # generated, not projected: a filter on the counts can't be pushed below, where Spark would count each text once more
+    counts = F.inline_outer(_statistics(text_of()))
+    s = docs.select(*keep, F.to_json(F.struct(F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s"))).alias("g"), F.to_json(F.struct(F.col("lang").cast("string").alias("l"))).alias("pool"), counts)
     chars = F.col("word_chars")
     vector = (F.log((chars + 150) / (F.col("n_words") + 30)), F.log((F.col("n_symbols") + 1) / (chars + 200)), F.log((F.col("n_marks") + 5) / (chars + 200)), F.sqrt((F.col("n_upper") + 2) / (chars + 50)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
