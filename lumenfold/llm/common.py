@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.runtime import shared_dir
+
 #: Separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 #: Separators of alphanumeric words: every ASCII character but 0-9 and a-z (after lower-casing).
@@ -47,19 +48,6 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NON_WORD_CLASS), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in spark.checkpoint.dir. Only a local session, as in tests, may do without.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.conf.set("spark.checkpoint.dir", named := tempfile.mkdtemp(prefix="lumenfold-"))
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts lineage, survives lost executors and has a known size.
 
@@ -74,6 +62,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys up to which without() broadcasts them: some 60 MB.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text aren't among gone (doc_id, text_hash), a written table.
+
+    Up to BROADCAST_KEYS keys go to the texts; beyond that, texts are shuffled to the keys.
+    """
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"]), "left_anti")
+
+
 def forget() -> None:
     """Delete the tables that written() has made."""
     while _written:

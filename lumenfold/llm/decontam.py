@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import alnum_words, let, text_of, written
+from lumenfold.llm.common import alnum_words, let, text_of, without, written
 
 #: Words of the benchmark up to which its vocabulary is broadcast; the index may have ten times as many (some 20 MB).
 BROADCAST_ROWS = 200_000
@@ -68,7 +68,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8) -> DataFr
     """Per row of documents: doc_id, n_words, spans (array of word intervals that are hit, disjoint and in order), items
     (array of item_id, containment: the share of the item's windows that occur under its best alignment)."""
     index, small, longest = _index(documents, benchmark, window)
-    docs = documents.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), alnum_words(text_of()).alias("words"))
+    docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_words(text_of()).alias("words"))
     docs = docs.withColumn("n_words", F.size("words").cast("bigint"))
     # a row of the join carries the words around a block, never those of a whole long text
     length = max(BLOCK, 2 * longest)
@@ -112,6 +112,4 @@ def op4_decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame
 def decontaminated(documents: DataFrame, benchmark: DataFrame, containment: float = 0.8, window: int = 8) -> DataFrame:
     """The documents, all columns, in which no item is contained to the given share of its windows."""
     bad = leaks(documents, benchmark, window).where(F.exists("items", lambda i: i["containment"] >= containment)).select("doc_id", "text_hash")
-    bad = written(bad, "leak-bad")
-    key = F.xxhash64(text_of())
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["doc_id"]) & (key == bad["text_hash"]), "left_anti")
+    return without(documents, written(bad, "leak-bad"))

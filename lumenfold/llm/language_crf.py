@@ -26,7 +26,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGS = 80, 100_000, 64
+from lumenfold.runtime import ship
+
+SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGS = 80, 20_000, 64
 WINDOW, STEPS, CHUNK_BYTES = 40, 25, 4 << 20
 ROWS = 1 << 16
 TABLES = ("bigram", "trigram", "prefix", "suffix", "lexicon")
@@ -186,7 +188,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[str], dict
     for r in counts:  # twice the sample in the mean, so that it is nearly sure to be filled
         share = F.when(F.col("lang") == r["lang"], min(1.0, (2 * sample + 16) / r["count"])).otherwise(share)
     order = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    most = MAX_LANGS * (4 * sample + 64)
+    most = len(labels) * (4 * sample + 64)
     rows = usable.withColumn("o", order).where(F.col("o") < share).select("o", "lang", "text").limit(most).collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["o"], r["text"])):
@@ -196,6 +198,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[str], dict
 
 def identified(docs: DataFrame, labels: list[str], weights: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row. The weights (1.3 MB a label) go to executors as a broadcast."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((labels, weights))
 
     def run(batches: Iterator) -> Iterator:

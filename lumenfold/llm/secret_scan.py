@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.runtime import ship
+
 KINDS = ("assign", "access", "hex", "novel")
 BATCH_ROWS = 1000
 CONTEXT_REACH = 48
@@ -111,6 +113,7 @@ def secrets(docs: DataFrame) -> DataFrame:
                 as_rows = lambda k: pa.array([[{"start": a, "end": b, "kind": c} for a, b, c in f[k]] for f in found], span)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([part.column(0), as_rows(0), as_rows(1)], ["doc_id", "base", "spans"])
 
+    ship(docs.sparkSession)
     row = "array<struct<start:bigint,end:bigint,kind:string>>"
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, f"doc_id bigint, base {row}, spans {row}")
 
@@ -143,6 +146,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 columns = [texts if i == k else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
+    ship(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 

@@ -19,8 +19,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import written
+from lumenfold.llm.common import without, written
 from lumenfold.llm.components import components
+from lumenfold.runtime import ship
 
 BITS = 64
 
@@ -57,6 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 found.append(n - (1 << BITS) if n >> (BITS - 1) else n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id bigint, fp bigint")
 
@@ -86,23 +88,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: similar_groups(): fingerprints of WORDS * 64 bits in segments of SEGMENT bits; DISTANCE bits of 256 stand for a Jaccard
-#: similarity of word shingles of about 0.8.
-WORDS, SEGMENT, DISTANCE = 4, 32, 44
+#: similar_groups(): fingerprints of WORDS * 64 bits in segments of SEGMENT bits; DISTANCE bits of 192 stand for a Jaccard
+#: similarity of word shingles of about 0.8. Balls are over the LOW bits of a segment that were decided most narrowly.
+WORDS, SEGMENT, DISTANCE, LOW = 3, 32, 33, 6
+SEGMENTS = WORDS * BITS // SEGMENT
 _ROW = [f"f{w}" for w in range(WORDS)]
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> list[int]:
-    """WORDS signed 64-bit words. Each shingle's XXH64 is mixed anew for every word."""
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[list[int], list[int]]:
+    """WORDS signed 64-bit words, and for each segment its LOW bits of the narrowest majority, counted from the right.
+
+    Each shingle's XXH64 is mixed anew for every word.
+    """
     import numpy as np
     import xxhash
 
     words = text.lower().split()
-    if not words:
-        return [0] * WORDS
     h = xxhash.xxh64_intdigest
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((h(b" ".join(s), 42) for s in zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [h(b" ".join(words), 42)], dtype=np.uint64, count=n)
+    whole = [h(b" ".join(words), 42)] if words else [0]
+    hashes = np.fromiter((h(b" ".join(s), 42) for s in zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else whole, dtype=np.uint64, count=n)
     ones = np.zeros(WORDS * BITS, dtype=np.int64)
     for at in range(0, n, 255):  # sums fit into a byte
         x = hashes[at : at + 255]
@@ -112,22 +117,24 @@ def wide_fingerprint(text: bytes, shingle: int) -> list[int]:
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(32)
         ones += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > n).view(">i8").tolist()
+    narrow = np.argsort(np.abs(2 * ones - n).reshape(SEGMENTS, SEGMENT), axis=1, kind="stable")[:, :LOW]
+    return np.packbits(2 * ones > n).view(">i8").tolist(), (SEGMENT - 1 - narrow).ravel().tolist()
 
 
 def _apart(a: str, b: str):
     """Differing bits of two wide fingerprints, given as structs or prefixes."""
-    return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in _ROW[1:]), F.bit_count(F.col(f"{a}{_ROW[0]}").bitwiseXOR(F.col(f"{b}{_ROW[0]}"))))
+    differ = [F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in _ROW]
+    return sum(differ[1:], differ[0])
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, text_hash, keeper (doc_id) and stays (true for one text of each group) of each row.
 
-    Wide fingerprints, so that texts with a Jaccard similarity of 0.8 can be found: a segment of 32 of their 256 bits is
-    likely to differ in two bits or fewer. Fingerprints with an equal segment are compared with the least of them; those
-    found similar need no ball there, so a large group of copies is one row per member, not a full bucket under
-    every key. All others register under the radius-1 ball of the segment, and each is compared, by complete distance,
-    with its three neighbours under each key. Components of what is within DISTANCE bits are the groups.
+    Wide fingerprints, so that texts with a Jaccard similarity of 0.8 can be found. Fingerprints with an equal segment are
+    compared with the least of them; those found similar need no ball there, so a large group of copies is one row per
+    member, not a full bucket under every key. All others register under the ball of radius 2 over the segment's most
+    uncertain bits, where alike texts differ: two whose segments are up to 4 such bits apart share a key. Each is compared,
+    by complete distance, with its three neighbours under each key. Components within DISTANCE bits are the groups.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -135,20 +142,25 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
         for batch in batches:
             found = [wide_fingerprint(t.as_py() or b"", shingle) for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[w] for f in found], pa.int64()) for w in range(WORDS))], ["doc_id", "text_hash", *_ROW])
+            words = [pa.array([f[w] for f, _ in found], pa.int64()) for w in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *words, pa.array([low for _, low in found], pa.list_(pa.int8()))], ["doc_id", "text_hash", *_ROW, "low"])
 
+    ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    marked = written(source.mapInArrow(run, "doc_id bigint, text_hash bigint, " + ", ".join(f"{c} bigint" for c in _ROW)), "similar-fp")
-    nodes = marked.groupBy(*_ROW).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    nodes = written(nodes.select(F.xxhash64(*_ROW).alias("id"), "first", *_ROW), "similar-nodes")
+    marked = written(source.mapInArrow(run, f"doc_id bigint, text_hash bigint, {', '.join(f'{c} bigint' for c in _ROW)}, low array<tinyint>"), "similar-fp")
+    nodes = marked.groupBy(*_ROW).agg(F.min(F.struct("doc_id", "text_hash", "low")).alias("first"))
+    nodes = written(nodes.select(F.xxhash64(*_ROW).alias("id"), F.struct("first.doc_id", "first.text_hash").alias("first"), F.col("first.low").alias("low"), *_ROW), "similar-nodes")
     per_word = BITS // SEGMENT
-    values = [F.shiftrightunsigned(c, SEGMENT * k).bitwiseAND(F.lit((1 << SEGMENT) - 1)) for c in _ROW for k in range(per_word)]
-    keys = F.explode(F.array(*(v.bitwiseOR(F.lit(t << SEGMENT)) for t, v in enumerate(values))))
-    segments = nodes.select("id", *_ROW, keys.alias("key"))
+    values = [F.shiftrightunsigned(c, SEGMENT * (per_word - 1 - k)).bitwiseAND(F.lit((1 << SEGMENT) - 1)) for c in _ROW for k in range(per_word)]
+    keys = F.explode(F.array(*(F.struct(v.bitwiseOR(F.lit(t << SEGMENT)).alias("key"), F.slice("low", t * LOW + 1, LOW).alias("low")) for t, v in enumerate(values))))
+    segments = nodes.select("id", *_ROW, keys.alias("s")).select("id", *_ROW, "s.key", "s.low")
     hubs = segments.groupBy("key").agg(F.min(F.struct("id", *_ROW)).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    near = written(segments.join(hubs, "key").where(F.col("id") != F.col("hub.id")).where(_apart("", "hub.") <= DISTANCE).select("id", "key", F.col("hub.id").alias("other")), "similar-near")
-    rest = segments.select("id", "key").join(near.select("id", "key"), ["id", "key"], "left_anti")
-    ball = rest.select("id", F.explode(F.array(F.col("key"), *(F.col("key").bitwiseXOR(F.lit(1 << b)) for b in range(SEGMENT)))).alias("key"))
+    near = segments.join(hubs, "key").where(F.col("id") != F.col("hub.id")).where(_apart("", "hub.") <= DISTANCE)
+    near = written(near.select("id", "key", F.col("hub.id").alias("other")), "similar-near")
+    rest = segments.select("id", "key", "low").join(near.select("id", "key"), ["id", "key"], "left_anti")
+    bit = [F.expr(f"shiftleft(1L, low[{k}])") for k in range(LOW)]
+    flips = [F.lit(0).cast("bigint"), *bit, *(bit[i].bitwiseOR(bit[j]) for i in range(LOW) for j in range(i))]
+    ball = rest.select("id", F.explode(F.array(*(F.col("key").bitwiseXOR(f) for f in flips))).alias("key"))
     order = Window.partitionBy("key").orderBy("id")
     met = ball.select("id", F.array(*(F.lag("id", k).over(order) for k in (1, 2, 3))).alias("others")).where("others[0] IS NOT NULL")
     pairs = met.select("id", F.explode("others").alias("other")).where("other IS NOT NULL").distinct()
@@ -159,18 +171,17 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     joined = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     keepers = joined.groupBy("root").agg(F.min("first").alias("keeper"))
     classes = written(joined.join(keepers, "root").select(*_ROW, "keeper"), "similar-classes")
-    stays = F.struct("doc_id", "text_hash") == F.col("keeper")
-    return marked.join(classes, _ROW, "left").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("keeper"), (stays | (F.col("doc_id").isNull() & F.col("keeper.doc_id").isNull() & (F.col("text_hash") == F.col("keeper.text_hash")))).alias("stays"))
+    own = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & F.col("text_hash").eqNullSafe(F.col("keeper.text_hash"))
+    return marked.join(classes, _ROW, "left").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("keeper"), own.alias("stays"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs, all columns, with one row of each group of similar texts: that of the smallest doc_id."""
     groups = written(similar_groups(docs, shingle), "similar-groups")
-    gone = written(groups.where(~F.coalesce("stays", F.lit(False))).select("doc_id", "text_hash").distinct(), "similar-gone")
-    key = F.xxhash64(F.col("text"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (key == gone["text_hash"]), "left_anti")
+    gone = written(groups.where("NOT stays").select("doc_id", "text_hash").distinct(), "similar-gone")
+    left = without(docs, gone)
     again = groups.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1")
-    return left if again.isEmpty() else left.withColumn("_h", key).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return left if again.isEmpty() else left.withColumn("_simhash_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_simhash_text"]).drop("_simhash_text")
 
 
 def op6_simhash_dedup(docs: DataFrame) -> DataFrame:

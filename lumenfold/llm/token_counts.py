@@ -26,6 +26,8 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.runtime import ship
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_NODES = 1_000_000
@@ -146,6 +148,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                     ends = {}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (words, tokens, size))], ["doc_id", "n_words", "n_tokens", "n_bytes"])
 
+    ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint, n_bytes bigint")
 

@@ -180,7 +180,7 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     item = prose(900, 40)
     texts = [prose(i, 60).capitalize() for i in range(80)]
-    texts += [texts[0], texts[1].upper(), prose(901, 30) + " " + item + " " + prose(902, 30), f"{prose(903, 40)} token = abcdef123456 {prose(904, 20)}", " ".join(w + "$$$" for w in prose(905, 90).split()), "too short", None, ""]
+    texts += [texts[0], texts[1].replace(" ", "  "), prose(901, 30) + " " + item + " " + prose(902, 30), f"{prose(903, 40)} token = abcdef123456 {prose(904, 20)}", " ".join(w + "$$$" for w in prose(905, 90).split()), "too short", None, ""]
     docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
