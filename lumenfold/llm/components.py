@@ -17,16 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node with an edge.
 
     edges has columns a and b of one type, no nulls; loops and repeats are allowed. No neighbour list is ever
-    gathered: a hub is a key of joins, which Spark splits, and of minima, which are summed before the shuffle.
+    gathered: a hub is a key of joins of two shuffled tables, which Spark splits, and of minima, which are taken before the shuffle.
     """
     edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "cc-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "cc")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
         after = _state(edges)

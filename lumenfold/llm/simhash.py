@@ -83,14 +83,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     roots = components(written(links(nodes.select("fp")), "simhash-links"))
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written, so that the join shuffles both sides and Spark can split a large component
+    classes = written(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-roots")
     classes = written(joined.join(classes, "root").select("fp", "component_id"), "simhash-classes")
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: similar_groups(): fingerprints of WORDS * 64 bits in segments of SEGMENT bits; DISTANCE bits of 192 stand for a Jaccard
+#: similar_groups(): fingerprints of WORDS * 64 bits in segments of SEGMENT bits; DISTANCE bits of 256 stand for a Jaccard
 #: similarity of word shingles of about 0.8. Balls are over the LOW bits of a segment that were decided most narrowly.
-WORDS, SEGMENT, DISTANCE, LOW = 3, 32, 33, 6
+WORDS, SEGMENT, DISTANCE, LOW = 4, 32, 44, 6
 SEGMENTS = WORDS * BITS // SEGMENT
 _ROW = [f"f{w}" for w in range(WORDS)]
 
@@ -169,7 +170,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     edges = near.select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(linked.select(F.col("id").alias("a"), F.col("other").alias("b")))
     roots = components(edges)
     joined = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    keepers = joined.groupBy("root").agg(F.min("first").alias("keeper"))
+    keepers = written(joined.groupBy("root").agg(F.min("first").alias("keeper")), "similar-keepers")
     classes = written(joined.join(keepers, "root").select(*_ROW, "keeper"), "similar-classes")
     own = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & F.col("text_hash").eqNullSafe(F.col("keeper.text_hash"))
     return marked.join(classes, _ROW, "left").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("keeper"), own.alias("stays"))

@@ -26,7 +26,8 @@ SIZES = (3, 4)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 #: Invented URLs in the manner of good pages and of spam; 1 is to be blocked.
-GOOD_HOSTS = ("library", "gardening", "museum", "weather", "recipes", "history", "physics", "travelnotes", "openmaps", "journal", "schoolbook", "townhall", "birdwatch", "chess", "astronomy", "poetry")
+GOOD_HOSTS = ("library", "gardening", "museum", "weather", "recipes", "history", "physics", "travelnotes", "openmaps", "journal", "schoolbook", "townhall", "birdwatch", "chess", "astronomy", "poetry",
+              "orchestra", "railway", "harbour", "botanic", "theatre", "geology", "village", "mountain", "cooking", "pottery", "painting", "grammar", "sailing", "insects", "medieval", "harvest")
 SPAM_HOSTS = ("cheap-pills", "spam-farm", "casino-bonus", "free-viagra", "win-money", "adult-cams", "payday-loans", "replica-watch", "click-bait", "poker-online", "diet-miracle", "hot-singles", "crypto-double", "essay-mill", "fake-followers", "warez-crack")
 GOOD_PATHS = ("/en/12", "/de/340.html", "/fr/5/", "/es/77?page=2&ref=x", "/about", "/articles/2019/river")
 SPAM_PATHS = ("/en/12", "/de/340.html", "/fr/5/", "/es/77?utm_source=feed", "/buy-now", "/win/free-bonus")
@@ -56,7 +57,7 @@ def buckets_of(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     return let(F.concat(F.lit("^"), host, F.lit("$")), lambda h: let(F.concat(F.lit("^"), path, F.lit("$")), lambda p: F.concat(*(grams("h", h, n) for n in SIZES), *(grams("p", p, n) for n in SIZES))))
 
 
-def train(labels: DataFrame, buckets: int = BUCKETS, steps: int = 200, rate: float = 2.0, penalty: float = 1e-3) -> list[float]:
+def train(labels: DataFrame, buckets: int = BUCKETS, steps: int = 300, rate: float = 12.0, penalty: float = 2e-4) -> list[float]:
     """Weights by bucket, then the intercept, from the columns url and label (1 is to be blocked)."""
     rows = labels.select(F.col("label").cast("int").alias("label"), buckets_of(host_of(F.col("url")), path_of(F.col("url")), buckets).alias("f")).where("label IS NOT NULL").limit(MAX_LABELS + 1).collect()
     if len(rows) > MAX_LABELS:
