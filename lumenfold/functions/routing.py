@@ -75,7 +75,7 @@ def required_evidence(types: Column, family: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("global_timeline"), F.lit("low_fps_context")), by_type, by_family))
 
 
-CLIP = r"\b(first|second|third|fourth|fifth|1st|2nd|3rd|4th|5th)\s+(?:clip|segment|scene)\b"
+CLIP = terms.CLIP
 
 
 def clip_index(low: Column) -> Column:

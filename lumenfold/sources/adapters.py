@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions import terms
+
 LETTERS = "ABCDEFGH"
 
 
@@ -39,7 +41,7 @@ def from_option_lines(rows: DataFrame) -> DataFrame:
 
 def chat_row(text: Column, choices: Column, truth: Column, image: Column) -> Column:
     """Struct (messages, images) of a question with an image."""
-    content = F.concat(text, F.lit("The choices are listed below:\n"), F.concat_ws("\n", choices), F.lit("\nSelect the best answer to the above multiple-choice question based on the image. Respond with only the letter (A, B, C, D, or E) of the correct option\nThe best answer is:."))
+    content = F.concat(text, F.lit(terms.CHAT_CHOICES), F.concat_ws("\n", choices), F.lit(terms.CHAT_ORDER))
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return F.struct(F.array(message("user", content), message("assistant", truth)).alias("messages"), F.array(image).alias("images"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions import terms
+
 #: Fields of a run record.
 RECORD = """config string, dataset string, shard int, record_key string, modality string, status string, Answer string, ground_truth string, correct boolean,
 raw_response string, question string, task_type string, sub_category string, source_bytes bigint, evidence_bytes bigint, compression_ratio double,
@@ -65,8 +67,7 @@ def slim(records: DataFrame, heavy: tuple[str, ...] = HEAVY) -> DataFrame:
 def file_class(path: str = "path"):
     """slim, skip or copy by a file's extension."""
     extension = F.lower(F.regexp_extract(F.col(path), r"(\.[A-Za-z0-9]+)$", 1))
-    media = (".jpg", ".jpeg", ".png", ".mp4", ".mov", ".avi", ".wav", ".mp3", ".gz", ".tar", ".zip", ".pt", ".pth", ".bin")
-    return F.when(extension.isin(".json", ".jsonl"), "slim").when(extension.isin(*media), "skip").otherwise("copy")
+    return F.when(extension.isin(*terms.SLIM_EXTENSIONS), "slim").when(extension.isin(*terms.SKIPPED_EXTENSIONS), "skip").otherwise("copy")
 
 
 def write_report(summary: DataFrame, path: str, title: str = "Report") -> None:
