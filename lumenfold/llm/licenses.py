@@ -66,19 +66,20 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
             dice = F.transform(fits, lambda t: F.struct((F.size(F.array_intersect(grams, t["grams"])) * 2.0 / (n + F.size(t["grams"]))).alias("dice"), t["name"].alias("license"), unit["unit"].alias("unit"), unit["number"].alias("number")))
             return F.filter(dice, lambda m: m["dice"] >= threshold)
 
-        # repeats lower the number of distinct bigrams, so only the lower bound prunes by words
-        return let(F.array_remove(F.split(unit["text"], " "), ""), lambda words: F.when(F.size(words) - 1 >= least * low, let(_bigrams(words), lambda grams: F.when(F.size(grams) <= most * high, scored(grams)))))
+        # a unit has no more distinct bigrams than words less one, and no fewer than distinct words less one
+        fits = lambda words: (F.size(words) - 1 >= least * low) & (F.size(F.array_distinct(words)) - 1 <= most * high)
+        return let(unit["words"], lambda words: F.when(fits(words), let(_bigrams(words), lambda grams: F.when(F.size(grams) <= most * high, scored(grams)))))
 
     def units(text: Column) -> Column:
-        named = lambda kind, parts: F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("number"), x.alias("text")))
-        lines = lambda t: F.when(F.instr(t, "\n") > 0, named("line", F.split(t, "\n"))).otherwise(F.array().cast("array<struct<unit:string,number:int,text:string>>"))
-        blocks = lambda t: F.when(F.regexp_like(t, F.lit(r"\n *\n")), named("paragraph", F.split(t, r"\n *\n[ \n]*"))).otherwise(F.array().cast("array<struct<unit:string,number:int,text:string>>"))
-        whole = lambda t: F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("number"), F.regexp_replace(t, "\n", " ").alias("text")))
-        return F.concat(lines(text), blocks(text), whole(text))
-
-    normal = F.regexp_replace(F.lower(text_of()), "[^a-z0-9\n]+", " ")
-    found = docs.select("doc_id", normal.alias("normal"), table.alias("table"))
-    matches = F.flatten(F.filter(F.transform(let(F.col("normal"), units), of_unit), lambda m: m.isNotNull()))
+        """Words of lines, paragraphs and the text; each line is split once, and the text is its lines' words together."""
+        own = lambda x: F.array_remove(F.split(x, "[^a-z0-9]+"), "")
+        named = lambda kind, parts: F.transform(parts, lambda w, i: F.struct(F.lit(kind).alias("unit"), i.alias("number"), w.alias("words")))
+        none = F.array().cast("array<struct<unit:string,number:int,words:array<string>>>")
+        blocks = F.when(F.regexp_like(text, F.lit("\n[^a-z0-9\n]*\n")), named("paragraph", F.transform(F.split(text, "\n[^a-z0-9\n]*\n[^a-z0-9]*"), own))).otherwise(none)
+        return let(F.transform(F.split(text, "\n"), own), lambda lines: F.concat(F.when(F.size(lines) > 1, named("line", lines)).otherwise(none), blocks, named("text", F.array(F.flatten(lines)))))
+
+    found = docs.select("doc_id", F.lower(text_of()).alias("low"), table.alias("table"))
+    matches = F.flatten(F.filter(F.transform(let(F.col("low"), units), of_unit), lambda m: m.isNotNull()))
     flat = F.transform(matches, lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"), m["unit"].alias("unit"), m["number"].cast("bigint").alias("number")))
     return found.select("doc_id", flat.alias("matches"))
 
