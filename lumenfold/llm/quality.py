@@ -31,8 +31,6 @@ CHI_MEDIAN = 3.3567
 FLOOR = (0.03, 0.1, 0.1, 0.02)
 #: Bins per unit of the logarithm of distance.
 CELLS = 64
-#: Width of the cells in which medians and quartiles are counted.
-CELL = 0.004
 
 
 def _repeated(words: Column) -> Column:
@@ -123,13 +121,14 @@ def fit(rows: DataFrame) -> DataFrame:
     if groups.where("estimate IS NOT NULL").isEmpty():
         nothing = {c: F.lit(None).cast("double") for c in [*(f"m{j}" for j in range(DIMS)), *(f"c{j}{k}" for j in range(DIMS) for k in range(j + 1)), "scale"]}
         return groups.withColumns(nothing)
-    cells = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.floor(F.col(f"x{j}") / CELL).alias("cell")) for j in range(DIMS))))
+    cells = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.floor(F.col(f"x{j}") / (FLOOR[j] / 2)).alias("cell")) for j in range(DIMS))))
     counts = good.join(groups, "g").where("estimate IS NOT NULL").select("estimate", cells.alias("e")).groupBy("estimate", "e.j", "e.cell").agg(F.count("*").alias("n"))
     by = Window.partitionBy("estimate", "j")
     run = counts.withColumns({"upto": F.sum("n").over(by.orderBy("cell")), "all": F.sum("n").over(by)})
-    at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("cell"))) + 0.5) * CELL
-    start = run.groupBy("estimate", "j").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"))
+    at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("cell"))) + 0.5)
     floors = F.array(*map(F.lit, FLOOR))
+    width = F.get(floors, F.col("j")) / 2  # cells in which medians and quartiles are counted: half the regularisation
+    start = run.groupBy("estimate", "j").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s")).select("estimate", "j", (F.col("m") * width).alias("m"), (F.col("s") * width).alias("s"))
     start = start.groupBy("estimate").agg(*(F.max(F.when(F.col("j") == j, F.col("m"))).alias(f"m{j}") for j in range(DIMS)), *(F.max(F.when(F.col("j") == j, F.greatest("s", F.get(floors, F.lit(j))))).alias(f"c{j}{j}") for j in range(DIMS)))
     start = start.withColumns({f"c{j}{k}": F.lit(0.0) for j in range(DIMS) for k in range(j)})
     model = written(groups.join(start, "estimate", "left"), "mcd-model")
