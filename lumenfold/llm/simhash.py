@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import without, written
+from lumenfold.llm.common import BROADCAST_KEYS, without, written
 from lumenfold.llm.components import components
 from lumenfold.runtime import ship
 
@@ -90,25 +90,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 #: similar_groups(): fingerprints of WORDS * 64 bits in segments of SEGMENT bits; DISTANCE bits of 256 stand for a Jaccard
-#: similarity of word shingles of about 0.8. Balls are over the LOW bits of a segment that were decided most narrowly.
+#: similarity of word shingles of about 0.75, so candidates are wider than links. Balls are over the LOW bits of a segment that were decided most narrowly.
 WORDS, SEGMENT, DISTANCE, LOW = 4, 32, 44, 6
 SEGMENTS = WORDS * BITS // SEGMENT
 _ROW = [f"f{w}" for w in range(WORDS)]
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[list[int], list[int]]:
+def shingle_hashes(text: bytes, shingle: int):
+    """XXH64 of every shingle of words, with repeats; fewer words are one shingle, and no words are the hash 0."""
+    import numpy as np
+    import xxhash
+
+    words = text.lower().split()
+    h = xxhash.xxh64_intdigest
+    if len(words) < shingle:
+        return np.array([h(b" ".join(words), 42) if words else 0], dtype=np.uint64)
+    return np.fromiter((h(b" ".join(s), 42) for s in zip(*(words[k:] for k in range(shingle)), strict=False)), dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+def shingle_set(hashes) -> tuple:
+    """The distinct hashes as sorted signed numbers, and the signed hash that names the set."""
+    import numpy as np
+    import xxhash
+
+    distinct = np.unique(hashes)
+    name = xxhash.xxh64_intdigest(distinct.tobytes(), 42)
+    return distinct.view(np.int64), name - (1 << BITS) if name >> (BITS - 1) else name
+
+
+def wide_fingerprint(hashes) -> tuple[list[int], list[int]]:
     """WORDS signed 64-bit words, and for each segment its LOW bits of the narrowest majority, counted from the right.
 
     Each shingle's XXH64 is mixed anew for every word.
     """
     import numpy as np
-    import xxhash
 
-    words = text.lower().split()
-    h = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    whole = [h(b" ".join(words), 42)] if words else [0]
-    hashes = np.fromiter((h(b" ".join(s), 42) for s in zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else whole, dtype=np.uint64, count=n)
+    n = len(hashes)
     ones = np.zeros(WORDS * BITS, dtype=np.int64)
     for at in range(0, n, 255):  # sums fit into a byte
         x = hashes[at : at + 255]
@@ -128,29 +145,60 @@ def _apart(a: str, b: str):
     return sum(differ[1:], differ[0])
 
 
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id and shingles (the distinct hashes, sorted) of each row."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found = [shingle_set(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column(0).slice(at, 500).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([i for _, i in found], pa.int64()), pa.array([s for s, _ in found], pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Edges (a, b) of the pairs (id, other) whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+    Only texts that stand in a pair are read again.
+    """
+    pairs = written(pairs.distinct(), "similar-pairs")
+    ids = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
+    wanted = written(nodes.join(ids, "id").select("first.doc_id", "first.text_hash"), "similar-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    texts = docs.join(wanted, docs["doc_id"].cast("bigint").eqNullSafe(wanted["doc_id"]) & (F.xxhash64(docs["text"]) == wanted["text_hash"]), "left_semi")
+    sets = written(_sets(texts, shingle).dropDuplicates(["id"]), "similar-sets")
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("shingles").alias("others")), "other")
+    return both.where(9 * F.size(F.array_intersect("shingles", "others")) >= 4 * (F.size("shingles") + F.size("others"))).select(F.col("id").alias("a"), F.col("other").alias("b"))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, text_hash, keeper (doc_id) and stays (true for one text of each group) of each row.
 
-    Wide fingerprints, so that texts with a Jaccard similarity of 0.8 can be found. Fingerprints with an equal segment are
-    compared with the least of them; those found similar need no ball there, so a large group of copies is one row per
+    Texts with the same set of shingles are one node. Wide fingerprints give candidates. Fingerprints with an equal segment
+    are compared with the least of them; those found similar need no ball there, so a large group of copies is one row per
     member, not a full bucket under every key. All others register under the ball of radius 2 over the segment's most
-    uncertain bits, where alike texts differ: two whose segments are up to 4 such bits apart share a key. Each is compared,
-    by complete distance, with its three neighbours under each key. Components within DISTANCE bits are the groups.
+    uncertain bits, where alike texts differ: two whose segments are up to 4 such bits apart share a key. Each is compared
+    with its three neighbours under each key. Candidates within DISTANCE bits whose shingles have a Jaccard similarity of
+    0.8 or more, counted exactly, are linked; the components of these links are the groups.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [wide_fingerprint(t.as_py() or b"", shingle) for t in batch.column(2).cast(pa.binary())]
+            hashes = [shingle_hashes(t.as_py() or b"", shingle) for t in batch.column(2).cast(pa.binary())]
+            found, ids = [wide_fingerprint(h) for h in hashes], [shingle_set(h)[1] for h in hashes]
             words = [pa.array([f[w] for f, _ in found], pa.int64()) for w in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *words, pa.array([low for _, low in found], pa.list_(pa.int8()))], ["doc_id", "text_hash", *_ROW, "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), *words, pa.array([low for _, low in found], pa.list_(pa.int8()))], ["doc_id", "text_hash", "id", *_ROW, "low"])
 
     ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    marked = written(source.mapInArrow(run, f"doc_id bigint, text_hash bigint, {', '.join(f'{c} bigint' for c in _ROW)}, low array<tinyint>"), "similar-fp")
-    nodes = marked.groupBy(*_ROW).agg(F.min(F.struct("doc_id", "text_hash", "low")).alias("first"))
-    nodes = written(nodes.select(F.xxhash64(*_ROW).alias("id"), F.struct("first.doc_id", "first.text_hash").alias("first"), F.col("first.low").alias("low"), *_ROW), "similar-nodes")
+    marked = written(source.mapInArrow(run, f"doc_id bigint, text_hash bigint, id bigint, {', '.join(f'{c} bigint' for c in _ROW)}, low array<tinyint>"), "similar-fp")
+    nodes = marked.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", *_ROW, "low")).alias("first"))
+    nodes = written(nodes.select("id", F.struct("first.doc_id", "first.text_hash").alias("first"), F.col("first.low").alias("low"), *(F.col(f"first.{c}").alias(c) for c in _ROW)), "similar-nodes")
     per_word = BITS // SEGMENT
     values = [F.shiftrightunsigned(c, SEGMENT * (per_word - 1 - k)).bitwiseAND(F.lit((1 << SEGMENT) - 1)) for c in _ROW for k in range(per_word)]
     keys = F.explode(F.array(*(F.struct(v.bitwiseOR(F.lit(t << SEGMENT)).alias("key"), F.slice("low", t * LOW + 1, LOW).alias("low")) for t, v in enumerate(values))))
@@ -167,13 +215,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     pairs = met.select("id", F.explode("others").alias("other")).where("other IS NOT NULL").distinct()
     named = lambda side: nodes.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in _ROW))
     linked = pairs.join(named("id"), "id").join(named("other"), "other").where(_apart("id_", "other_") <= DISTANCE).select("id", "other")
-    edges = near.select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(linked.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    edges = _verified(near.select("id", "other").unionByName(linked), nodes, docs, shingle)
     roots = components(edges)
-    joined = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    joined = nodes.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     keepers = written(joined.groupBy("root").agg(F.min("first").alias("keeper")), "similar-keepers")
-    classes = written(joined.join(keepers, "root").select(*_ROW, "keeper"), "similar-classes")
+    classes = written(joined.join(keepers, "root").select("id", "keeper"), "similar-classes")
     own = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & F.col("text_hash").eqNullSafe(F.col("keeper.text_hash"))
-    return marked.join(classes, _ROW, "left").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("keeper"), own.alias("stays"))
+    return marked.join(classes, "id", "left").select("doc_id", "text_hash", F.col("keeper.doc_id").alias("keeper"), own.alias("stays"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -85,6 +85,26 @@ def test_similar_groups_find_copies_and_leave_others(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k in keepers.values()}
 
 
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups_link_exactly_the_pairs_at_four_fifths(spark):
+    texts = []
+    for s in range(300, 340):
+        base = prose(s, 300).split()
+        cut = 30 + s % 10  # a new end leaves a Jaccard similarity of about 0.75 to 0.82
+        texts += [" ".join(base), " ".join(base[:-cut] + prose(s + 1000, cut).split())]
+    shared = prose(77, 230)
+    texts += [f"{shared} {prose(s, 70)}" for s in range(400, 440)]
+    linked = [jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, 80, 2)]
+    assert any(linked) and not all(linked)
+    keepers = {r.doc_id: r.keeper for r in simhash.similar_groups(frame(spark, texts)).collect()}
+    assert [i for i in range(0, 80, 2) if keepers[i + 1] == i and not linked[i // 2]] == []
+    assert all(keepers[i] == i for i in range(80, 120))
+
+
 def test_dedup_of_hard_rows(spark):
     docs = frame(spark, HARD)
     kept = simhash.deduplicated(docs.union(docs.where("doc_id IN (3, 14)")))  # rows repeated with their id
