@@ -174,6 +174,39 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
     return both.where(9 * F.size(F.array_intersect("shingles", "others")) >= 4 * (F.size("shingles") + F.size("others"))).select(F.col("id").alias("a"), F.col("other").alias("b"))
 
 
+def _rare_keys(nodes: DataFrame, marked: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """id, n (shingles), key and at: the shared shingles among the n - 0.8n + 1 rarest of each node, and their places there.
+
+    Sets with a Jaccard similarity of 0.8 share one of these, whichever order all sets have in common; the rarest first
+    leave a passage that many texts hold to the end. A shingle of one text only takes a place but makes no row.
+    """
+    own = marked.join(nodes.select("id", "first"), "id")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    texts = without(docs, written(own.where(~same).select("doc_id", "text_hash").distinct(), "similar-copies"))
+    if not marked.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        texts = texts.withColumn("_similar_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_similar_text"])
+    rows = _sets(texts, shingle).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
+    own = Window.partitionBy("id")
+    placed = shared.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "key")) - 1)
+    return written(placed.where("at <= n - floor((4 * n + 4) / 5)").select("id", "n", "key", "at"), "similar-keys")
+
+
+def _across(keys: DataFrame, roots: DataFrame, all_pairs: bool) -> DataFrame:
+    """Pairs (id, other) with a key in common that aren't in one component yet: of all rows, or of each key's least id and the rest.
+
+    Pairs that can't reach 0.8 are left out: by size, and by the shingles that follow the place of the key.
+    """
+    rooted = keys.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    bounds = rooted.groupBy("key").agg(F.min("id").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    rooted = written(rooted.join(bounds.select("key", "least"), "key"), "similar-rooted")
+    side = rooted if all_pairs else rooted.where("id = least")
+    others = side.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("root").alias("other_root"))
+    met = rooted.join(others, "key").where("root != other_root AND " + ("other < id" if all_pairs else "other != id"))
+    met = met.where("5 * least(n, m) >= 4 * greatest(n, m) AND 9 * least(n - at, m - place) >= 4 * (n + m)")
+    return met.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other"))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, text_hash, keeper (doc_id) and stays (true for one text of each group) of each row.
 
@@ -182,7 +215,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     member, not a full bucket under every key. All others register under the ball of radius 2 over the segment's most
     uncertain bits, where alike texts differ: two whose segments are up to 4 such bits apart share a key. Each is compared
     with its three neighbours under each key. Candidates within DISTANCE bits whose shingles have a Jaccard similarity of
-    0.8 or more, counted exactly, are linked; the components of these links are the groups.
+    0.8 or more, counted exactly, are linked.
+
+    That is the fast path, which makes one component of most groups. The rest is exact: every two texts that share one of
+    their rarest shingles and aren't in one component yet are compared, first with the least of the shingle, then all. So
+    the groups are the components of all pairs with a similarity of 0.8 or more.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -216,6 +253,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     named = lambda side: nodes.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in _ROW))
     linked = pairs.join(named("id"), "id").join(named("other"), "other").where(_apart("id_", "other_") <= DISTANCE).select("id", "other")
     edges = _verified(near.select("id", "other").unionByName(linked), nodes, docs, shingle)
+    keys = _rare_keys(nodes, marked, docs, shingle)
+    for all_pairs in (False, True):
+        edges = written(edges, "similar-edges")
+        edges = edges.unionByName(_verified(_across(keys, components(edges), all_pairs), nodes, docs, shingle))
     roots = components(edges)
     joined = nodes.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     keepers = written(joined.groupBy("root").agg(F.min("first").alias("keeper")), "similar-keepers")

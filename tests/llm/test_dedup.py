@@ -105,6 +105,17 @@ def test_similar_groups_link_exactly_the_pairs_at_four_fifths(spark):
     assert all(keepers[i] == i for i in range(80, 120))
 
 
+def test_similar_groups_miss_no_pair_beside_a_shared_passage(spark):
+    shared = prose(78, 200)
+    texts = []
+    for s in range(500, 700):
+        own = prose(s, 100).split()
+        texts += [f"{shared} {' '.join(own)}", f"{' '.join(prose(s + 5000, 20).split())} {shared} {' '.join(own[:-8])}"]
+    assert all(jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, 400, 2)) and jaccard(texts[0], texts[2]) < 0.6
+    keepers = {r.doc_id: r.keeper for r in simhash.similar_groups(frame(spark, texts)).collect()}
+    assert keepers == {i: i - i % 2 for i in range(400)}
+
+
 def test_dedup_of_hard_rows(spark):
     docs = frame(spark, HARD)
     kept = simhash.deduplicated(docs.union(docs.where("doc_id IN (3, 14)")))  # rows repeated with their id
