@@ -74,14 +74,18 @@ def novelty(candidate: str, around: str) -> float:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
-    found, reach = [], 0
+    found, reach, at, m, none = [], 0, 0, None, len(text) + 1  # no candidate begins at none or later
     for word in SENSITIVE.finditer(text):
-        if word.end() < reach:
-            continue
+        # within an earlier reach the search goes on from the last candidate; a match still ahead is kept
+        at = word.end() if word.end() >= reach else max(at, word.end())
         stop = text.find("\n", word.end(), word.end() + CONTEXT_REACH)
         reach = stop if stop >= 0 else word.end() + CONTEXT_REACH
-        at = word.end()
-        while (m := CANDIDATE.search(text, at)) and m.start() < reach:
+        while True:
+            if at < none and (m is None or m.start() < at):
+                m = CANDIDATE.search(text, at)
+                none = none if m else at
+            if at >= none or m.start() >= reach:
+                break
             at = m.end()
             value = m[0]
             if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or any(a < m.end() and m.start() < b for a, b, _ in taken):

@@ -90,6 +90,14 @@ def test_novelty_tells_keys_from_names():
     assert sum(spans(f"client secret is {k}.") == [k] for k in random_keys) >= 49
 
 
+def test_novelty_after_a_word_within_an_earlier_reach():
+    value = "Zk83hQ7Lw0pXs92VbT5r"
+    text = f"The api for partners needs this long lived signing key: {value}"
+    assert secret_scan.novel_spans(text, []) == [(56, 76, "novel")]
+    assert secret_scan.redact(text).endswith("key: [SECRET]")
+    assert secret_scan.novel_spans("token auth key " * 20000, []) == []
+
+
 def test_redacted_keeps_rows_and_columns(spark):
     texts = [None, "", "token = abcdef1234 end", f"key {KEY} x password=hunter22x", prose(1, 50)]
     docs = frame(spark, texts)
