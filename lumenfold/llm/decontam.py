@@ -66,7 +66,7 @@ def _runs(words: Column, pos: Column, item: Column, off: Column, w: Column) -> C
 
 def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8) -> DataFrame:
     """Per row of documents: doc_id, n_words, spans (array of word intervals that are hit, disjoint and in order), items
-    (array of item_id, containment: the share of the item's windows that occur under its best alignment)."""
+    (array of item_id, containment: the share of the item's windows that occur anywhere in the text, over all alignments)."""
     index, small, longest = _index(documents, benchmark, window)
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_words(text_of()).alias("words"))
     docs = docs.withColumn("n_words", F.size("words").cast("bigint"))
@@ -87,14 +87,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8) -> DataFr
     # length bound: a whole window has to fit into the text
     met = tokens.join(F.broadcast(index) if small else index, "token").where("n_words >= w")
     found = F.when(F.col("item").isNotNull(), _runs(F.col("around"), F.col("skip") + F.col("pos"), F.col("item"), F.col("off"), F.col("w")))
-    met = met.select("doc_id", "text_hash", "n_words", "item_id", F.when(F.col("item").isNull(), 1).otherwise(0).alias("mark"), "base", (F.size("item") - F.col("w") + 1).alias("windows"), "w", found.alias("runs"))
-    here = F.aggregate("runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] - F.col("w") + 1)
+    met = met.select("doc_id", "text_hash", "n_words", "item_id", F.when(F.col("item").isNull(), 1).otherwise(0).alias("mark"), "base", (F.size("item") - F.col("w") + 1).alias("windows"), "w", (F.col("skip") + F.col("pos") - F.col("off")).alias("laid"), found.alias("runs"))
+    # numbers of the item's windows, so an inserted or missing word, which parts two alignments, costs only the windows over it
+    held = F.transform("runs", lambda r: F.struct((r["a"] - F.col("laid")).alias("first"), (r["b"] - F.col("laid") - F.col("w")).alias("last")))
     placed = F.when(F.size("runs") > 0, F.transform("runs", lambda r: F.struct((F.col("base") + r["a"]).alias("a"), (F.col("base") + r["b"]).alias("b"))))
-    per_item = F.when(F.size("runs") > 0, F.struct("item_id", (here / F.col("windows")).alias("containment")))
+    per_item = F.when(F.size("runs") > 0, F.struct("item_id", "windows", held.alias("held")))
     met = met.select("doc_id", "text_hash", "n_words", "mark", placed.alias("runs"), per_item.alias("item"))
     rows = met.groupBy("doc_id", "text_hash").agg(F.sum("mark").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("runs")).alias("runs"), F.collect_set("item").alias("found"))
     ids = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item_id"])))
-    items = F.transform(ids, lambda i: F.struct(i.alias("item_id"), F.array_max(F.transform(F.filter("found", lambda f: f["item_id"] == i), lambda f: f["containment"])).alias("containment")))
+    numbers = lambda fs: F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(F.transform(fs, lambda f: f["held"]))), lambda h: F.sequence(h["first"], h["last"]))))
+    items = F.transform(ids, lambda i: let(F.filter("found", lambda f: f["item_id"] == i), lambda fs: F.struct(i.alias("item_id"), (F.size(numbers(fs)) / F.get(fs, F.lit(0))["windows"]).alias("containment"))))
     merged = F.aggregate(F.array_sort("runs"), F.array().cast("array<struct<a:int,b:int>>"), lambda out, r: F.when(
         (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["b"] >= r["a"]),
         F.array_append(F.slice(out, 1, F.size(out) - 1), F.struct(F.get(out, F.size(out) - 1)["a"].alias("a"), F.greatest(F.get(out, F.size(out) - 1)["b"], r["b"]).alias("b"))),

@@ -63,3 +63,12 @@ def test_decontaminated_drops_by_containment(spark):
     assert sorted(r.doc_id for r in left.collect()) == [2, 4, 5, 6]
     assert decontam.decontaminated(docs, bench.limit(0)).count() == len(texts)
     assert decontam.op4_decontamination(frame(spark, []), bench).count() == 0
+
+
+def test_containment_is_over_all_alignments(spark):
+    item = [f"w{k}x" for k in range(59)]
+    texts = [" ".join([*item[:30], "inserted", *item[30:]]), " ".join([*item[:30], *item[31:]]), " ".join(item[:30]), " ".join([*item[:30], *["other"] * 900, *item[30:]])]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: [round(i.containment * 52) for i in r["items"]] for r in decontam.leaks(frame(spark, texts), bench, 8).collect()}
+    assert got == {0: [45], 1: [44], 2: [23], 3: [45]}
+    assert [r.doc_id for r in decontam.decontaminated(frame(spark, texts), bench, 0.8).collect()] == [2]
