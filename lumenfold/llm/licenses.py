@@ -45,6 +45,32 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+#: Short notices are worded in many ways: each of WORDINGS with each of these names is a template, unless an earlier one of its licence reaches it and no other licence does.
+NAMES = {
+    "agpl-3.0": "the GNU Affero General Public License, version 3", "apache-2.0": "the Apache License, Version 2.0", "bsd-2-clause": "the BSD 2-Clause License",
+    "cc-by-4.0": "CC BY 4.0", "cc-by-nc-4.0": "CC BY-NC 4.0", "cc-by-sa-4.0": "CC BY-SA 4.0", "cc0-1.0": "CC0 1.0", "gpl-2.0": "the GNU General Public License, version 2",
+    "gpl-3.0": "the GNU General Public License, version 3", "isc": "the ISC License", "mit": "the MIT License", "mpl-2.0": "the Mozilla Public License, version 2.0", "unlicense": "the Unlicense",
+}
+WORDINGS = [f"{start}{verb} under {{}}." for start in ("", "This project is ") for verb in ("Licensed", "Released", "Distributed", "Available")]
+
+
+def _worded() -> dict[str, str]:
+    reaches = lambda g, h: 2 * len(g & h) >= THRESHOLD * (len(g) + len(h))
+    found = {}
+    for name, called in NAMES.items():
+        own = [g for t, text in TEMPLATES.items() if t == name or t.startswith(f"{name}-") for g in [set(bigrams_of(text))]]
+        for wording in WORDINGS:
+            grams = set(bigrams_of(wording.format(called)))
+            others = [set(bigrams_of(wording.format(other))) for other in NAMES.values() if other != called]
+            if not any(reaches(grams, g) for g in own) or any(reaches(grams, g) for g in others):
+                own.append(grams)
+                found[f"{name}-{'-'.join(wording.lower().split()[:-2])}"] = wording.format(called)
+    return found
+
+
+TEMPLATES |= _worded()
+
+
 def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 

@@ -130,6 +130,13 @@ def brute_license(text):
     return len(found), ",".join(sorted({n for _, n in found})), min(((-d, n) for d, n in found), default=(None, None))
 
 
+def test_short_notices_are_found_in_many_wordings(spark):
+    verbs = ("Licensed", "Released", "Distributed", "Available", "This project is released")
+    want = [(f"{v} under {called}.", name) for v in verbs for name, called in licenses.NAMES.items()]
+    got = {r.doc_id: r.best_license for r in licenses.op5_license_scan(frame(spark, [f"some prose\n{t}\nmore" for t, _ in want])).collect()}
+    assert [t for i, (t, name) in enumerate(want) if not (got[i] or "").startswith(name)] == []
+
+
 def test_op5_equals_brute_force(spark):
     t = licenses.TEMPLATES
     texts = [*HARD, *t.values(), prose(1, 80) + "\n" + t["gpl-3.0"] + "\n" + prose(2, 60), "intro\n\n" + t["mit"].replace(". ", ".\n") + "\n \n" + prose(3, 30), t["apache-2.0-header"].upper().replace("AGREED TO", ""), t["mit"][: len(t["mit"]) // 2], "\n" + t["cc-by-nc-4.0"]]
