@@ -59,7 +59,7 @@ def _worded() -> dict[str, str]:
     found = {}
     for name, called in NAMES.items():
         own = [g for t, text in TEMPLATES.items() if t == name or t.startswith(f"{name}-") for g in [set(bigrams_of(text))]]
-        for wording in WORDINGS:
+        for wording in WORDINGS if called.startswith("the ") else WORDINGS[:4]:
             grams = set(bigrams_of(wording.format(called)))
             others = [set(bigrams_of(wording.format(other))) for other in NAMES.values() if other != called]
             if not any(reaches(grams, g) for g in own) or any(reaches(grams, g) for g in others):
