@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,37 +53,93 @@ def alnum_words(text: Column) -> Column:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts lineage, survives lost executors and has a known size.
 
-    The tables go when the session's process ends.
+    The tables go with discard(), at the end of a tidy() block, or when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(forget)
+        atexit.register(_forget)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-#: Keys up to which without() broadcasts them: some 60 MB.
-BROADCAST_KEYS = 1_000_000
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read any more."""
+    for path in [t._written_at for t in tables]:
+        for entry in [e for e in _written if e[1] == path]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
+@contextmanager
+def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, the tables that written() has made within, but for those given to the function that it yields."""
+    before, kept = list(_written), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._written_at)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for entry in [e for e in _written if e not in before and e[1] not in kept]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
+#: Cells, of 64 bits each, of the filter that sifts rows by keys: a broadcast table of two megabytes at most.
+SIFT_CELLS = 1 << 17
+_SIFT_MASK = "shiftleft(1L, int(shiftright(_sift_h, 17) & 63)) | shiftleft(1L, int(shiftright(_sift_h, 23) & 63))"
+
+
+def _sifted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs that may be among keys (doc_id, text_hash), and those that surely aren't.
+
+    The keys make a Bloom filter: each sets two bits of one cell. It has a fixed size; the more keys, the more rows may be
+    among them, up to all.
+    """
+    hashed = lambda doc_id, text_hash: F.xxhash64(doc_id.cast("string"), text_hash)
+    cell = F.expr(f"int(_sift_h & {SIFT_CELLS - 1})").alias("_sift_cell")
+    bits = keys.select(hashed(keys["doc_id"], keys["text_hash"]).alias("_sift_h"))
+    bits = written(bits.groupBy(cell).agg(F.bit_or(F.expr(_SIFT_MASK)).alias("_sift_bits")), "sift")
+    marked = docs.withColumn("_sift_h", hashed(docs["doc_id"], F.xxhash64(docs["text"]))).withColumn("_sift_cell", cell)
+    marked = marked.join(F.broadcast(bits), "_sift_cell", "left")
+    may = F.coalesce(F.expr(f"_sift_bits & ({_SIFT_MASK}) = ({_SIFT_MASK})"), F.lit(False))
+    return tuple(marked.where(part).select(docs.columns) for part in (may, ~may))
+
+
+def _same(docs: DataFrame, keys: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(keys["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["text_hash"])
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id and text aren't among gone (doc_id, text_hash), a written table.
+    """The rows of docs whose doc_id and text aren't among gone (doc_id, text_hash).
 
-    Up to BROADCAST_KEYS keys go to the texts; beyond that, texts are shuffled to the keys.
+    Rows that a filter of the keys lets through are shuffled to the keys by doc_id and text, so copies of a text part; the
+    others, nearly all if few keys are gone, never move. Exact for any number of keys, and one plan for all of them.
     """
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"]), "left_anti")
+    may, rest = _sifted(docs, gone)
+    return rest.unionAll(may.join(gone.hint("shuffle_hash"), _same(may, gone), "left_anti"))
+
+
+def within(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text are among wanted (doc_id, text_hash), likewise."""
+    may, _ = _sifted(docs, wanted)
+    return may.join(wanted.hint("shuffle_hash"), _same(may, wanted), "left_semi")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        return
 
 
-def forget() -> None:
-    """Delete the tables that written() has made."""
+def _forget() -> None:
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
+        _delete(*_written.pop())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import written
+from lumenfold.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,9 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "cc-least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "cc")
+        discard(edges, least)
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        discard(large, least)
         after = _state(edges)
         if after == before:
             break
