@@ -2,10 +2,11 @@
 
 Each text becomes a vector of four transformed statistics: log word length, log symbol density, log punctuation density and
 the root of the share of capitals, each smoothed so that short texts don't stand out. Per group of language and source, a
-regularised minimum-covariance-determinant estimate is found by concentration steps from coordinatewise medians and
-quartiles: order by Mahalanobis distance, take the H share of smallest distance, re-estimate centre and covariance. A text
-is rejected if its squared distance is over CUTOFF times the group's scale (median distance over the chi-square median, 1 at
-least).
+regularised minimum-covariance-determinant estimate is found by concentration steps from two starts, coordinatewise medians
+and quartiles, and the mean and covariance of all: order by Mahalanobis distance, take the H share of smallest distance,
+re-estimate centre and covariance, until no group's log determinant moves by DRIFT or STEPS are done. Of the two the estimate
+of the smaller determinant counts. A text is rejected if its squared distance is over CUTOFF times the group's scale (median
+distance over the chi-square median, 1 at least).
 
 Every step is one pass over the small table of vectors: distances fall into at most BINS logarithmic bins, and counts, sums
 and cross products are aggregated by group and bin before the shuffle, so a group of any size costs its bins. Groups under
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import let, space_words, text_of, written
 
 DIMS = 4
-H, STEPS, CUTOFF, MIN_GROUP, BINS = 0.75, 3, 60.0, 40, 1024
+H, STEPS, DRIFT, CUTOFF, MIN_GROUP, BINS = 0.75, 12, 1e-3, 60.0, 40, 1024
+_X = [f"x{j}" for j in range(DIMS)]
+_MODEL = [*(f"m{j}" for j in range(DIMS)), *(f"c{j}{k}" for j in range(DIMS) for k in range(j + 1))]
 #: Median of the chi-square distribution with DIMS degrees of freedom.
 CHI_MEDIAN = 3.3567
 #: Standard deviation added to each statistic (the regularisation).
@@ -92,16 +95,42 @@ def _cell() -> Column:
     return F.least(F.floor(CELLS * F.log1p(_distance())), F.lit(BINS - 1)).cast("int")
 
 
+def _sums() -> list[Column]:
+    """Sums and cross products of the vector."""
+    return [F.sum(x).alias(f"s{j}") for j, x in enumerate(_X)] + [F.sum(F.col(f"x{j}") * F.col(f"x{k}")).alias(f"p{j}{k}") for j in range(DIMS) for k in range(j + 1)]
+
+
 def _factor(df: DataFrame) -> DataFrame:
-    """Columns m and c from counts n, sums s and products p: the regularised covariance's Cholesky factor."""
-    df = df.select("estimate", *((F.col(f"s{j}") / F.col("n")).alias(f"m{j}") for j in range(DIMS)), *((F.col(f"p{j}{k}") / F.col("n") - F.col(f"s{j}") * F.col(f"s{k}") / (F.col("n") * F.col("n")) + (FLOOR[j] ** 2 if j == k else 0.0)).alias(f"v{j}{k}") for j in range(DIMS) for k in range(j + 1)))
+    """estimate, start, m, c and det from counts n, sums s and products p: the mean, the regularised covariance's Cholesky factor and
+    the logarithm of its determinant."""
+    mean = lambda j: F.col(f"s{j}") / F.col("n")
+    spread = lambda j, k: F.col(f"p{j}{k}") / F.col("n") - mean(j) * mean(k) + (FLOOR[j] ** 2 if j == k else 0.0)
+    df = df.select("estimate", "start", *(mean(j).alias(f"m{j}") for j in range(DIMS)), *(spread(j, k).alias(f"v{j}{k}") for j in range(DIMS) for k in range(j + 1)))
     for j in range(DIMS):
         for k in range(j + 1):
             rest = F.col(f"v{j}{k}")
             for i in range(k):
                 rest = rest - F.col(f"c{j}{i}") * F.col(f"c{k}{i}")
             df = df.withColumn(f"c{j}{k}", F.sqrt(F.greatest(rest, F.lit(FLOOR[j] ** 2 / 4))) if j == k else rest / F.col(f"c{k}{k}"))
-    return df.drop(*(f"v{j}{k}" for j in range(DIMS) for k in range(j + 1)))
+    det = sum((2 * F.log(f"c{j}{j}") for j in range(1, DIMS)), 2 * F.log("c00"))
+    return df.select("estimate", "start", *_MODEL, det.alias("det"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Two first estimates: medians and quartiles (start 0), counted in cells of half the regularisation, and all rows' mean and covariance (1)."""
+    floors = F.array(*map(F.lit, FLOOR))
+    cells = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.floor(F.col(x) / (FLOOR[j] / 2)).alias("cell")) for j, x in enumerate(_X))))
+    counts = rows.select("estimate", cells.alias("e")).groupBy("estimate", "e.j", "e.cell").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("estimate", "j")
+    run = counts.withColumns({"upto": F.sum("n").over(by.orderBy("cell")), "all": F.sum("n").over(by)})
+    at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("cell"))) + 0.5)
+    width = F.get(floors, F.col("j")) / 2
+    found = run.groupBy("estimate", "j").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s")).select("estimate", "j", (F.col("m") * width).alias("m"), F.greatest(F.col("s") * width, F.get(floors, F.col("j"))).alias("s"))
+    of = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c)))
+    wide = found.groupBy("estimate").agg(*(of("m", j).alias(f"m{j}") for j in range(DIMS)), *(of("s", j).alias(f"c{j}{j}") for j in range(DIMS)))
+    wide = wide.withColumns({f"c{j}{k}": F.lit(0.0) for j in range(DIMS) for k in range(j)}).withColumns({"start": F.lit(0), "det": F.lit(float("inf"))})
+    every = rows.groupBy("estimate").agg(F.count("*").alias("n"), *_sums()).withColumn("start", F.lit(1))
+    return wide.select("estimate", "start", *_MODEL, "det").unionByName(_factor(every))
 
 
 def _pools(rows: DataFrame) -> DataFrame:
@@ -115,37 +144,34 @@ def _pools(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """By g: estimate, centre m, factor c and scale, from the measured rows that pass the base rules."""
+    """By g: estimate, centre m, factor c, det and scale, from the measured rows that pass the base rules."""
     groups = _pools(rows)
-    good = rows.where(~F.col("base_failed"))
-    if groups.where("estimate IS NOT NULL").isEmpty():
-        nothing = {c: F.lit(None).cast("double") for c in [*(f"m{j}" for j in range(DIMS)), *(f"c{j}{k}" for j in range(DIMS) for k in range(j + 1)), "scale"]}
-        return groups.withColumns(nothing)
-    cells = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.floor(F.col(f"x{j}") / (FLOOR[j] / 2)).alias("cell")) for j in range(DIMS))))
-    counts = good.join(groups, "g").where("estimate IS NOT NULL").select("estimate", cells.alias("e")).groupBy("estimate", "e.j", "e.cell").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("estimate", "j")
-    run = counts.withColumns({"upto": F.sum("n").over(by.orderBy("cell")), "all": F.sum("n").over(by)})
-    at = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("cell"))) + 0.5)
-    floors = F.array(*map(F.lit, FLOOR))
-    width = F.get(floors, F.col("j")) / 2  # cells in which medians and quartiles are counted: half the regularisation
-    start = run.groupBy("estimate", "j").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s")).select("estimate", "j", (F.col("m") * width).alias("m"), (F.col("s") * width).alias("s"))
-    start = start.groupBy("estimate").agg(*(F.max(F.when(F.col("j") == j, F.col("m"))).alias(f"m{j}") for j in range(DIMS)), *(F.max(F.when(F.col("j") == j, F.greatest("s", F.get(floors, F.lit(j))))).alias(f"c{j}{j}") for j in range(DIMS)))
-    start = start.withColumns({f"c{j}{k}": F.lit(0.0) for j in range(DIMS) for k in range(j)})
-    model = written(groups.join(start, "estimate", "left"), "mcd-model")
-    sums = [F.sum(f"x{j}").alias(f"s{j}") for j in range(DIMS)] + [F.sum(F.col(f"x{j}") * F.col(f"x{k}")).alias(f"p{j}{k}") for j in range(DIMS) for k in range(j + 1)]
-    by = Window.partitionBy("estimate")
-    for step in range(STEPS + 1):
-        binned = good.join(model, "g").where("estimate IS NOT NULL").withColumn("cell", _cell()).groupBy("estimate", "cell").agg(F.count("*").alias("n"), *(sums if step < STEPS else []))
-        share = H if step < STEPS else 0.5
-        binned = binned.withColumns({"before": F.sum("n").over(by.orderBy("cell")) - F.col("n"), "all": F.sum("n").over(by)}).where(F.col("before") < share * F.col("all"))
-        if step < STEPS:
-            near = binned.groupBy("estimate").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in binned.columns if c[0] in "sp" and c[1:].isdigit()))
-            model = written(groups.join(_factor(near), "estimate", "left"), "mcd-model")
-        else:
-            # under 1 the regularisation prevails, and stretching distances would undo it
-            scale = binned.groupBy("estimate").agg(F.greatest(F.lit(1.0), F.expm1((F.max("cell") + 1) / float(CELLS)) / CHI_MEDIAN).alias("scale"))
-            model = written(model.join(scale, "estimate", "left"), "mcd-model")
-    return model
+    placed = rows.where(~F.col("base_failed")).join(groups, "g").where("estimate IS NOT NULL").select("estimate", *_X)
+    placed = written(placed, "mcd-placed")
+    if placed.isEmpty():
+        return groups.withColumns({c: F.lit(None).cast("double") for c in [*_MODEL, "det", "scale"]})
+    model = written(_starts(placed), "mcd-model")
+
+    def nearest(share: float, *more: Column) -> DataFrame:
+        """Bins of the share of rows nearest to each estimate."""
+        by = Window.partitionBy("estimate", "start")
+        binned = placed.join(model, "estimate").withColumn("cell", _cell()).groupBy("estimate", "start", "cell").agg(F.count("*").alias("n"), *more)
+        binned = binned.withColumns({"before": F.sum("n").over(by.orderBy("cell")) - F.col("n"), "all": F.sum("n").over(by)})
+        return binned.where(F.col("before") < share * F.col("all"))
+
+    for _ in range(STEPS):
+        near = nearest(H, *_sums())
+        near = near.groupBy("estimate", "start").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in near.columns if c[0] in "sp" and c[1:].isdigit()))
+        stepped = written(_factor(near), "mcd-model")
+        drift = stepped.join(model.select("estimate", "start", F.col("det").alias("last")), ["estimate", "start"]).agg(F.max(F.abs(F.col("det") - F.col("last")))).first()[0]
+        model = stepped
+        if drift < DRIFT:
+            break
+    best = F.row_number().over(Window.partitionBy("estimate").orderBy("det", "start"))
+    model = written(model.withColumn("_rank", best).where("_rank = 1").drop("_rank"), "mcd-model")
+    # under 1 the regularisation prevails, and stretching distances would undo it
+    scale = nearest(0.5).groupBy("estimate").agg(F.greatest(F.lit(1.0), F.expm1((F.max("cell") + 1) / float(CELLS)) / CHI_MEDIAN).alias("scale"))
+    return written(groups.join(model.drop("start").join(scale, "estimate"), "estimate", "left"), "mcd-model")
 
 
 def _judged(rows: DataFrame, model: DataFrame) -> DataFrame:
@@ -162,10 +188,10 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, all columns. Texts are measured once more rather than shuffled to their verdicts."""
-    model = fit(written(measured(docs), "mcd-rows"))
+    """The rows of docs that are kept, all columns. Rows are written with their statistics, so texts are measured once and never shuffled."""
     whole = docs.select(F.struct("*").alias("_row"), "lang", "source", "text")
-    return _judged(measured(whole, "_row"), model).where("kept").select("_row.*")
+    rows = written(measured(whole, "_row"), "mcd-whole")
+    return _judged(rows, fit(rows.drop("_row"))).where("kept").select("_row.*")
 
 
 def op2_quality_rules(docs: DataFrame) -> DataFrame:
