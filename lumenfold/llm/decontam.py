@@ -1,117 +1,153 @@
-"""Benchmark decontamination by a prefix-filtered set join.
+"""Benchmark decontamination by a prefix-filtered set join over shingles.
 
-Words are ordered by rarity over all documents. Every benchmark window of `window` words gets one necessary prefix
-token, its rarest word: a document that holds the window holds that word. Only occurrences of prefix tokens are joined;
-each joined occurrence fixes an alignment of the item over the document. Length and position bounds clip the alignment,
-and an exact comparison of all words under the item-sized window verifies which benchmark windows occur there.
+Shingles are windows of `window` words. One map stage over the documents hashes every window and keeps those that a Bloom
+filter of the benchmark's windows lets through, with the MD5 of their words; from then on only these rows move. They count
+each shingle's documents, which orders an item's shingles by rarity. To cover the share `least` of an item's words, a
+document has to hold one of its rarest shingles, the necessary prefix: only prefix shingles are joined (without `least` a
+single shingle is a leak, so the prefix is the item). A candidate passes the length bound if it has enough words; all
+its shingles of the item are then joined, and containment is taken over item-sized windows of the document: the largest
+share of the item's words that its shingles cover there, in any alignments, so an inserted, missing or changed word costs
+only the words around it.
 
-The index (one row per item and prefix token occurrence) is broadcast only if its counted rows stay within
-BROADCAST_ROWS; beyond it the join is a shuffled one on the token, which Spark splits where a token is hot.
+The Bloom filter is a constant of the plan of at most MAX_BITS bits. Beyond what it can hold, more rows pass to the exact
+join and nothing else changes. No text is joined or shuffled here.
 
 Defined results: null and empty texts have no words and no hits; null or wordless items match nothing; an item shorter
-than a window is one window; repeated items count by item_id; repeated documents are judged row by row; empty tables
-give empty or hitless results; further columns are ignored.
+than a window is one window; repeated items count by item_id, and a null item_id isn't counted; repeated documents are
+judged row by row; empty tables give empty or hitless results; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import alnum_words, let, text_of, without, written
 
-#: Words of the benchmark up to which its vocabulary is broadcast; the index may have ten times as many (some 20 MB).
-BROADCAST_ROWS = 200_000
-#: Words of a document that are joined as one row's block, unless the longest item has more than half as many.
-BLOCK = 512
-#: A token that no text can hold; it carries each document through the join once.
-SENTINEL = "\x00"
-
-
-def _index(documents: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, bool, int]:
-    """Rows (token, item_id, off, item, w): w is the item's window size. True if they may be broadcast. The longest item's words."""
-    items = benchmark.select("item_id", alnum_words(text_of()).alias("item")).where(F.size("item") > 0).distinct()
-    items = written(items.withColumn("w", F.least(F.size("item"), F.lit(window))), "leak-items")
-    vocabulary = items.select(F.explode("item").alias("token")).distinct()
-    seen = documents.select(alnum_words(text_of()).alias("words")).select(F.explode_outer("words").alias("token"))
-    words, longest = items.agg(F.sum(F.size("item")), F.max(F.size("item"))).first()
-    if (words or 0) <= BROADCAST_ROWS:
-        counts = seen.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df"))
+#: Bits of the filter: BITS_EACH for each benchmark window, up to a megabyte.
+MAX_BITS, BITS_EACH = 1 << 23, 16
+#: Share of an item's words from which decontaminated() drops a document.
+CONTAINMENT = 0.5
+_HIT = "array<struct<pos:int,w:int,h:bigint,digest:binary>>"
+
+
+def _windows(hashes: Column, w: int) -> Column:
+    """Hash of each window of w words, from the words' hashes; at least w of them."""
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - w), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(w))))
+
+
+def _found(words: Column, sizes: list[int], passes) -> Column:
+    """(pos, w, h, digest) of the windows of these sizes whose hash passes."""
+
+    def of_size(hashes: Column, w: int) -> Column:
+        kept = F.transform(_windows(hashes, w), lambda h, i: F.when(passes(h), F.struct(i.alias("pos"), F.lit(w).alias("w"), h.alias("h"))))
+        return F.when(F.size(hashes) >= w, F.filter(kept, lambda s: s.isNotNull())).otherwise(F.array().cast("array<struct<pos:int,w:int,h:bigint>>"))
+
+    def named(s: Column) -> Column:
+        own = F.array_join(F.slice(words, s["pos"] + 1, s["w"]), " ")
+        return F.struct(s["pos"].alias("pos"), s["w"].alias("w"), s["h"].alias("h"), F.unhex(F.md5(own)).alias("digest"))
+
+    if not sizes:
+        return F.array().cast(_HIT)
+    hits = let(F.transform(words, lambda x: F.xxhash64(x)), lambda hashes: F.concat(*(of_size(hashes, w) for w in sizes)))
+    return F.transform(hits, named).cast(_HIT)
+
+
+def _index(benchmark: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
+    """A row for each item and distinct window: item_id, variant (of items with one id), size (words), w, h, digest, offs (its
+    places); and the window sizes that occur."""
+    items = benchmark.select("item_id", alnum_words(text_of()).alias("words")).where(F.size("words") > 0)
+    items = items.withColumns({"size": F.size("words"), "variant": F.xxhash64("words")}).withColumn("least", F.least("size", F.lit(window)))
+    placed = []
+    for w in range(1, window + 1):
+        found = _found(F.col("words"), [w], lambda h: F.lit(True))
+        placed.append(items.where(F.col("least") == w).select("item_id", "variant", "size", F.inline(found)))
+    rows = placed[0]
+    for more in placed[1:]:
+        rows = rows.unionByName(more)
+    index = rows.groupBy("item_id", "variant", "size", "w", "h", "digest").agg(F.array_sort(F.collect_set("pos")).alias("offs"))
+    index = written(index, "leak-index")
+    return index, sorted(r["w"] for r in index.select("w").distinct().collect())
+
+
+def _filter(index: DataFrame):
+    """A predicate on a window's hash that every window of the index fulfils, and few others do."""
+    bits = 1 << 12
+    while bits < min(MAX_BITS, BITS_EACH * index.count()):
+        bits *= 2
+    at = lambda h, k: (F.shiftrightunsigned(h, 41) if k else h).bitwiseAND(F.lit(bits - 1))
+    places = index.select(F.explode(F.array(at(F.col("h"), 0), at(F.col("h"), 1))).alias("b"))
+    set_bits = places.groupBy(F.shiftright("b", 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("x"))
+    cells = [0] * (bits // 64)
+    for r in set_bits.collect():  # at most MAX_BITS / 64 rows
+        cells[r["cell"]] = r["x"]
+    table = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<bigint>")
+    holds = lambda b: F.getbit(F.get(table, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return lambda h: holds(at(h, 0)) & holds(at(h, 1))
+
+
+def _coverage(hits: Column, size: Column) -> Column:
+    """The largest share of the item's words that hits (pos, w, offs) cover within a span of its size and one window's slack."""
+    span = lambda hs: size + F.get(hs, F.lit(0))["w"]
+    covered = lambda hs: F.size(F.array_distinct(F.flatten(F.transform(hs, lambda x: F.flatten(F.transform(x["offs"], lambda o: F.sequence(o, o + x["w"] - 1)))))))
+    inside = lambda hs, s: F.filter(hs, lambda x: (x["pos"] >= s["pos"]) & (x["pos"] + x["w"] <= s["pos"] + span(hs)))
+    short = lambda hs: F.get(F.reverse(hs), F.lit(0))["pos"] + F.get(hs, F.lit(0))["w"] - F.get(hs, F.lit(0))["pos"] <= span(hs)
+    most = let(F.array_sort(hits), lambda hs: F.when(short(hs), covered(hs)).otherwise(F.array_max(F.transform(hs, lambda s: covered(inside(hs, s))))))
+    return most / size
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8, least: float | None = None) -> DataFrame:
+    """Per row of documents: doc_id, text_hash, n_words, spans (word intervals [a, b) under the items' windows, in order) and
+    items (array of item_id, containment, by item_id). With least, only items of at least that containment."""
+    index, sizes = _index(benchmark, window)
+    passes = _filter(index)
+    found = let(alnum_words(text_of()), lambda words: F.struct(F.size(words).alias("n_words"), _found(words, sizes, passes).alias("hits")))
+    docs = documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("text_hash"), found.alias("f"))
+    docs = written(docs.select("uid", "doc_id", "text_hash", F.col("f.n_words").cast("bigint").alias("n_words"), F.col("f.hits").alias("hits")), "leak-windows")
+    hits = docs.where(F.size("hits") > 0).select("uid", "n_words", F.inline("hits"))
+    shingle = ["h", "digest", "w"]
+    if least is None:
+        met = hits.join(index, shingle)
     else:
-        counts = seen.groupBy("token").agg(F.count("*").alias("df")).join(vocabulary, "token")
-    counts = written(counts, "leak-counts")
-    placed = items.select("item_id", "item", "w", F.posexplode("item").alias("off", "token")).join(counts, "token")
-    # a window with a word that no document has can't occur, so it needs no token
-    ranked = placed.groupBy("item_id", "item", "w").agg(F.array_sort(F.collect_list(F.struct("off", "df", "token"))).alias("places"))
-    starts = F.sequence(F.lit(0), F.size("item") - F.col("w"))
-    inside = lambda s: F.filter("places", lambda p: (p["off"] >= s) & (p["off"] < s + F.col("w")))
-    rarest = lambda places: F.array_min(F.transform(places, lambda p: F.struct(p["df"].alias("df"), p["token"].alias("token"), p["off"].alias("off"))))
-    tokens = F.transform(starts, lambda s: let(inside(s), lambda places: F.when(F.size(places) == F.col("w"), rarest(places))))
-    chosen = ranked.select("item_id", "item", "w", F.explode_outer(F.array_distinct(tokens)).alias("p")).where("p IS NOT NULL")
-    index = written(chosen.select("p.token", "item_id", F.col("p.off").alias("off"), "item", "w"), "leak-index")
-    return index, (index.agg(F.sum(F.size("item") + 8)).first()[0] or 0) <= 10 * BROADCAST_ROWS, longest or 0
-
-
-def _runs(words: Column, pos: Column, item: Column, off: Column, w: Column) -> Column:
-    """Intervals [start, end) of words, under the item laid at pos - off, in which windows of the item occur exactly."""
-    first = F.greatest(pos - off, F.lit(0))
-    skip = first - (pos - off)
-    length = F.least(F.size(words) - first, F.size(item) - skip)
-    same = F.zip_with(F.slice(words, first + 1, length), F.slice(item, skip + 1, length), lambda a, b: a == b)
-    breaks = lambda eq: F.array_append(F.filter(F.transform(eq, lambda x, i: F.when(~x, i)), lambda i: i.isNotNull()), F.size(eq))
-    found = let(same, lambda eq: let(breaks(eq), lambda stop: F.transform(stop, lambda end, k: F.struct(
-        F.when(k == 0, F.lit(0)).otherwise(F.get(stop, k - 1) + 1).alias("a"), end.alias("b")))))
-    return F.transform(F.filter(found, lambda r: r["b"] - r["a"] >= w), lambda r: F.struct((first + r["a"]).alias("a"), (first + r["b"]).alias("b")))
-
-
-def leaks(documents: DataFrame, benchmark: DataFrame, window: int = 8) -> DataFrame:
-    """Per row of documents: doc_id, n_words, spans (array of word intervals that are hit, disjoint and in order), items
-    (array of item_id, containment: the share of the item's windows that occur anywhere in the text, over all alignments)."""
-    index, small, longest = _index(documents, benchmark, window)
-    docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), alnum_words(text_of()).alias("words"))
-    docs = docs.withColumn("n_words", F.size("words").cast("bigint"))
-    # a row of the join carries the words around a block, never those of a whole long text
-    length = max(BLOCK, 2 * longest)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(length)), lambda at: F.struct(
-        at.alias("at"), F.greatest(at - longest, F.lit(0)).alias("base"),
-        F.slice("words", F.greatest(at - longest, F.lit(0)) + 1, F.lit(length) + F.least(at, F.lit(longest)) + longest).alias("around")))
-    docs = docs.select("doc_id", "text_hash", "n_words", blocks.alias("blocks")).select("doc_id", "text_hash", "n_words", F.explode_outer("blocks").alias("block"))
-    own = lambda block: F.slice(block["around"], block["at"] - block["base"] + 1, F.lit(length))
-    # outer explosions, here and above: Spark guards inner ones by a filter that would split each text once more
-    # a lambda here keeps the two explosions in stages of their own, so that one block's rows are buffered at a time
-    tokens = let(F.col("block"), lambda block: F.when(block["at"] == 0, F.array_append(own(block), F.lit(SENTINEL))).otherwise(own(block)))
-    docs = docs.select("doc_id", "text_hash", "n_words", (F.col("block.at") - F.col("block.base")).alias("skip"), F.col("block.base").alias("base"), F.col("block.around").alias("around"), tokens.alias("tokens"))
-    tokens = docs.select("doc_id", "text_hash", "n_words", "skip", "base", "around", F.posexplode_outer("tokens").alias("pos", "token"))
-    mark = index.sparkSession.range(1).select(F.lit(SENTINEL).alias("token"), F.lit(None).cast(index.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("off"), F.lit(None).cast("array<string>").alias("item"), F.lit(0).alias("w"))
-    index = index.unionByName(mark)
-    # length bound: a whole window has to fit into the text
-    met = tokens.join(F.broadcast(index) if small else index, "token").where("n_words >= w")
-    found = F.when(F.col("item").isNotNull(), _runs(F.col("around"), F.col("skip") + F.col("pos"), F.col("item"), F.col("off"), F.col("w")))
-    met = met.select("doc_id", "text_hash", "n_words", "item_id", F.when(F.col("item").isNull(), 1).otherwise(0).alias("mark"), "base", (F.size("item") - F.col("w") + 1).alias("windows"), "w", (F.col("skip") + F.col("pos") - F.col("off")).alias("laid"), found.alias("runs"))
-    # numbers of the item's windows, so an inserted or missing word, which parts two alignments, costs only the windows over it
-    held = F.transform("runs", lambda r: F.struct((r["a"] - F.col("laid")).alias("first"), (r["b"] - F.col("laid") - F.col("w")).alias("last")))
-    placed = F.when(F.size("runs") > 0, F.transform("runs", lambda r: F.struct((F.col("base") + r["a"]).alias("a"), (F.col("base") + r["b"]).alias("b"))))
-    per_item = F.when(F.size("runs") > 0, F.struct("item_id", "windows", held.alias("held")))
-    met = met.select("doc_id", "text_hash", "n_words", "mark", placed.alias("runs"), per_item.alias("item"))
-    rows = met.groupBy("doc_id", "text_hash").agg(F.sum("mark").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("runs")).alias("runs"), F.collect_set("item").alias("found"))
-    ids = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item_id"])))
-    numbers = lambda fs: F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(F.transform(fs, lambda f: f["held"]))), lambda h: F.sequence(h["first"], h["last"]))))
-    items = F.transform(ids, lambda i: let(F.filter("found", lambda f: f["item_id"] == i), lambda fs: F.struct(i.alias("item_id"), (F.size(numbers(fs)) / F.get(fs, F.lit(0))["windows"]).alias("containment"))))
-    merged = F.aggregate(F.array_sort("runs"), F.array().cast("array<struct<a:int,b:int>>"), lambda out, r: F.when(
-        (F.size(out) > 0) & (F.get(out, F.size(out) - 1)["b"] >= r["a"]),
-        F.array_append(F.slice(out, 1, F.size(out) - 1), F.struct(F.get(out, F.size(out) - 1)["a"].alias("a"), F.greatest(F.get(out, F.size(out) - 1)["b"], r["b"]).alias("b"))),
-    ).otherwise(F.array_append(out, r)))
-    return rows.select("doc_id", "text_hash", "n_words", "copies", merged.alias("spans"), items.alias("items"))
+        counts = hits.groupBy(shingle).agg(F.count("*").alias("df"))
+        rare = Window.partitionBy("item_id", "variant").orderBy(F.coalesce("df", F.lit(0)), "h", "digest")
+        own = Window.partitionBy("item_id", "variant")
+        ranked = index.join(counts, shingle, "left").withColumns({"rank": F.row_number().over(rare), "m": F.count("*").over(own), "twice": F.max(F.size("offs")).over(own)})
+        # so many shingles, each at most in its places, are needed to cover the share
+        need = F.greatest(F.lit(1), F.ceil(F.lit(least) * F.col("size") / (F.col("w") * F.col("twice"))))
+        prefix = ranked.where(F.col("rank") <= F.col("m") - need + 1).select("item_id", "variant", "size", *shingle)
+        met = hits.join(prefix, shingle).where(F.col("n_words") >= F.lit(least) * F.col("size")).select("uid", "item_id", "variant").distinct()
+        met = hits.join(met, "uid").join(index.withColumnsRenamed({"item_id": "i", "variant": "v"}), shingle).where(F.col("item_id").eqNullSafe(F.col("i")) & (F.col("variant") == F.col("v")))
+    met = met.select("uid", "item_id", "variant", "size", F.struct("pos", "w", "offs").alias("hit")).repartition("uid")
+    # any item-sized span lies in two neighbouring blocks of its length, so a group has at most that many hits
+    block = F.floor(F.col("hit.pos") / (F.col("size") + F.col("hit.w")))
+    met = met.withColumn("block", F.explode(F.array(block - 1, block)))
+    spans = met.groupBy("uid", "item_id", "variant", "size", "block").agg(F.collect_list("hit").alias("hits"))
+    spans = spans.withColumn("containment", _coverage(F.col("hits"), F.col("size")))
+    items = spans.groupBy("uid", "item_id").agg(F.max("containment").alias("containment"), F.flatten(F.collect_list(F.transform("hits", lambda x: F.struct(x["pos"].alias("pos"), x["w"].alias("w"))))).alias("at"))
+    if least is not None:
+        items = items.where(F.col("containment") >= least)
+    named = F.filter(F.array_sort(F.collect_list(F.struct("item_id", "containment"))), lambda i: i["item_id"].isNotNull())
+    rows = items.groupBy("uid").agg(named.alias("items"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    words = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["pos"], x["pos"] + x["w"] - 1)))))
+    edges = lambda c, step: F.filter(c, lambda x, i: ~F.coalesce(F.get(c, i + step) == x + step, F.lit(False)))
+    runs = let(words, lambda c: F.zip_with(edges(c, -1), edges(c, 1), lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b"))))
+    rows = rows.select("uid", "items", runs.alias("spans"))
+    out = docs.drop("hits").join(rows, "uid", "left").drop("uid")
+    nothing = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)).alias(c)
+    return out.select("doc_id", "text_hash", "n_words", nothing("spans"), nothing("items"))
 
 
 def op4_decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's digest of leaks()."""
-    found = leaks(documents, benchmark, 8).select(F.explode(F.expr("sequence(1L, copies)")).alias("copy"), "*")
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i["item_id"].cast("string"))), ",")
-    return found.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, r: n + r["b"] - r["a"]).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, r: n + r["b"] - r["a"])
+    return leaks(documents, benchmark, 8).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, containment: float = 0.8, window: int = 8) -> DataFrame:
-    """The documents, all columns, in which no item is contained to the given share of its windows."""
-    bad = leaks(documents, benchmark, window).where(F.exists("items", lambda i: i["containment"] >= containment)).select("doc_id", "text_hash")
+def decontaminated(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, window: int = 8) -> DataFrame:
+    """The documents, all columns, in which no item is contained to the given share of its words."""
+    bad = leaks(documents, benchmark, window, containment).where(F.size("items") > 0).select("doc_id", "text_hash").distinct()
     return without(documents, written(bad, "leak-bad"))

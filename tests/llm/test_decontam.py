@@ -44,19 +44,26 @@ def test_op4_equals_brute_force(spark):
     assert twice.count() == 2 * len(texts) and {r.doc_id: r.n_hit for r in twice.collect()} == {k: v[1] for k, v in want.items()}
 
 
-def test_op4_beyond_the_broadcast_bound(spark, monkeypatch):
-    items = [(i, prose(300 + i, 40)) for i in range(6)]
-    texts = [prose(900, 600) + " " + items[2][1] + " " + prose(901, 600), prose(902, 50), None]
+def test_op4_without_broadcasts_and_with_a_full_filter(spark, monkeypatch):
+    items = [(i, prose(300 + i, 40)) for i in range(6)] + [(6, "a b c")]
+    texts = [prose(900, 600) + " " + items[2][1] + " " + prose(901, 600), prose(902, 50), None, "x a b c y " * 50]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 1)
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.op4_decontamination(frame(spark, texts), bench).collect()}
+    monkeypatch.setattr(decontam, "MAX_BITS", 1 << 6)  # lets about every window through
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.op4_decontamination(frame(spark, texts), bench).collect()}
+        kept = sorted(r.doc_id for r in decontam.decontaminated(frame(spark, texts), bench).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == brute(texts, items)
+    assert kept == [1, 2]
 
 
 def test_decontaminated_drops_by_containment(spark):
     items = [(1, prose(700, 40)), (2, prose(701, 5))]
     inside = lambda text: prose(702, 30) + " " + text + " " + prose(703, 30)
-    texts = [inside(items[0][1]), inside(" ".join(items[0][1].split()[:37])), inside(" ".join(items[0][1].split()[:20])), inside(items[1][1]), prose(704, 300), None, ""]
+    texts = [inside(items[0][1]), inside(" ".join(items[0][1].split()[:20])), inside(" ".join(items[0][1].split()[:19])), inside(items[1][1]), prose(704, 300), None, ""]
     docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
     left = decontam.decontaminated(docs, bench)
     assert left.columns == docs.columns
@@ -65,10 +72,43 @@ def test_decontaminated_drops_by_containment(spark):
     assert decontam.op4_decontamination(frame(spark, []), bench).count() == 0
 
 
-def test_containment_is_over_all_alignments(spark):
+def brute_containment(text, item, slack=8):
+    """The largest share of the item's words under its windows in any span of its length and the slack."""
+    t, w = text.split(), item.split()
+    windows = {}
+    for o in range(len(w) - 7):
+        windows.setdefault(tuple(w[o : o + 8]), []).append(o)
+    hits = [(p, o) for p in range(len(t) - 7) for o in windows.get(tuple(t[p : p + 8]), ())]
+    best = 0
+    for start in {p for p, _ in hits}:
+        best = max(best, len({o + k for p, o in hits if start <= p and p + 8 <= start + len(w) + slack for k in range(8)}))
+    return best / len(w)
+
+
+def test_containment_is_over_item_sized_windows(spark):
     item = [f"w{k}x" for k in range(59)]
-    texts = [" ".join([*item[:30], "inserted", *item[30:]]), " ".join([*item[:30], *item[31:]]), " ".join(item[:30]), " ".join([*item[:30], *["other"] * 900, *item[30:]])]
+    texts = [[*item[:30], "inserted", *item[30:]], [*item[:30], *item[31:]], item[:30], [*item[:30], *["other"] * 900, *item[30:]], [*item[:30], *["other"] * 6, *item[30:]], [*item, *item[:20], *item]]
+    texts += [[*item[:k], "changed", *item[k + 1 :]] for k in (5, 29)]
+    rng = random.Random(2)
+    for _ in range(12):
+        words = []
+        for _ in range(rng.randint(1, 8)):
+            a = rng.randrange(50)
+            words += item[a : a + rng.randint(6, 30)] + ["other"] * rng.choice((0, 1, 3, 9, 40))
+        texts.append(words)
+    texts = [" ".join(t) for t in texts]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "the " * 30)], "item_id bigint, text string")
+    got = {r.doc_id: {i.item_id: i.containment for i in r["items"]} for r in decontam.leaks(frame(spark, texts), bench, 8).collect()}
+    want = {i: round(brute_containment(t, " ".join(item)), 6) for i, t in enumerate(texts)}
+    assert {i: round(g.get(1, 0), 6) for i, g in got.items()} == want
+    assert (want[0], want[3]) == (1.0, round(30 / 59, 6))
+    for least in (0.3, 0.8):  # the prefix filter loses none
+        some = {r.doc_id for r in decontam.leaks(frame(spark, texts), bench, 8, least).where("size(items) > 0").collect()}
+        assert some == {i for i, c in want.items() if c >= least}
+
+
+def test_one_changed_word_of_a_short_item_does_not_let_it_through(spark):
+    item = [f"w{k}x" for k in range(16)]
+    texts = [" ".join([prose(5, 20), *item[:k], "changed", *item[k + 1 :], prose(6, 20)]) for k in range(16)]
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
-    got = {r.doc_id: [round(i.containment * 52) for i in r["items"]] for r in decontam.leaks(frame(spark, texts), bench, 8).collect()}
-    assert got == {0: [45], 1: [44], 2: [23], 3: [45]}
-    assert [r.doc_id for r in decontam.decontaminated(frame(spark, texts), bench, 0.8).collect()] == [2]
+    assert decontam.decontaminated(frame(spark, texts), bench).count() == 0
