@@ -1,11 +1,14 @@
 """SimHash near-dedup by multi-index hashing.
 
-Each text becomes a 64-bit fingerprint. Two fingerprints link if they differ in at most two bits. The index
-splits the fingerprint into segments and registers every fingerprint under the Hamming ball of radius 1 of each
-segment, the other segments unchanged: 1 + 64 keys. Fingerprints at distance d <= 2 share a key, whichever
-segments the bits fall into, and fingerprints that share a key are at most 2 apart. So the matches of a key are
-at most 65 fingerprints, whatever the size of a group of copies; each is compared with its neighbour under the key
-by complete distance, which is enough for the same components that all pairs would give.
+Each text becomes a 64-bit fingerprint. Two fingerprints link if they differ in at most two bits. The index has a table for
+each of two segments of 32 bits, in which a fingerprint stands under its segment's value. Of two fingerprints that link, one
+segment differs in a bit at most: each fingerprint looks up the Hamming ball of radius 1 around its segment (only the flips
+that set a bit, as the other of the two has it set), and the complete distance of each match is verified.
+
+A segment value that more than CROWD fingerprints share is split by the rest of the fingerprint: all that would look it up
+register under their full Hamming ball of radius 1, the other segment unchanged or flipped. Two at most 2 bits apart share
+such a key, a key has at most 65 fingerprints, all within 2 bits of each other, and each is linked with its neighbour there,
+which makes the same components as all pairs. So no group is a full bucket, whatever its size.
 
 Defined results: null or empty text has fingerprint zero, which links like any other; copies share a fingerprint and
 are one node; rows with the same doc_id are separate rows of the result; an empty table gives an empty result;
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import BROADCAST_KEYS, without, written
+from lumenfold.llm.common import discard, within, without, written
 from lumenfold.llm.components import components
 from lumenfold.runtime import ship
 
@@ -63,18 +66,44 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return source.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def links(nodes: DataFrame, segments: int = 2) -> DataFrame:
+#: Segments of a fingerprint and bits of each; fingerprints that may share a segment's value before it is split.
+SEGMENTS, CROWD = 2, 64
+SEGMENT_BITS = BITS // SEGMENTS
+
+
+def _signed(n: int) -> int:
+    return n - (1 << BITS) if n >> (BITS - 1) else n
+
+
+def _flipped(bit: int) -> F.Column:
+    return F.col("fp").bitwiseXOR(F.lit(_signed(1 << bit)))
+
+
+def _segment_key(s: int) -> F.Column:
+    """The value of segment s, counted from the right, under the segment's number."""
+    value = F.shiftrightunsigned("fp", SEGMENT_BITS * s).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
+    return value.bitwiseOR(F.lit(s << SEGMENT_BITS))
+
+
+def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b), a > b, between distinct fingerprints of the column fp that keep all components of distance <= 2."""
-    width = BITS // segments
-    ball = [F.col("fp")]
-    for segment in range(segments):
-        for bit in range(segment * width, (segment + 1) * width):
-            flip = 1 << bit
-            ball.append(F.col("fp").bitwiseXOR(F.lit(flip - (1 << 64) if flip >> 63 else flip)))
-    table = nodes.select("fp", F.explode(F.array(*ball)).alias("key"))
-    neighbour = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
-    pairs = table.withColumn("other", neighbour).where("other IS NOT NULL")
-    return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    table = nodes.select("fp", F.explode(F.array(*map(_segment_key, range(SEGMENTS)))).alias("key"))
+    sizes = table.groupBy("key").agg(F.count("*").alias("n"))
+    crowded = written(sizes.where(F.col("n") > crowd).select("key"), "simhash-crowded")
+
+    def probes(s: int) -> list[F.Column]:
+        sets = lambda bit: F.when(_segment_key(s).bitwiseAND(F.lit(1 << bit)) == 0, _segment_key(s).bitwiseXOR(F.lit(1 << bit)))
+        return [_segment_key(s), *map(sets, range(SEGMENT_BITS))]
+
+    looked = nodes.select("fp", F.explode(F.array_compact(F.array(*(k for s in range(SEGMENTS) for k in probes(s))))).alias("key"))
+    open_table = table.join(crowded, "key", "left_anti").withColumnRenamed("fp", "other")
+    within = lambda: (F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2)
+    met = looked.join(open_table.hint("shuffle_hash"), "key").where(within())
+    dense = looked.join(crowded, "key", "left_semi").select("fp").distinct()
+    ball = dense.select("fp", F.explode(F.array(F.col("fp"), *map(_flipped, range(BITS)))).alias("key"))
+    chained = ball.withColumn("other", F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))).where("other IS NOT NULL").where(within())
+    pairs = met.select("fp", "other").unionByName(chained.select("fp", "other"))
+    return pairs.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -89,10 +118,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: similar_groups(): fingerprints of WORDS * 64 bits in segments of SEGMENT bits; DISTANCE bits of 256 stand for a Jaccard
-#: similarity of word shingles of about 0.75, so candidates are wider than links. Balls are over the LOW bits of a segment that were decided most narrowly.
-WORDS, SEGMENT, DISTANCE, LOW = 4, 32, 44, 6
-SEGMENTS = WORDS * BITS // SEGMENT
+#: similar_groups(): fingerprints of WORDS * 64 bits in parts of PART bits; DISTANCE bits of 256 stand for a Jaccard similarity
+#: of word shingles of about 0.75, so candidates are wider than links. Balls are over the LOW bits of a part that were decided most narrowly.
+WORDS, PART, DISTANCE, LOW = 4, 32, 44, 6
+PARTS = WORDS * BITS // PART
+#: A shingle of more texts than COMMON comes last in the order of shingles. A key misses a pair with at most this probability.
+COMMON, MISS = 64, 1e-10
+#: Bits of the filter of common shingles (512 KB), shingles counted at once, rounds in which keys are chosen anew.
+COMMON_BITS, COUNTED, ROUNDS = 1 << 22, 1 << 20, 3
 _ROW = [f"f{w}" for w in range(WORDS)]
 
 
@@ -109,17 +142,16 @@ def shingle_hashes(text: bytes, shingle: int):
 
 
 def shingle_set(hashes) -> tuple:
-    """The distinct hashes as sorted signed numbers, and the signed hash that names the set."""
+    """The distinct hashes in order, and the signed hash that names the set."""
     import numpy as np
     import xxhash
 
     distinct = np.unique(hashes)
-    name = xxhash.xxh64_intdigest(distinct.tobytes(), 42)
-    return distinct.view(np.int64), name - (1 << BITS) if name >> (BITS - 1) else name
+    return distinct, _signed(xxhash.xxh64_intdigest(distinct.tobytes(), 42))
 
 
 def wide_fingerprint(hashes) -> tuple[list[int], list[int]]:
-    """WORDS signed 64-bit words, and for each segment its LOW bits of the narrowest majority, counted from the right.
+    """WORDS signed 64-bit words, and for each part its LOW bits of the narrowest majority, counted from the right.
 
     Each shingle's XXH64 is mixed anew for every word.
     """
@@ -135,8 +167,31 @@ def wide_fingerprint(hashes) -> tuple[list[int], list[int]]:
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(32)
         ones += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    narrow = np.argsort(np.abs(2 * ones - n).reshape(SEGMENTS, SEGMENT), axis=1, kind="stable")[:, :LOW]
-    return np.packbits(2 * ones > n).view(">i8").tolist(), (SEGMENT - 1 - narrow).ravel().tolist()
+    narrow = np.argsort(np.abs(2 * ones - n).reshape(PARTS, PART), axis=1, kind="stable")[:, :LOW]
+    return np.packbits(2 * ones > n).view(">i8").tolist(), (PART - 1 - narrow).ravel().tolist()
+
+
+def chosen_keys(distinct, common) -> tuple:
+    """The shingles of a set of which every set with a Jaccard similarity of 0.8 shares one with it, and how many of them, at the
+    head, aren't common.
+
+    All sets order shingles alike: common ones last, else by hash. Of n shingles the first n - 0.8n + 1 suffice whatever the order
+    (prefix filter). As the order of the others is random, fewer do: if a share r of them at most isn't shared, the first k all
+    miss with probability r ** k.
+    """
+    import math
+
+    import numpy as np
+
+    n = len(distinct)
+    mark = lambda h: (common[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)
+    low = np.uint64(COMMON_BITS - 1)
+    last = (mark(distinct & low) & mark((distinct >> np.uint64(22)) & low)).astype(bool)
+    calm = distinct[~last]
+    most, apart = n - (4 * n + 4) // 5 + 1, 0.25 * n / max(len(calm), 1e-9)
+    k = most if apart >= 1 else min(most, math.ceil(math.log(MISS) / math.log(apart)))
+    head = calm[:k]
+    return np.concatenate((head, distinct[last][: k - len(head)])), len(head)
 
 
 def _apart(a: str, b: str):
@@ -145,119 +200,202 @@ def _apart(a: str, b: str):
     return sum(differ[1:], differ[0])
 
 
+def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """A row (doc_id, text_hash, id, f0 to f3, low) of each text: id names its set of shingles. And rows (id, df) of shingles that
+    three of a task's different sets or more have, of every COUNTED shingles: what is common shows there."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        seen: dict[int, object] = {}
+        size = 0
+        names = ["doc_id", "text_hash", "id", *_ROW, "low", "df"]
+        kinds = [pa.int64()] * (3 + WORDS) + [pa.list_(pa.int8()), pa.int64()]
+
+        def frequent() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+            often = counts > 2
+            values, counts = values[often].view(np.int64), counts[often].astype(np.int64)
+            columns = {"id": pa.array(values), "df": pa.array(counts)}
+            return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(len(values), k)) for n, k in zip(names, kinds, strict=True)], names)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found, ids = [], []
+                for t in part.column(2).cast(pa.binary()):
+                    hashes = shingle_hashes(t.as_py() or b"", shingle)
+                    distinct, name = shingle_set(hashes)
+                    found.append(wide_fingerprint(hashes))
+                    ids.append(name)
+                    if name not in seen:
+                        seen[name] = distinct
+                        size += len(distinct)
+                words = [pa.array([f[w] for f, _ in found], pa.int64()) for w in range(WORDS)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.int64()), *words, pa.array([low for _, low in found], kinds[-2]), pa.nulls(part.num_rows, pa.int64())], names)
+                if size >= COUNTED:
+                    yield frequent()
+                    seen.clear()
+                    size = 0
+        if seen:
+            yield frequent()
+
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id bigint, text_hash bigint, id bigint, {', '.join(f'{c} bigint' for c in _ROW)}, low array<tinyint>, df bigint")
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id and shingles (the distinct hashes, sorted) of each row."""
+    """id and shingles (the distinct hashes) of each row."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 found = [shingle_set(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column(0).slice(at, 500).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([i for _, i in found], pa.int64()), pa.array([s for s, _ in found], pa.list_(pa.int64()))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for _, i in found], pa.int64()), pa.array([s.view(np.int64) for s, _ in found], pa.list_(pa.int64()))], ["id", "shingles"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Edges (a, b) of the pairs (id, other) whose sets of shingles have a Jaccard similarity of 0.8 or more.
+    """Edges (a, b), a written table, of the pairs (id, other) whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
     Only texts that stand in a pair are read again.
     """
     pairs = written(pairs.distinct(), "similar-pairs")
+    if pairs.isEmpty():
+        return pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))
     ids = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
     wanted = written(nodes.join(ids, "id").select("first.doc_id", "first.text_hash"), "similar-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    texts = docs.join(wanted, docs["doc_id"].cast("bigint").eqNullSafe(wanted["doc_id"]) & (F.xxhash64(docs["text"]) == wanted["text_hash"]), "left_semi")
-    sets = written(_sets(texts, shingle).dropDuplicates(["id"]), "similar-sets")
+    sets = written(_sets(within(docs, wanted), shingle).dropDuplicates(["id"]), "similar-sets")
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("shingles").alias("others")), "other")
-    return both.where(9 * F.size(F.array_intersect("shingles", "others")) >= 4 * (F.size("shingles") + F.size("others"))).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    alike = both.where(9 * F.size(F.array_intersect("shingles", "others")) >= 4 * (F.size("shingles") + F.size("others")))
+    edges = written(alike.select(F.col("id").alias("a"), F.col("other").alias("b")), "similar-edges")
+    discard(pairs, wanted, sets)
+    return edges
+
+
+def _fast_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (id, other) of multi-index hashing over the wide fingerprints, at most DISTANCE bits apart."""
+    per_word = BITS // PART
+    values = [F.shiftrightunsigned(c, PART * (per_word - 1 - k)).bitwiseAND(F.lit((1 << PART) - 1)) for c in _ROW for k in range(per_word)]
+    keys = F.explode(F.array(*(F.struct(v.bitwiseOR(F.lit(t << PART)).alias("key"), F.slice("low", t * LOW + 1, LOW).alias("low")) for t, v in enumerate(values))))
+    parts = nodes.select("id", *_ROW, keys.alias("s")).select("id", *_ROW, "s.key", "s.low")
+    hubs = parts.groupBy("key").agg(F.min_by(F.struct("id", *_ROW), F.xxhash64("id", "key")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    near = parts.join(hubs, "key").where(F.col("id") != F.col("hub.id")).where(_apart("", "hub.") <= DISTANCE)
+    near = written(near.select("id", "key", F.col("hub.id").alias("other")), "similar-near")
+    rest = parts.select("id", "key", "low").join(near.select("id", "key"), ["id", "key"], "left_anti")
+    flips = [F.lit(0).cast("bigint"), *(F.expr(f"shiftleft(1L, low[{k}])") for k in range(LOW))]
+    ball = rest.select("id", F.explode(F.array(*(F.col("key").bitwiseXOR(f) for f in flips))).alias("key"))
+    order = Window.partitionBy("key").orderBy("id")
+    met = ball.select("id", F.array(*(F.lag("id", k).over(order) for k in (1, 2, 3))).alias("others")).where("others[0] IS NOT NULL")
+    pairs = met.select("id", F.explode("others").alias("other")).where("other IS NOT NULL").distinct()
+    named = lambda side: nodes.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in _ROW))
+    linked = pairs.join(named("id"), "id").join(named("other"), "other").where(_apart("id_", "other_") <= DISTANCE).select("id", "other")
+    return near.select("id", "other").unionByName(linked)
 
 
-def _rare_keys(nodes: DataFrame, marked: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """id, n (shingles), key and at: the shared shingles among the n - 0.8n + 1 rarest of each node, and their places there.
+def _keys(docs: DataFrame, frequent: DataFrame, shingle: int) -> DataFrame:
+    """id, n (shingles), key and common: the chosen keys of each set, a written table.
 
-    Sets with a Jaccard similarity of 0.8 share one of these, whichever order all sets have in common; the rarest first
-    leave a passage that many texts hold to the end. A shingle of one text only takes a place but makes no row.
+    Keys that turn out to be common are put last, and all keys chosen anew, at most ROUNDS times; any order gives the same groups.
     """
-    own = marked.join(nodes.select("id", "first"), "id")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    texts = without(docs, written(own.where(~same).select("doc_id", "text_hash").distinct(), "similar-copies"))
-    if not marked.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        texts = texts.withColumn("_similar_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_similar_text"])
-    rows = _sets(texts, shingle).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
-    shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
-    own = Window.partitionBy("id")
-    placed = shared.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "key")) - 1)
-    return written(placed.where("at <= n - floor((4 * n + 4) / 5)").select("id", "n", "key", "at"), "similar-keys")
-
-
-def _across(keys: DataFrame, roots: DataFrame, all_pairs: bool) -> DataFrame:
-    """Pairs (id, other) with a key in common that aren't in one component yet: of all rows, or of each key's least id and the rest.
-
-    Pairs that can't reach 0.8 are left out: by size, and by the shingles that follow the place of the key.
+    import numpy as np
+
+    spark = docs.sparkSession
+    bits = np.zeros(COMMON_BITS // 64, np.uint64)
+
+    def add(shingles: DataFrame) -> None:
+        """Set the bits of the column key; at most COMMON_BITS / 64 rows reach the driver."""
+        places = shingles.select(F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(F.lit(COMMON_BITS - 1)) for s in (0, 22)))).alias("b"))
+        for r in places.groupBy(F.shiftright("b", 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 63))")).alias("x")).collect():
+            bits[r["cell"]] |= np.uint64(r["x"] & (1 << BITS) - 1)
+
+    def of_texts() -> DataFrame:
+        shared = spark.sparkContext.broadcast(bits.copy())
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    ids, sizes, calm, common = [], [], [], []
+                    for t in batch.column(0).slice(at, 1000).cast(pa.binary()):
+                        distinct, name = shingle_set(shingle_hashes(t.as_py() or b"", shingle))
+                        keys, n = chosen_keys(distinct, shared.value)
+                        ids.append(name)
+                        sizes.append(len(distinct))
+                        calm.append(keys[:n].view(np.int64))
+                        common.append(keys[n:].view(np.int64))
+                    lists = [pa.array(x, pa.list_(pa.int64())) for x in (calm, common)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["id", "n", "calm", "common"])
+
+        rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id bigint, n bigint, calm array<bigint>, common array<bigint>")
+        each = lambda c: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(c == "common").alias("common")))
+        return written(rows.select("id", "n", F.inline(F.concat(each("calm"), each("common")))).distinct(), "similar-keys")
+
+    add(frequent.groupBy(F.col("id").alias("key")).agg(F.sum("df").alias("df")).where(F.col("df") > COMMON))
+    for _ in range(ROUNDS):
+        keys = of_texts()
+        often = written(keys.where("NOT common").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") > COMMON).select("key"), "similar-common")
+        if often.isEmpty():
+            return keys
+        add(often)
+        discard(keys, often)
+    return of_texts()
+
+
+def _across(keys: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
+    """Pairs (id, other) of one key that aren't in one component yet and whose sizes allow a similarity of 0.8.
+
+    First each set with a hub of the key, another one for each key. With every, each set outside the key's largest component
+    with all of the key.
     """
     rooted = keys.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    bounds = rooted.groupBy("key").agg(F.min("id").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rooted = written(rooted.join(bounds.select("key", "least"), "key"), "similar-rooted")
-    side = rooted if all_pairs else rooted.where("id = least")
-    others = side.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("root").alias("other_root"))
-    met = rooted.join(others, "key").where("root != other_root AND " + ("other < id" if all_pairs else "other != id"))
-    met = met.where("5 * least(n, m) >= 4 * greatest(n, m) AND 9 * least(n - at, m - place) >= 4 * (n + m)")
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rooted = rooted.join(open_keys, "key").select("id", "n", "key", "root")
+    fits = F.expr("root != other_root AND 5 * least(n, m) >= 4 * greatest(n, m)")
+    other = [F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")]
+    if not every:
+        hubs = rooted.groupBy("key").agg(F.min_by(F.struct(*other), F.xxhash64("id", "key")).alias("hub")).select("key", "hub.*")
+        met = rooted.join(hubs, "key").where(fits)
+    else:
+        rooted = written(rooted, "similar-rooted")
+        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+        largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+        side = rooted.join(largest, "key").where("root != main").select("key", *other)
+        met = rooted.join(side, "key").where(fits)
     return met.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, text_hash, keeper (doc_id) and stays (true for one text of each group) of each row.
 
-    Texts with the same set of shingles are one node. Wide fingerprints give candidates. Fingerprints with an equal segment
-    are compared with the least of them; those found similar need no ball there, so a large group of copies is one row per
-    member, not a full bucket under every key. All others register under the ball of radius 2 over the segment's most
-    uncertain bits, where alike texts differ: two whose segments are up to 4 such bits apart share a key. Each is compared
-    with its three neighbours under each key. Candidates within DISTANCE bits whose shingles have a Jaccard similarity of
-    0.8 or more, counted exactly, are linked.
+    Groups are the components of all pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, counted
+    exactly. Texts with the same set are one node. Multi-index hashing gives the first candidates: wide fingerprints with an equal
+    part are compared with a hub of them; those found near need no ball there, so a large group of copies is one row per
+    member, not a full bucket under every key. All others register under the ball of radius 1 over the part's most
+    uncertain bits, where alike texts differ, and meet their neighbours there.
 
-    That is the fast path, which makes one component of most groups. The rest is exact: every two texts that share one of
-    their rarest shingles and aren't in one component yet are compared, first with the least of the shingle, then all. So
-    the groups are the components of all pairs with a similarity of 0.8 or more.
+    That joins most of each group. The rest is complete but for a chance of MISS for each pair: any two similar sets share one of
+    their chosen keys, and those that do and aren't in one component yet are compared, first with a hub of the key, then all.
     """
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            hashes = [shingle_hashes(t.as_py() or b"", shingle) for t in batch.column(2).cast(pa.binary())]
-            found, ids = [wide_fingerprint(h) for h in hashes], [shingle_set(h)[1] for h in hashes]
-            words = [pa.array([f[w] for f, _ in found], pa.int64()) for w in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), *words, pa.array([low for _, low in found], pa.list_(pa.int8()))], ["doc_id", "text_hash", "id", *_ROW, "low"])
-
     ship(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    marked = written(source.mapInArrow(run, f"doc_id bigint, text_hash bigint, id bigint, {', '.join(f'{c} bigint' for c in _ROW)}, low array<tinyint>"), "similar-fp")
+    table = written(_marked(docs, shingle), "similar-fp")
+    marked = table.where("df IS NULL")
     nodes = marked.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", *_ROW, "low")).alias("first"))
     nodes = written(nodes.select("id", F.struct("first.doc_id", "first.text_hash").alias("first"), F.col("first.low").alias("low"), *(F.col(f"first.{c}").alias(c) for c in _ROW)), "similar-nodes")
-    per_word = BITS // SEGMENT
-    values = [F.shiftrightunsigned(c, SEGMENT * (per_word - 1 - k)).bitwiseAND(F.lit((1 << SEGMENT) - 1)) for c in _ROW for k in range(per_word)]
-    keys = F.explode(F.array(*(F.struct(v.bitwiseOR(F.lit(t << SEGMENT)).alias("key"), F.slice("low", t * LOW + 1, LOW).alias("low")) for t, v in enumerate(values))))
-    segments = nodes.select("id", *_ROW, keys.alias("s")).select("id", *_ROW, "s.key", "s.low")
-    hubs = segments.groupBy("key").agg(F.min(F.struct("id", *_ROW)).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    near = segments.join(hubs, "key").where(F.col("id") != F.col("hub.id")).where(_apart("", "hub.") <= DISTANCE)
-    near = written(near.select("id", "key", F.col("hub.id").alias("other")), "similar-near")
-    rest = segments.select("id", "key", "low").join(near.select("id", "key"), ["id", "key"], "left_anti")
-    bit = [F.expr(f"shiftleft(1L, low[{k}])") for k in range(LOW)]
-    flips = [F.lit(0).cast("bigint"), *bit, *(bit[i].bitwiseOR(bit[j]) for i in range(LOW) for j in range(i))]
-    ball = rest.select("id", F.explode(F.array(*(F.col("key").bitwiseXOR(f) for f in flips))).alias("key"))
-    order = Window.partitionBy("key").orderBy("id")
-    met = ball.select("id", F.array(*(F.lag("id", k).over(order) for k in (1, 2, 3))).alias("others")).where("others[0] IS NOT NULL")
-    pairs = met.select("id", F.explode("others").alias("other")).where("other IS NOT NULL").distinct()
-    named = lambda side: nodes.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in _ROW))
-    linked = pairs.join(named("id"), "id").join(named("other"), "other").where(_apart("id_", "other_") <= DISTANCE).select("id", "other")
-    edges = _verified(near.select("id", "other").unionByName(linked), nodes, docs, shingle)
-    keys = _rare_keys(nodes, marked, docs, shingle)
-    for all_pairs in (False, True):
-        edges = written(edges, "similar-edges")
-        edges = edges.unionByName(_verified(_across(keys, components(edges), all_pairs), nodes, docs, shingle))
-    roots = components(edges)
+    edges = _verified(_fast_pairs(nodes), nodes, docs, shingle)
+    keys = _keys(docs, table.where("df IS NOT NULL").select("id", "df"), shingle)
+    roots = written(components(edges), "similar-roots")
+    for every in (False, True):
+        more = _verified(_across(keys, roots, every), nodes, docs, shingle)
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            roots = written(components(edges), "similar-roots")
     joined = nodes.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     keepers = written(joined.groupBy("root").agg(F.min("first").alias("keeper")), "similar-keepers")
     classes = written(joined.join(keepers, "root").select("id", "keeper"), "similar-classes")
