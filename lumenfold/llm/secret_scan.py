@@ -1,13 +1,13 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what no pattern names.
 
-A candidate is an unbroken string of 16 or more key characters, with letters and digits, that stands within
-CONTEXT_REACH characters after a sensitive word on its line and is in no base span. Its novelty is the number of bytes that
+A candidate is an unbroken string of 16 or more key characters, with letters and digits, that begins within
+CONTEXT_REACH characters after a sensitive word on its line and touches no base span. Its novelty is the number of bytes that
 it adds to a zstandard frame primed with the identifier dictionary and the surrounding text, over its length. Identifiers,
 paths and repeated values compress against that; random keys don't and are reported as kind novel.
 
 Work is text by text in Arrow batches: no shuffle, memory bounded by a batch of BATCH_ROWS texts.
 
-Defined results: null is the empty text, which has no spans; spans count code points, the end is exclusive; repeated
+Defined results: null is the empty text, which has no spans; spans of one start come by kind as listed, then by end; spans count code points, the end is exclusive; repeated
 documents are judged row by row; an empty table gives an empty result; other columns pass through redacted() untouched.
 """
 
@@ -73,26 +73,58 @@ def novelty(candidate: str, around: str) -> float:
     return (len(compress(candidate.encode())) - len(compress(b""))) / len(candidate)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
-    found, reach, at, m, none = [], 0, 0, None, len(text) + 1  # no candidate begins at none or later
+def contexts(text: str) -> Iterator[tuple[int, int]]:
+    """Where candidates may begin: from the end of a sensitive word to CONTEXT_REACH characters on or the line's end.
+
+    Reaches that meet are one context. The last one grows while words are found, so contexts come as they are closed.
+    """
+    first = reach = None
     for word in SENSITIVE.finditer(text):
-        # within an earlier reach the search goes on from the last candidate; a match still ahead is kept
-        at = word.end() if word.end() >= reach else max(at, word.end())
-        stop = text.find("\n", word.end(), word.end() + CONTEXT_REACH)
-        reach = stop if stop >= 0 else word.end() + CONTEXT_REACH
+        end = word.end()
+        stop = text.find("\n", end, end + CONTEXT_REACH)
+        stop = stop if stop >= 0 else end + CONTEXT_REACH
+        if reach is not None and end < reach:
+            reach = max(reach, stop)
+            continue
+        if reach is not None:
+            yield first, reach
+        first, reach = end, stop
+    if reach is not None:
+        yield first, reach
+
+
+def candidates(text: str) -> Iterator[re.Match]:
+    """Candidates of all contexts, left to right; a context that begins within a candidate goes on from its end.
+
+    A match that lies beyond a context is kept for the next, so the text is searched once.
+    """
+    ahead, end = None, 0
+    for at, reach in contexts(text):
+        at = max(at, end)
         while True:
-            if at < none and (m is None or m.start() < at):
-                m = CANDIDATE.search(text, at)
-                none = none if m else at
-            if at >= none or m.start() >= reach:
+            if ahead is None or ahead.start() < at:
+                ahead = CANDIDATE.search(text, at)
+                if ahead is None:
+                    return
+            if ahead.start() >= reach:
                 break
-            at = m.end()
-            value = m[0]
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or any(a < m.end() and m.start() < b for a, b, _ in taken):
-                continue
-            around = text[max(0, m.start() - SURROUND) : m.start()] + text[m.end() : m.end() + SURROUND]
-            if novelty(value, around) >= least and (m.start(), m.end(), "novel") not in found:
-                found.append((m.start(), m.end(), "novel"))
+            yield ahead
+            at = end = ahead.end()
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
+    found, at, reach = [], 0, 0  # reach is the largest end of the taken spans that begin before the candidate's end
+    taken = sorted(taken)
+    for m in candidates(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        value = m[0]
+        if reach > m.start() or not (any(map(str.isdigit, value)) and any(map(str.isalpha, value))):
+            continue
+        around = text[max(0, m.start() - SURROUND) : m.start()] + text[m.end() : m.end() + SURROUND]
+        if novelty(value, around) >= least:
+            found.append((m.start(), m.end(), "novel"))
     return found
 
 
