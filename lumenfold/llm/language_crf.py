@@ -6,13 +6,17 @@ lexicon entry (the whole word); all are hashed into tables of 65,536 rows. Learn
 forward-backward gives each word's probability of each language. A document takes the language with the largest mean
 probability, which is its score.
 
-Training takes whole texts of at most SAMPLE_DOCS labelled documents of each language (the first by a hash of doc_id, none over
-SAMPLE_CHARS characters, at most MAX_LANGS languages), cut into windows of WINDOW words; every fourth window is spliced with
-one of another language, so that the transitions see code-switching. Counts and predictions cover all documents.
+Every language of the labelled documents is learned, from a sample of at most SAMPLE_DOCS documents (the first by a hash of
+doc_id and text). Of a text longer than SAMPLE_CHARS characters an excerpt is taken, of all texts fewer characters and words
+where there are many languages, so that the sample's bound holds for any number of them. Sampled words are cut into windows of
+WINDOW words; every fourth window is spliced with one of another language, so that the transitions see code-switching. Counts
+and predictions cover all documents, and whole texts.
 
 Prediction is text by text in Arrow batches: no shuffle, memory bounded by CHUNK_BYTES of text, or by one longer text.
+word_labels() gives the language of each word of code-switched text.
 
-Defined results: null text, or text without a letter, is und with score 0, as is every text if nothing could be learned;
+Defined results: null text, or text without a letter (str.isalpha), is und with score 0, as is every text if nothing could be
+learned; a language whose labelled documents have no letter can't be learned and isn't predicted;
 ties go to the smallest label; a row without doc_id isn't held out and isn't learned from; repeated documents are judged
 row by row; an empty table gives an empty result; further columns are ignored.
 """
@@ -23,19 +27,25 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.runtime import ship
 
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGS = 80, 20_000, 64
+#: Documents of a language in the sample; characters of one text at most, and over all languages; words times languages at most.
+SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS, WORK = 80, 20_000, 320_000, 8_000_000
 WINDOW, STEPS, CHUNK_BYTES = 40, 25, 4 << 20
 ROWS = 1 << 16
 TABLES = ("bigram", "trigram", "prefix", "suffix", "lexicon")
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def lettered(text: str | None) -> bool:
+    """Whether there is a letter; number signs such as halves and superscripts are none."""
+    return bool(text) and (bool(ASCII_LETTER.search(text)) or (not text.isascii() and any(map(str.isalpha, text))))
+
+
 class Words:
     """Words of texts, and the table rows of their features."""
 
@@ -72,9 +82,10 @@ class Words:
         return {"bigram": big, "trigram": tri, "prefix": prefix, "suffix": suffix, "lexicon": lexicon.astype(np.int64)}, offsets
 
 
-def emissions(words: Words, weights: dict[str, np.ndarray], block: int = 1 << 17) -> np.ndarray:
-    """Scores of each word and label."""
+def emissions(words: Words, weights: dict[str, np.ndarray], cells: int = 1 << 19) -> np.ndarray:
+    """Scores of each word and label, computed in blocks of words so that words times labels stay within cells."""
     out = np.zeros((len(words.start), weights["bigram"].shape[1]), np.float32)
+    block = max(1 << 8, cells // max(1, out.shape[1]))
     for lo in range(0, len(out), block):
         rows, offsets = words.rows(lo, lo + block)
         grams = weights["bigram"][rows["bigram"]] + weights["trigram"][rows["trigram"]]
@@ -151,8 +162,9 @@ def train(rows: list[tuple[str, str]], labels: list[str], steps: int = STEPS, ra
         np.add.at(error, flat, post)
         slopes = {"transition": (pairs - seen).astype(np.float32)}
         for t in TABLES:
-            e = np.repeat(error, length, axis=0) if t in TABLES[:2] else error
-            slopes[t] = np.stack([np.bincount(features[t].astype(np.int64), e[:, j], ROWS) for j in range(k)], axis=1).astype(np.float32)
+            rows_of = features[t].astype(np.int64)
+            of_label = lambda j: np.repeat(error[:, j], length) if t in TABLES[:2] else error[:, j]  # noqa: B023, E731
+            slopes[t] = np.stack([np.bincount(rows_of, of_label(j), ROWS) for j in range(k)], axis=1).astype(np.float32)
         for t, g in slopes.items():
             g = g / len(flat) + penalty * weights[t] / len(flat)
             past[t] += g * g
@@ -163,7 +175,7 @@ def train(rows: list[tuple[str, str]], labels: list[str], steps: int = STEPS, ra
 def predict(texts: list[str | None], labels: list[str], weights: dict[str, np.ndarray]) -> tuple[list[str], list[float]]:
     """Label and score of each text."""
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if labels and t and LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if labels and lettered(t)]
     words = Words([texts[i] for i in known])
     if len(words.start):
         post = marginals(emissions(words, weights), words.first, words.count, weights["transition"])
@@ -179,21 +191,69 @@ def held_out() -> F.Column:
 
 def learned(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[str], dict[str, np.ndarray]]:
     """Labels and weights from documents that aren't held out."""
-    usable = docs.select("doc_id", "lang", "text").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).where(F.length("text") <= SAMPLE_CHARS)
-    counts = usable.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    labels = sorted(r["lang"] for r in counts)
+    usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    usable = usable.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out())
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
+        return [], {}
+    most = max(500, min(SAMPLE_CHARS, ALL_CHARS // len(counts)))
+    # some twice the sample passes the shares, so that it is nearly sure to be filled; the ranks then bound it
+    shares = docs.sparkSession.createDataFrame([(y, min(1.0, (2 * sample + 16) / n)) for y, n in counts.items()], "lang string, share double")
+    order = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = usable.withColumn("o", order).join(F.broadcast(shares), "lang").where(F.col("o") < F.col("share"))
+    # an excerpt from anywhere in the text, not only from its head
+    start = F.floor(F.col("o") / F.col("share") * F.greatest(F.length("text") - most, F.lit(0))).cast("int") + 1
+    chosen = chosen.select("lang", "o", F.substring("text", start, F.lit(most)).alias("text"))
+    ranked = chosen.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text")))
+    by: dict[str, list[str]] = {}
+    for r in sorted(ranked.where(F.col("k") <= sample).collect(), key=lambda r: (r["lang"], r["k"])):
+        if lettered(r["text"]):
+            by.setdefault(r["lang"], []).append(r["text"])
+    labels = sorted(by)
     if not labels:
         return [], {}
-    share = F.lit(0.0)
-    for r in counts:  # twice the sample in the mean, so that it is nearly sure to be filled
-        share = F.when(F.col("lang") == r["lang"], min(1.0, (2 * sample + 16) / r["count"])).otherwise(share)
-    order = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    most = len(labels) * (4 * sample + 64)
-    rows = usable.withColumn("o", order).where(F.col("o") < share).select("o", "lang", "text").limit(most).collect()
-    by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["o"], r["text"])):
-        by.setdefault(r["lang"], []).append((r["text"], r["lang"]))
-    return labels, train([x for y in labels for x in by.get(y, [])[:sample] if LETTER.search(x[0])], labels)
+    each = max(4 * WINDOW, WORK // len(labels) ** 2)  # words of a label
+    rows = []
+    for y in labels:
+        left = each
+        for text in by[y]:
+            words = text.split()
+            rows.append((text if len(words) <= left else " ".join(words[:left]), y))
+            left -= len(words)
+            if left <= 0:
+                break
+    return labels, train(rows, labels)
+
+
+def word_labels(docs: DataFrame, labels: list[str], weights: dict[str, np.ndarray]) -> DataFrame:
+    """doc_id and words, an array of (word, lang_pred, score) in order: the language of each word by its own marginal.
+
+    Words are lower-cased, as the model takes them; und stands for every word if nothing was learned.
+    """
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((labels, weights))
+
+    def of_text(text: str | None) -> list[dict]:
+        labels, weights = shared.value
+        words = Words([text or ""])
+        raw = words.bytes.tobytes()
+        names = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start, words.end, strict=True)]
+        if not labels:
+            return [{"word": w, "lang_pred": "und", "score": 0.0} for w in names]
+        post = marginals(emissions(words, weights), words.first, words.count, weights["transition"])
+        return [{"word": w, "lang_pred": labels[p.argmax()], "score": float(p.max())} for w, p in zip(names, post, strict=True)]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("word", pa.string()), ("lang_pred", pa.string()), ("score", pa.float64())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([of_text(t.as_py()) for t in part.column(1)], kind)], ["doc_id", "words"])
+
+    row = "array<struct<word:string,lang_pred:string,score:double>>"
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, f"doc_id bigint, words {row}")
 
 
 def identified(docs: DataFrame, labels: list[str], weights: dict[str, np.ndarray]) -> DataFrame:

@@ -95,7 +95,50 @@ def test_novelty_after_a_word_within_an_earlier_reach():
     text = f"The api for partners needs this long lived signing key: {value}"
     assert secret_scan.novel_spans(text, []) == [(56, 76, "novel")]
     assert secret_scan.redact(text).endswith("key: [SECRET]")
-    assert secret_scan.novel_spans("token auth key " * 20000, []) == []
+    for gap in range(48):  # a later word's reach counts, wherever it ends within an earlier one's
+        assert secret_scan.novel_spans(f"secret a a a a a the key{' ' * gap}{value}", []) == [(24 + gap, 44 + gap, "novel") if gap else (21, 44, "novel")], gap
+
+
+def brute_novel(text, taken):
+    contexts = []
+    for word in secret_scan.SENSITIVE.finditer(text):
+        line = text[word.end() : word.end() + 48]
+        stop = word.end() + (line.index("\n") if "\n" in line else 48)
+        if contexts and word.end() < contexts[-1][1]:
+            contexts[-1][1] = max(contexts[-1][1], stop)
+        else:
+            contexts.append([word.end(), stop])
+    found, end = [], 0
+    for at, reach in contexts:
+        for m in secret_scan.CANDIDATE.finditer(text, max(at, end)):
+            if m.start() >= reach:
+                break
+            end = m.end()
+            around = text[max(0, m.start() - 256) : m.start()] + text[m.end() : m.end() + 256]
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in taken) and secret_scan.novelty(m[0], around) >= secret_scan.NOVELTY:
+                found.append((m.start(), m.end(), "novel"))
+    return found
+
+
+def test_novel_spans_equal_brute_force_on_random_texts():
+    rng, found = random.Random(1), 0
+    pieces = ["secret", "a", "b ", "key", " ", "\n", "token=", "api_key: ", "AKIA" + "B" * 16, "f" * 24, "x9" * 4, "auth"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) if rng.random() < 0.7 else "".join(rng.choices("ABCdefGHIjkl0123456789+/_", k=rng.randint(10, 30))) for _ in range(rng.randint(1, 40)))
+        base = secret_scan.base_spans(text)
+        got = secret_scan.novel_spans(text, base)
+        assert got == brute_novel(text, base), text
+        found += len(got)
+    assert found > 300
+
+
+def test_secrets_of_very_long_texts_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for text in ("some token filler line\n" * 220_000, "token " * 900_000, "key" + "x1" * 2_500_000):
+        assert secret_scan.spans_of(text)[1] == []
+    assert time.process_time() - began < 30  # about 3 seconds; the square of the length would be hours
 
 
 def test_redacted_keeps_rows_and_columns(spark):
@@ -163,6 +206,46 @@ def test_words_of_code_switched_text_are_labelled():
     assert right >= 0.95 * total
 
 
+def test_word_labels_of_code_switched_text(spark):
+    rows = [(prose(i, 60, lang), lang) for i in range(60) for lang in ("de", "fr")]
+    weights = language_crf.train(rows, ["de", "fr"])
+    texts = [prose(300, 20, "de") + ", " + prose(300, 20, "fr"), None, "12 !!", ""]
+    got = {r.doc_id: r["words"] for r in language_crf.word_labels(frame(spark, texts), ["de", "fr"], weights).collect()}
+    assert [w.lang_pred for w in got[0]] == ["de"] * 20 + ["fr"] * 20
+    assert " ".join(w.word for w in got[0]) == re.sub("[^a-zà-ÿ]+", " ", texts[0].lower()) and all(0 <= w.score <= 1 for w in got[0])
+    assert got[1] == got[2] == got[3] == []
+    assert {w.lang_pred for r in language_crf.word_labels(frame(spark, ["a b"]), [], {}).collect() for w in r["words"]} == {"und"}
+
+
+def test_op9_without_letters_to_learn_from(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["123", "!!", "", "½ ²", "abc", None] * 5)], "doc_id bigint, text string, lang string")
+    blank = language_crf.op9_language_id(docs.where("text IS NULL OR text != 'abc'")).collect()
+    assert len(blank) == 25 and {(r.lang_pred, r.score) for r in blank} == {("und", 0.0)}
+    got = language_crf.op9_language_id(docs).collect()
+    assert {(r.lang_pred, r.doc_id % 6 == 4) for r in got} == {("en", True), ("und", False)}
+    assert not language_crf.lettered("½ ² ٣") and language_crf.lettered("1é")
+
+
+def test_op9_learns_languages_of_long_texts_and_many_languages(spark):
+    import string
+
+    long = [(i, prose(i, 6000, lang), lang) for i, lang in enumerate(["en", "de"] * 6)]
+    docs = spark.createDataFrame(long, "doc_id bigint, text string, lang string")
+    assert min(len(t) for _, t, _ in long) > language_crf.SAMPLE_CHARS
+    got = {r.doc_id: r.lang_pred for r in language_crf.op9_language_id(docs).collect()}
+    assert got == {i: lang for i, _, lang in long}
+    rng = random.Random(4)
+    rows = []
+    for k in range(70):
+        letters = rng.sample(string.ascii_lowercase, 6)
+        rows += [(len(rows) + j, " ".join("".join(rng.choices(letters, k=5)) for _ in range(30)), f"l{k:02d}") for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels, weights = language_crf.learned(docs)
+    assert labels == sorted({r[2] for r in rows}) and len(labels) == 70
+    got = {r.doc_id: r.lang_pred for r in language_crf.identified(docs, labels, weights).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.9 * len(rows)
+
+
 def test_every_operator_is_registered_once():
     names = list(queries.queries())
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
