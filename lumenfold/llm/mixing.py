@@ -5,13 +5,14 @@ largest whose entropy reaches target_entropy * ln(number of sources), or to the
 max(w * budget / tokens) stays within max_repeats. Five levels of bisection, 31 dyadic exponents, are evaluated by each
 pass over the small table of sources.
 
-Each source is cut into blocks of about block_tokens tokens by a hash of the document, so a source of any size is many
-independent blocks. Every block gets the budget rate * tokens, rate being w * budget / tokens of the source: that many
+Each source is cut into blocks of about block_tokens tokens, and block_rows rows at most in the mean, by a hash of doc_id and
+text, so a source of any size, with or without tokens, and a doc_id of many rows are many independent blocks. Every block gets the budget rate * tokens, rate being w * budget / tokens of the source: that many
 whole permutations of the block, then the head of one more, cut where the budget ends.
 
 Defined results: a null source is a source of its own; null and empty texts have no tokens and take part in whole
 permutations, and in the last one if they fall before its cut; sources without tokens have rate 1; repeated rows are
-permuted like any other; an empty table gives an empty result; further columns are ignored.
+permuted like any other, those with one doc_id and text together; ties of the order go by doc_id, tokens and text; an empty
+table gives an empty result; further columns are ignored, but for those that keep names.
 """
 
 from __future__ import annotations
@@ -52,29 +53,29 @@ def exponent(sources: DataFrame, target_entropy: float | None = None, max_repeat
     return low if target_entropy is not None else high
 
 
-def mixture(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget_ratio: float = 1.0, block_tokens: int = 1 << 16, seed: int = 7) -> DataFrame:
-    """doc_id, source, n_tokens, epoch (from 0), block and place (from 0, within the block's epoch) of every drawn copy.
+def mixture(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget_ratio: float = 1.0, block_tokens: int = 1 << 16, seed: int = 7, keep: tuple[str, ...] = (), block_rows: int = 1 << 10) -> DataFrame:
+    """doc_id, source, n_tokens, epoch (from 0), block and place (from 0, within the block's epoch) of every drawn copy, and the columns keep.
 
     The budget is budget_ratio times all tokens.
     """
-    counted = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(space_words(text_of())).cast("bigint").alias("n_tokens")), "mix-tokens")
-    sources = written(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "mix-sources")
+    counted = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(space_words(text_of())).cast("bigint").alias("n_tokens"), F.xxhash64("text").alias("text_hash"), F.struct(*(F.col(c).alias(c) for c in keep)).alias("kept") if keep else F.lit(0).alias("kept")), "mix-tokens")
+    sources = written(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
     e = exponent(sources, target_entropy, max_repeats, budget_ratio)
     total = float(sources.agg(F.sum("tokens")).first()[0] or 1)
     shares = sources.withColumn("q", F.when(F.col("tokens") > 0, F.col("tokens") / F.lit(total)))
     norm = shares.agg(F.sum(F.pow("q", F.lit(e)))).first()[0] or 1.0
-    rates = shares.select("source", F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).cast("bigint").alias("blocks"), F.coalesce(F.pow("q", F.lit(e)) / norm * budget_ratio / F.col("q"), F.lit(1.0)).alias("rate"))
+    rates = shares.select("source", F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("rows") / block_rows)).cast("bigint").alias("blocks"), F.coalesce(F.pow("q", F.lit(e)) / norm * budget_ratio / F.col("q"), F.lit(1.0)).alias("rate"))
     rates = written(rates, "mix-rates").withColumnRenamed("source", "s")
     placed = counted.join(rates, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("blocks")))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.col("blocks")))
     block = Window.partitionBy("source", "block")
-    order = block.orderBy(F.xxhash64(F.col("doc_id"), F.col("block"), F.lit(seed + 1)), "doc_id", "n_tokens")
+    order = block.orderBy(F.xxhash64("doc_id", "text_hash", "block", F.lit(seed + 1)), "doc_id", "n_tokens", "text_hash")
     whole = F.floor("rate").cast("int")
     before = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens") / 2
     ranked = placed.withColumns({"place": (F.row_number().over(order) - 1).cast("bigint"), "before": before, "in_block": F.sum("n_tokens").over(block)})
     copies = whole + F.when(F.col("before") < (F.col("rate") - whole) * F.col("in_block"), 1).otherwise(0)
     drawn = ranked.withColumn("copies", copies).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return drawn.select("doc_id", "source", "n_tokens", "epoch", "block", "place")
+    return drawn.select("doc_id", "source", "n_tokens", "epoch", "block", "place", *(F.col(f"kept.{c}").alias(c) for c in keep))
 
 
 def op3_source_mixing(docs: DataFrame) -> DataFrame:
