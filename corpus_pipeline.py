@@ -1,17 +1,15 @@
 """The corpus pipeline: stages over documents, each an operator of lumenfold.llm.
 
 Quality rules drop what they reject; near-dedup keeps one document of each group of similar texts; decontamination drops
-documents that hold at least 0.8 of a benchmark item's windows; the secret scan redacts the spans it finds; mixing draws each
-source's documents to its target weight. All stages but the last return the columns of documents.
+documents in which an item-sized window holds half of a benchmark item's words or more; the secret scan redacts the spans it
+finds; mixing draws each source's documents, with their texts, to its target weight. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm.common import shared_dir
+from lumenfold.llm.common import discard, tidy, written
 from lumenfold.llm.decontam import decontaminated
 from lumenfold.llm.mixing import mixture
 from lumenfold.llm.quality import filtered
@@ -31,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), containment=0.8)
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +37,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixture(docs, max_repeats=1.25)
+    return mixture(docs, max_repeats=1.25, keep=("lang", "text"))
 
 
 STAGES = [
@@ -52,12 +50,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written as Parquet in the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-            out.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return out
+    """The last stage's rows; each stage is written as Parquet in the shared folder and read again by the next.
+
+    A stage's own tables go when it is written, and its input goes then too.
+    """
+    docs = source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        with tidy() as keep:
+            out = keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if docs is not source:
+            discard(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
