@@ -7,7 +7,23 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import terms
 
-LETTER_CUES, ALONE, OPTION = terms.LETTER_CUES, terms.ALONE, terms.OPTION
+ALONE, OPTION = terms.ALONE, terms.OPTION
+
+
+def _one_of(words) -> str:
+    return f"(?:{'|'.join(words)})"
+
+
+def _cues() -> tuple[str, ...]:
+    """Patterns of a letter from A to F, the surest first: after a cue word and a link, after a verdict, as the value of a quoted
+    field, and in parentheses."""
+    letter = "([A-F])"
+    bracketed = rf"\s*\(?\s*{letter}"
+    fields = [f"{q}{_one_of(terms.ANSWER_FIELDS)}{q}{chr(92)}s*:{chr(92)}s*{q}{letter}{q}" for q in "\"'"]
+    return tuple("(?i)" + p for p in (_one_of(terms.ANSWER_CUES) + r"\s*" + _one_of(terms.ANSWER_LINKS) + "?" + bracketed, _one_of(terms.VERDICT_CUES) + bracketed, *fields, rf"\({letter}\)"))
+
+
+LETTER_CUES = _cues()
 
 
 def any_of(text: Column, words) -> Column:
@@ -31,11 +47,16 @@ def last_match(text: Column, pattern: str) -> Column:
 
 
 def answer_letter(text: Column) -> Column:
-    """The option letter that a model's answer names, upper-cased; null if it names none."""
+    """The option letter that a model's answer names, upper-cased; null if it names none.
+
+    An answer that is a letter but for brackets and stops counts first, then the cues, a line of its own, and in answers of 120
+    characters or fewer any letter that is a word; of several the last.
+    """
     t = F.trim(text)
-    whole = F.nullif(F.regexp_extract(t, r"^\(?\s*([A-Fa-f])\s*\)?\.?,?$", 1), F.lit(""))
-    loose = F.when(F.length(t) <= 120, last_match(t, r"\b([A-Fa-f])\b"))
-    return F.upper(F.coalesce(whole, *(last_match(t, cue) for cue in LETTER_CUES), last_match(t, ALONE), loose))
+    bare = F.upper(F.regexp_replace(t, r"^[(\s]+|[).,\s]+$", ""))
+    found = [last_match(t, cue) for cue in (*LETTER_CUES, ALONE)]
+    word = F.when(F.length(t) <= 120, last_match(t, r"(?i)\b([A-F])\b"))
+    return F.when(bare.isin(*"ABCDEF"), bare).otherwise(F.upper(F.coalesce(*found, word)))
 
 
 def first_letter(text: Column, letters: str = "A-E") -> Column:
@@ -103,15 +124,35 @@ def option_terms(text: Column) -> Column:
     return tokens(text, terms.OPTION_STOPWORDS, digits=False)
 
 
-#: Character references that captions use; others stay as they are.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: The control characters 128 to 159 mean those of Windows-1252 in references.
+_CONTROLS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+
+
+def unescaped(text: Column) -> Column:
+    """The text with its character references resolved once: named ones of HTML 4, decimal and hexadecimal ones."""
+    from html.entities import name2codepoint
+
+    names = F.create_map(*(F.lit(x) for name, code in {**name2codepoint, "apos": 39}.items() for x in (name, chr(code))))
+    controls = F.create_map(*(F.lit(x) for pair in _CONTROLS.items() for x in pair))
+
+    def character(code: Column) -> Column:
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        own = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(code.isNotNull(), F.coalesce(F.try_element_at(controls, code.cast("int")), own))
+
+    def resolved(part: Column) -> Column:
+        name = F.regexp_extract(part, "^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 9), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9)).try_cast("bigint")
+        value = F.when(name != "", F.coalesce(character(number), F.try_element_at(names, name)))
+        return F.when(value.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(value, F.substr(part, F.length(name) + 2)))
+
+    parts = F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(resolved(p)))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
 
 def clean_caption(text: Column) -> Column:
     """Caption text without references, tags and position codes, spaces collapsed."""
-    t = F.coalesce(text, F.lit(""))
-    for name, value in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(value))
+    t = unescaped(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), r"\{\\[^}]+\}", " ")
     return F.trim(F.regexp_replace(t, r"[\s\x{00A0}]+", " "))
 

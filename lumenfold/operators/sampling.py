@@ -25,9 +25,17 @@ def sample(rows: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
 
 
 def shards(rows: DataFrame, group: str, key: str, count: int) -> DataFrame:
-    """A shard for each row, dealt round within its group in order of the key."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    return rows.withColumn("shard", ((turn - 1) % count).cast("int"))
+    """A shard for each row, dealt round within its group in seeded order of the key.
+
+    A group is numbered in 256 parts of the order, each by itself after the counts of those before it, so no task sorts a whole group.
+    """
+    marked = rows.withColumn("_seeded", seeded(key, 0)).withColumn("_part", F.substring("_seeded", 1, 2))
+    counts = marked.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_part"))
+    before = counts.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), (upto - F.col("_n")).alias("_before"))
+    turn = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_seeded", key)) - 1
+    placed = marked.withColumn("_turn", turn).join(before, F.col(group).eqNullSafe(F.col("_group")) & F.col("_part").eqNullSafe(F.col("_p")))
+    return placed.select(*rows.columns, ((F.col("_turn") + F.col("_before")) % count).cast("int").alias("shard"))
 
 
 def first_of_each(rows: DataFrame, group: str, ord_: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumenfold.functions.numbers import dot
 from lumenfold.runtime import ship
@@ -117,31 +118,72 @@ def overlap_join(items: DataFrame, scopes: DataFrame, key: str, start: str = "st
     return items.join(scopes, (F.col(key) == F.col("_key")) & (F.col(end) >= F.col(scope_start)) & (F.col(start) <= F.col(scope_end))).drop("_key")
 
 
-def _spaced(rows: Column, gap: float, most: int, same=None) -> Column:
-    """Greedy choice from an ordered array of structs: a row stays if no kept one is within the gap (and alike)."""
-    empty = F.slice(rows, 1, 0)
+def _folded(rows: DataFrame, keys: list[str], order: list[Column], schema: StructType, start: Callable) -> DataFrame:
+    """A fold over the rows of each key in order. start() gives (take, end): take(row) and end() give output tuples after the keys.
 
-    def step(kept: Column, row: Column) -> Column:
-        near = F.exists(kept, lambda k: (F.abs(k["t"] - row["t"]) < gap) & (same(k, row) if same else F.lit(True)))
-        return F.when((F.size(kept) < most) & ~near, F.array_append(kept, row)).otherwise(kept)
+    Rows are sorted by Spark, which spills, and come as a stream: a task holds one key's state and a batch, never a key's rows.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kind, names, key, fold, out = None, schema.fieldNames(), None, None, []
+        for batch in batches:
+            kind = kind or [batch.schema.field(k).type for k in keys]
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if fold is None or own != key:
+                    out += [(*key, *r) for r in fold[1]()] if fold else []
+                    key, fold = own, start()
+                out += [(*own, *r) for r in fold[0](row)]
+            if out:
+                yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)}, schema=arrow)
+                out = []
+        if fold and (out := [(*key, *r) for r in fold[1]()]):
+            yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)}, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship(rows.sparkSession)
+    arrow = to_arrow_schema(schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _spaced(gap: float, most: int, row_of: Callable, alike: bool = False) -> Callable:
+    """A fold that keeps a row if no kept one is within the gap (and alike), at most `most`."""
+
+    def start() -> tuple[Callable, Callable]:
+        kept: list[dict] = []
+
+        def take(row: dict) -> list[tuple]:
+            near = row["_t"] is not None and any(abs(k["_t"] - row["_t"]) < gap and (not alike or k["_l"] == row["_l"]) for k in kept)
+            if len(kept) >= most or near or row["_t"] is None:
+                return []
+            kept.append(row)
+            return [row_of(row)]
 
-    return F.aggregate(rows, empty, step)
+        return take, lambda: []
+
+    return start
+
+
+def _fields(rows: DataFrame, *names: str) -> StructType:
+    return StructType([rows.schema[n] for n in names])
 
 
 def suppress_near(items: DataFrame, key: str, time: str, score: str, ord_: str, gap: float, most: int, label: str | None = None) -> DataFrame:
     """Temporal suppression: best score first, dropping what lies within a gap of a kept item (of the same label), at most
-    `most` by key. The fold is over one key's items, kept ones at most `most`."""
-    fields = [F.col(time).cast("double").alias("t"), F.col(ord_).alias("o")] + ([F.col(label).alias("l")] if label else [])
-    ranked = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(ord_).alias("o0"), *fields))).alias("rows"))
-    kept = _spaced(F.col("rows"), gap, most, (lambda a, b: a["l"].eqNullSafe(b["l"])) if label else None)
-    chosen = ranked.select(key, F.explode(kept).alias("r")).select(key, F.col("r.o").alias(ord_))
+    `most` by key; items without a time go."""
+    rows = items.select(key, F.col(ord_), F.col(score).alias("_s"), F.col(time).cast("double").alias("_t"), (F.col(label) if label else F.lit(0)).alias("_l"))
+    chosen = _folded(rows, [key], [F.desc("_s"), F.asc(ord_)], _fields(items, key, ord_), _spaced(gap, most, lambda r: (r[ord_],), label is not None))
     return items.join(chosen, [key, ord_], "left_semi")
 
 
 def distinct_times(times: DataFrame, key: str, time: str, ord_: str, gap: float, most: int) -> DataFrame:
     """Times in input order, each kept if no kept one is within the gap."""
-    rows = times.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ord_).alias("o"), F.col(time).cast("double").alias("t")))).alias("rows"))
-    return rows.select(key, F.explode(_spaced(F.col("rows"), gap, most)).alias("r")).select(key, F.col("r.o").alias(ord_), F.col("r.t").alias(time))
+    rows = times.select(key, ord_, F.col(time).cast("double").alias("_t"))
+    schema = StructType([*_fields(times, key, ord_).fields, StructField(time, DoubleType())])
+    return _folded(rows, [key], [F.asc(ord_)], schema, _spaced(gap, most, lambda r: (r[ord_], r["_t"])))
 
 
 def smoothed(signal: DataFrame, key: str, ord_: str, value: str) -> DataFrame:
@@ -162,34 +204,42 @@ def motion_peaks(signal: DataFrame, key: str, ord_: str, value: str, spacing: in
     return marked.groupBy(key).agg(F.count("*").alias("frames"), F.aggregate(at, start, fold, lambda a: a["n"]).cast("bigint").alias("peaks"))
 
 
+def _overlap(a: tuple, b: tuple) -> float:
+    """Intersection over union of two boxes."""
+    both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    either = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - both
+    return both / either if either > 0 else 0.0
+
+
 def object_tracks(detections: DataFrame, key: str = "video_id", least: float = 0.30) -> DataFrame:
     """Greedy tracks over detections (key, label, time_sec, ord, x1..y2, confidence): in time order each joins the track of its
     label whose last box overlaps it most, if by `least` or more, else begins one. Tracks never cross labels, so that each
-    key and label is a task of its own; ids number a key's tracks by their first detection."""
-    schema = f"{key} string, label string, first_time double, last_time double, first_ord bigint, frames_seen bigint, confidence double"
-
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[dict] = []
-        for d in rows.sort_values(["time_sec", "ord"], kind="stable").itertuples(index=False):
-            best, most = None, 0.0
-            for t in tracks:
-                a = t["box"]
-                w, h = max(0.0, min(a[2], d.x2) - max(a[0], d.x1)), max(0.0, min(a[3], d.y2) - max(a[1], d.y1))
-                union = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, d.x2 - d.x1) * max(0.0, d.y2 - d.y1) - w * h
-                overlap = w * h / union if union > 0 else 0.0
-                if overlap > most:
-                    best, most = t, overlap
-            if best is None or most < least:
-                tracks.append({"label": d.label, "first_time": d.time_sec, "last_time": d.time_sec, "first_ord": d.ord, "frames_seen": 1, "confidence": d.confidence, "box": (d.x1, d.y1, d.x2, d.y2)})
+    key and label is a fold of its own, whose state is its tracks; ids number a key's tracks by their first detection."""
+    fields = "first_time double, last_time double, first_ord bigint, frames_seen bigint, confidence double"
+
+    def start() -> tuple[Callable, Callable]:
+        boxes: list[tuple] = []
+        tracks: list[list] = []
+
+        def take(d: dict) -> list[tuple]:
+            box = (d["x1"], d["y1"], d["x2"], d["y2"])
+            overlaps = [_overlap(b, box) for b in boxes]
+            best = max(range(len(boxes)), key=overlaps.__getitem__, default=None)
+            if best is None or overlaps[best] <= 0 or overlaps[best] < least:
+                boxes.append(box)
+                tracks.append([d["time_sec"], d["time_sec"], d["ord"], 1, d["confidence"]])
             else:
-                best |= {"last_time": d.time_sec, "frames_seen": best["frames_seen"] + 1, "confidence": round(max(best["confidence"], d.confidence), 4), "box": (d.x1, d.y1, d.x2, d.y2)}
-        out = pd.DataFrame(tracks, columns=["label", "first_time", "last_time", "first_ord", "frames_seen", "confidence", "box"]).drop(columns="box")
-        out.insert(0, key, rows[key].iloc[0])
-        return out
-
-    ship(detections.sparkSession)
-    prepared = detections.withColumns({"label": F.lower(F.coalesce("label", F.lit(""))), key: F.col(key).cast("string"), "confidence": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))})
-    tracks = prepared.groupBy(key, "label").applyInPandas(follow, schema)
+                boxes[best] = box
+                first, _, ord_, seen, sure = tracks[best]
+                tracks[best] = [first, d["time_sec"], ord_, seen + 1, round(max(sure, d["confidence"]), 4)]
+            return []
+
+        return take, lambda: [tuple(t) for t in tracks]
+
+    numbers = {c: F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "time_sec")} | {"ord": F.col("ord").cast("bigint")}
+    prepared = detections.withColumns({**numbers, "label": F.lower(F.coalesce("label", F.lit(""))), key: F.col(key).cast("string"), "confidence": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))})
+    schema = StructType.fromDDL(f"{key} string, label string, {fields}")
+    tracks = _folded(prepared.select(key, "label", *numbers, "confidence"), [key, "label"], [F.asc("time_sec"), F.asc("ord")], schema, start)
     number = F.row_number().over(Window.partitionBy(key).orderBy("first_time", "first_ord"))
     return tracks.withColumns({"track_id": F.concat(F.lit("T"), F.lpad(number.cast("string"), 2, "0")), "confirmed": F.col("frames_seen") >= 2})
 
@@ -201,33 +251,20 @@ def track_count(tracks: DataFrame, key: str = "video_id") -> DataFrame:
 
 
 def select_frames(frames: DataFrame, most: int, key: str = "video_id") -> DataFrame:
-    """At most `most` frames (key, ord, change_score, feature) of each video: both ends, the largest changes, an even grid, then
-    the most redundant inner frame is dropped until they fit. The last step is a loop, so one video is one task."""
-    import numpy as np
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
-        n = len(rows)
-        if n <= most:
-            return rows[[key, "ord"]]
-        inner = sorted(range(1, n - 1), key=lambda i: -rows.change_score[i])[: max(1, most // 3)]
-        chosen = {0, n - 1, *inner}
-        if (slots := most - len(chosen)) > 0:
-            chosen |= {round(float(x)) for x in np.linspace(0, n - 1, slots + 2)[1:-1]}
-        at = sorted(chosen)
-        v = [np.asarray(f, dtype=np.float64) for f in rows.feature]
-        apart = lambda i, j: 1.0 - float(np.clip(v[i] @ v[j], -1, 1))
-        while len(at) > most:
-            if len(at) <= 2:
-                at = at[:-1]
-                continue
-            k = min(range(1, len(at) - 1), key=lambda k: apart(at[k - 1], at[k]) + apart(at[k], at[k + 1]))
-            del at[k]
-        return rows.loc[at, [key, "ord"]]
-
-    ship(frames.sparkSession)
-    source = frames.select(F.col(key).cast("string").alias(key), F.col("ord").cast("bigint").alias("ord"), F.col("change_score").cast("double").alias("change_score"), "feature")
-    return source.groupBy(key).applyInPandas(choose, f"{key} string, ord bigint")
+    """At most `most` frames (key, ord) of each video: both ends, the `most // 3` largest changes between them, and an even grid of
+    what is left of `most`; with fewer than three, the first or both ends. Windows place the rows, none is gathered."""
+    order, by = Window.partitionBy(key).orderBy("ord"), Window.partitionBy(key)
+    placed = frames.select(F.col(key).cast("string").alias(key), F.col("ord").cast("bigint").alias("ord"), F.col("change_score").cast("double").alias("_c"))
+    placed = placed.withColumns({"_at": F.row_number().over(order) - 1, "_n": F.count("*").over(by)})
+    end = (F.col("_at") == 0) | (F.lit(most > 1) & (F.col("_at") == F.col("_n") - 1))
+    inner = ~((F.col("_at") == 0) | (F.col("_at") == F.col("_n") - 1))
+    largest, grid = most // 3, most - 2 - most // 3
+    turn = F.row_number().over(Window.partitionBy(key, inner).orderBy(F.desc("_c"), "_at"))
+    spot = F.floor(F.col("_at") * (grid + 1) / (F.col("_n") - 1))
+    hits = lambda j: (j >= 1) & (j <= grid) & (F.bround(j * ((F.col("_n") - 1) / (grid + 1))) == F.col("_at"))
+    even = hits(spot) | hits(spot + 1) if grid > 0 else F.lit(False)
+    chosen = placed.withColumn("_turn", turn).where((F.col("_n") <= most) | end | (inner & (F.lit(most > 2) & ((F.col("_turn") <= largest) | even))))
+    return chosen.select(key, "ord")
 
 
 def time_points(windows: DataFrame, start: str = "start_sec", end: str = "end_sec") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lumenfold.plans import package_queries, record_queries, text_queries, time_queries
+from lumenfold.plans import package_queries, record_queries, source_queries, text_queries, time_queries
 
 FLAGSHIP = "run_summary"
-PARTS = (record_queries, text_queries, time_queries, package_queries)
+PARTS = (record_queries, text_queries, time_queries, package_queries, source_queries)
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import crops, routing, terms
 from lumenfold.operators import evidence, filters, packages
 from lumenfold.plans.standins import ANSWERS, FRAMES, QUESTIONS, SEGMENTS, dealt, frames, segments, sql_dealt, sql_text, table
-from lumenfold.plans.text_queries import _any, _docs, _sql, typed_sql
+from lumenfold.plans.text_queries import _CTE, _any, _docs, _sql, typed_sql
 
 CITED = ("audio_anchor_low_bitrate_event at 3s aligns", "video_anchor_low_fps_frame 1.5-2s is sufficient", "unsure", "", "nothing to cite here", "I cannot answer; not enough information")
 
@@ -52,7 +52,7 @@ def transcript_evidence(spark, sf_dir):
 
 
 def token_usage(spark, sf_dir):
-    f = frames(spark, sf_dir).where("ord % 20 = 0").select("video_id", (F.col("ord") % 640 + 1).alias("width"), (F.col("ord") % 360 + 1).alias("height"))
+    f = frames(spark, sf_dir).select("video_id", (F.col("ord") % 640 + 1).alias("width"), (F.col("ord") % 360 + 1).alias("height"))
     v = frames(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("frame_count")).select("video_id", "frame_count", F.lit(1280).alias("width"), F.lit(720).alias("height"), F.lit("What happens here?").alias("question"), F.lit("look at frames").alias("prompt"), F.lit("[]").alias("audio_text"))
     return packages.token_usage(v, f, "video_id")
 
@@ -100,21 +100,33 @@ def _frame_sql(names, text_terms) -> str:
     return f"CASE WHEN {_any('low', text_terms)} THEN '{joined['text']}' WHEN {_any('low', terms.SIDE_TERMS)} THEN '{joined['side']}' ELSE '{joined['other']}' END"
 
 
+def _crops_sql() -> str:
+    inside = lambda side, share: f"greatest(0, least({side} - 1, round_even({side} * {share}::DOUBLE, 0)::INT))"
+    far = lambda side, low, high: f"greatest({inside(side, low)} + 1, least({side}, round_even({side} * {high}::DOUBLE, 0)::INT))"
+    crop = lambda c: f"{{'label': '{c[0]}', 'box': concat_ws(',', {inside('w', c[1])}, {inside('h', c[2])}, {far('w', c[1], c[3])}, {far('h', c[2], c[4])})}}"
+    sides = ", ".join(f"CASE WHEN {_any('low', words)} THEN {crop(c)} END" for words, c in terms.IMAGE_CROPS.values())
+    rest = lambda crops_: f"[{', '.join(map(crop, crops_))}]"
+    return f"""WITH q AS (SELECT doc_id, lower(t) AS low, (doc_id % 640 + 1)::INT AS w, (doc_id % 480 + 1)::INT AS h FROM {_sql(QUESTIONS)}),
+c AS (SELECT doc_id, list_filter([{sides}], lambda x: x IS NOT NULL) || [{crop(terms.CENTER_CROP)}] || CASE WHEN doc_id % 2 = 0 THEN {rest(terms.CORNER_CROPS)} ELSE {rest(terms.BAND_CROPS)} END AS c FROM q),
+u AS (SELECT doc_id, list_filter(c, lambda x, i: list_position(list_transform(c, lambda y: y.box), x.box) = i) AS c FROM c)
+SELECT doc_id, (i - 1)::INT AS place, c[i].label AS label, c[i].box AS box FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM u)"""
+
+
 def _constraints_sql() -> str:
-    c = {k: sql_text(v) for k, v in terms.CONSTRAINTS.items()}
     scenes = [w for words in terms.SCENES.values() for w in words]
     narrow = f"({_any('low', (*terms.BEGINNING_TERMS, *terms.END_TERMS, *scenes, *terms.CURRENT_TERMS))} OR regexp_matches(low, '{routing.CLIP}'))"
-    when = lambda holds, name: f"CASE WHEN {holds} THEN {c[name]} END"
     has = lambda name: f"list_contains(types, '{name}')"
-    items = [c["no_answer"], c["grounded"], c["each_option"], "'Use task_family=' || family || ' resolver semantics before generic evidence if confidence is medium/high.'", when(narrow, "in_scope"), when(has("count"), "count"), when(has("absence_verification"), "absence"),
-             when(f"{has('ocr')} OR {_any('low', ('model', 'screen', 'score', 'text', 'advertised'))}", "ocr"), f"CASE WHEN family = 'scene_group_attribute_count' THEN CASE WHEN {_any('low', terms.CAST_TERMS)} AND {_any('low', terms.STAGE_TERMS)} THEN {c['cast']} ELSE {c['group']} END END",
-             when("family = 'container_object_count'", "container"), when("family = 'ordinal_clip_action'", "ordinal"), when("family = 'domain_intention'", "intent"), when(_any("low", ("beginning", "at the start", "opening")), "beginning")]
+    cast = f"{_any('low', terms.CAST_TERMS)} AND {_any('low', terms.STAGE_TERMS)}"
+    group = "family = 'scene_group_attribute_count'"
+    holds = {"in_scope": narrow, "count": has("count"), "absence": has("absence_verification"), "ocr": f"{has('ocr')} OR {_any('low', terms.READING_TERMS)}", "cast": f"{group} AND {cast}", "group": f"{group} AND NOT ({cast})",
+             "container": "family = 'container_object_count'", "ordinal": "family = 'ordinal_clip_action'", "intent": "family = 'domain_intention'", "beginning": _any("low", terms.OPENING_TERMS)}
+    items = ["'no_answer'", "'grounded'", "'each_option'", "'family:' || family", *(f"CASE WHEN {h} THEN '{n}' END" for n, h in holds.items())]
     return f"WITH {typed_sql()}, c AS (SELECT doc_id, list_filter([{', '.join(items)}], lambda x: x IS NOT NULL) AS c FROM typed) SELECT doc_id, len(c)::INT AS n, md5(array_to_string(c, chr(10))) AS digest FROM c"
 
 
 _MARKS = {n: _any("low", w) for n, w in terms.CITATION_WORDS.items()} | {"has_timestamp": "regexp_matches(low, '\\b[0-9]+(?:\\.[0-9]+)?(?:-[0-9]+(?:\\.[0-9]+)?)?s\\b')"}
 QUERIES = {
-    "image_crops": (image_crops, None),
+    "image_crops": (image_crops, _crops_sql()),
     "frame_crops": (frame_crops, f"SELECT doc_id, {_frame_sql(terms.FRAME_CROPS, terms.FRAME_TEXT_TERMS)} AS frame, {_frame_sql(terms.TUBELET_CROPS, terms.TUBELET_TEXT_TERMS)} AS tubelet FROM (SELECT doc_id, lower(t) AS low FROM {_sql(QUESTIONS)})"),
     "even_times": (even_times, "SELECT p_partkey, i::INT AS i, round(CASE WHEN p_partkey % 2 = 0 THEN least(p_size * 1.5::DOUBLE, 8) ELSE p_size * 1.5::DOUBLE END * i / 8, 3) AS time_sec FROM part, range(0, 9) AS g(i) WHERE p_size > 0"),
     "instance_count": (instance_count, f"WITH {FRAMES} SELECT video_id, count(*) AS frames, max(ord % 7) AS most, floor(median(ord % 7))::BIGINT AS median FROM frames GROUP BY 1"),
@@ -129,10 +141,13 @@ SELECT doc_id, duration FROM d WHERE lower(duration) IN ('short', 'long', '') AN
     "transcript_evidence": (transcript_evidence, f"""WITH {SEGMENTS}, f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ord) AS i, {sql_dealt(('beginning', 'full_video', 'end'), 'video_id')} AS type, video_id % 2 = 0 AS counts FROM segments),
 m AS (SELECT *, type = 'full_video' OR (end_sec >= 0 AND start_sec <= 9.5::DOUBLE) AS scope_match, counts AND type = 'beginning' AS visual FROM f WHERE i <= 5)
 SELECT video_id, ord, start_sec, end_sec, scope_match, scope_match AND NOT visual AS use_for_answer, CASE WHEN visual THEN 'weak' ELSE 'normal' END AS task_match, CASE WHEN NOT scope_match THEN 'outside' WHEN visual THEN 'auxiliary' ELSE 'inside' END AS reason FROM m"""),
-    "token_usage": (token_usage, f"""WITH {FRAMES}, k AS (SELECT video_id, sum(ceil((ord % 640 + 1) / 28.0::DOUBLE) * ceil((ord % 360 + 1) / 28.0::DOUBLE))::BIGINT AS visual, count(*) AS frames FROM frames WHERE ord % 20 = 0 GROUP BY 1), v AS (SELECT video_id, count(*) AS n FROM frames GROUP BY 1),
+    "token_usage": (token_usage, f"""WITH {FRAMES}, k AS (SELECT video_id, sum(ceil((ord % 640 + 1) / 28.0::DOUBLE) * ceil((ord % 360 + 1) / 28.0::DOUBLE))::BIGINT AS visual, count(*) AS frames FROM frames GROUP BY 1), v AS (SELECT video_id, count(*) AS n FROM frames GROUP BY 1),
 t AS (SELECT video_id, coalesce(frames, 0) AS frames, n * 46 * 26 + 4 AS original_tokens, coalesce(visual, 0) + 8 + 1 AS package_tokens FROM v LEFT JOIN k USING (video_id))
 SELECT *, round(package_tokens::DOUBLE / original_tokens, 6) AS compression_rate, round(1 - package_tokens::DOUBLE / original_tokens, 6) AS token_saving_rate FROM t"""),
     "evidence_text": (evidence_text, f"WITH {FRAMES}, f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ord) AS i FROM frames) SELECT video_id, string_agg(label || ' | ' || time_sec::INT::VARCHAR, chr(10) ORDER BY i) AS lines FROM f WHERE i <= 10 GROUP BY 1"),
-    "prompts": (prompts, None),
+    "prompts": (prompts, f"""WITH {FRAMES}, {_CTE}, fam AS (SELECT DISTINCT doc_id % {len(QUESTIONS)} AS k, family FROM routed), v AS (SELECT DISTINCT video_id, substr(video_id, 2)::INT AS n FROM frames),
+m AS (SELECT video_id, string_agg(label || ' | ' || ord::VARCHAR, chr(10) ORDER BY ord) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ord) AS i FROM frames WHERE label = 'click') WHERE i <= 3 GROUP BY 1)
+SELECT v.video_id, family AS task_family, 'Task family: ' || family || chr(10) || 'Question: ' || {sql_dealt(QUESTIONS, 'n')} || coalesce(chr(10) || '[motion]' || chr(10) || lines, '') || chr(10) || 'Answer with the option''s letter only.' AS prompt
+FROM v JOIN fam ON n % {len(QUESTIONS)} = k LEFT JOIN m USING (video_id)"""),
     "record_bytes": (record_bytes, f"SELECT doc_id, strlen({sql_dealt(ANSWERS, 'doc_id')}) + n_chars + CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS evidence_bytes FROM documents"),
 }

@@ -39,6 +39,12 @@ def _dedup(rule):
     return lambda spark, sf_dir: metrics.authoritative(metered(spark, sf_dir), rule).select("record_key", "ord", "status", "correct", "token_saving_ratio_raw")
 
 
+def dedup_c(spark, sf_dir):
+    """Every thirteenth record has no key."""
+    some = metered(spark, sf_dir).withColumn("record_key", F.when(F.col("ord") % 13 > 0, F.col("record_key")))
+    return metrics.authoritative(some, "c").select("record_key", "ord", "status", "correct", "token_saving_ratio_raw")
+
+
 def _dedup_sql(best):
     return f"WITH {RUNS}, {best} SELECT record_key, ord, status, correct, token_saving_ratio_raw FROM best"
 
@@ -198,7 +204,7 @@ QUERIES = {
     "run_summary_all": (lambda s, d: metrics.summarize(metered(s, d), "modality"), f"WITH {RUNS} {SUMMARY} FROM metered GROUP BY modality"),
     "token_metrics": (lambda s, d: metered(s, d).select("ord", "original_tokens", "compressed_tokens", "compression_ratio", "token_saving_ratio", "token_saving_ratio_raw", "compression_expanded"),
                       f"WITH {RUNS} SELECT ord, original_tokens, compressed_tokens, compression_ratio, token_saving_ratio, token_saving_ratio_raw, compression_expanded FROM metered"),
-    "dedup_a": (_dedup("a"), _dedup_sql(_A)), "dedup_b": (_dedup("b"), _dedup_sql(_B)), "dedup_c": (_dedup("c"), _dedup_sql(_A)), "dedup_d": (_dedup("d"), _dedup_sql(_D)), "dedup_e": (_dedup("e"), _dedup_sql(_E)),
+    "dedup_a": (_dedup("a"), _dedup_sql(_A)), "dedup_b": (_dedup("b"), _dedup_sql(_B)), "dedup_c": (dedup_c, _dedup_sql("keyed AS (SELECT * FROM metered WHERE ord % 13 > 0), " + _A.replace("metered", "keyed"))), "dedup_d": (_dedup("d"), _dedup_sql(_D)), "dedup_e": (_dedup("e"), _dedup_sql(_E)),
     "accuracy_interval": (lambda s, d: metrics.accuracy_interval(metered(s, d), "modality", "config"), f"""WITH {RUNS} SELECT modality, config, count(*) AS n, round(100 * avg(correct::INT::DOUBLE), 4) AS accuracy_pct,
   round(100 * 1.96::DOUBLE * sqrt(avg(correct::INT::DOUBLE) * (1 - avg(correct::INT::DOUBLE)) / count(*)), 4) AS half_width_pct, round(100 * avg(token_saving_ratio_raw), 4) AS mean_saving_pct, round(100 * median(token_saving_ratio_raw), 4) AS median_saving_pct,
   round(100 * min(token_saving_ratio_raw), 4) AS min_saving_pct, round(100 * max(token_saving_ratio_raw), 4) AS max_saving_pct, count(*) FILTER (token_saving_ratio_raw > 0) AS positive FROM metered WHERE status = 'completed' GROUP BY modality, config"""),
@@ -235,7 +241,7 @@ SELECT count(*) FILTER (ok AND area < 0.1::DOUBLE) AS under_tenth, count(*) FILT
     "round_robin_sample": (round_robin_sample, f"""WITH t AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_SEED.format('o_orderkey', 7)}, o_orderkey)::INT AS turn FROM orders)
 SELECT o_orderkey, o_orderpriority, turn FROM t ORDER BY turn, o_orderpriority, o_orderkey LIMIT 180"""),
     "seeded_sample": (seeded_sample, f"SELECT o_orderkey, o_orderstatus FROM orders ORDER BY {_SEED.format('o_orderkey', 3)}, o_orderkey LIMIT 100"),
-    "shard_assign": (shard_assign, "SELECT c_custkey, c_mktsegment, ((row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) % 4)::INT AS shard FROM customer"),
+    "shard_assign": (shard_assign, "SELECT c_custkey, c_mktsegment, ((row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey::VARCHAR || ':0'), c_custkey) - 1) % 4)::INT AS shard FROM customer"),
     "first_per_group": (first_per_group, f"WITH {RUNS} SELECT source, ord, record_key, status FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS k FROM runs) WHERE k = 1"),
     "covered_keys": (covered_keys, f"WITH {RUNS} SELECT record_key, min(ord) AS position FROM runs GROUP BY record_key HAVING count(*) FILTER (status = 'completed') > 0 ORDER BY position LIMIT 120"),
     "uncovered_keys": (uncovered_keys, f"WITH {RUNS}, k AS (SELECT record_key, min(ord) AS position, count(*) FILTER (status = 'completed') AS c FROM runs GROUP BY record_key ORDER BY position LIMIT 200) SELECT record_key, position FROM k WHERE c = 0"),

@@ -199,8 +199,12 @@ def tile_grids(spark, sf_dir):
     return p.select("p_partkey", numbers.tile_grid(F.col("p_size") * 37, F.col("p_partkey") % 900 + 100).alias("g")).select("p_partkey", "g.columns", "g.rows")
 
 
+#: The character references that the dealt captions use.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+
+
 def _unescaped(x: str) -> str:
-    for name, value in text.ENTITIES:
+    for name, value in ENTITIES:
         x = f"replace({x}, {sql_text(name)}, {sql_text(value)})"
     return x
 
@@ -247,7 +251,8 @@ s AS (SELECT *, trim(regexp_replace(t || ' and so on', '\\s+', ' ', 'g'), ' ') A
 (VALUES (1, 1.5::DOUBLE, 3.25::DOUBLE, 'Hello there', '1' || chr(10) || '00:00:01,500 --> 00:00:03,250' || chr(10)), (4, 65, 67.5, 'All right', '4' || chr(10) || '00:01:05,000 --> 00:01:07,500' || chr(10)), (5, 0, 9, '', '5' || chr(10) || '00:00:00,000 --> 00:00:09,000' || chr(10))) AS v(i, s, e, t, b)"""),
     "people_counts": (people, """WITH p AS (SELECT doc_id, (['men=3 women=2', 'women: 4', 'men = 1', 'none'])[doc_id % 4 + 1] AS t FROM documents)
 SELECT doc_id, try_cast(nullif(regexp_extract(t, 'men\\s*[=:]\\s*([0-9]+)', 1), '') AS INT) AS men, try_cast(nullif(regexp_extract(t, 'women\\s*[=:]\\s*([0-9]+)', 1), '') AS INT) AS women FROM p"""),
-    "json_validate": (json_parse, None),
+    "json_validate": (json_parse, """WITH v(k, is_object, a, c, kept) AS (VALUES (0, TRUE, 1, 'x', '{"a":1,"b":{"c":"x"}}'), (1, TRUE, 2, NULL, '{"a":2}'), (2, FALSE, -1, NULL, '{"raw_evidence":"[1, 2]"}'), (3, FALSE, -1, NULL, '{"raw_evidence":""}'),
+(4, FALSE, -1, NULL, '{"raw_evidence":"{broken"}'), (5, TRUE, -1, NULL, '{"a":null}')) SELECT doc_id, is_object, a::INT AS a, c, kept FROM documents JOIN v ON doc_id % 6 = k"""),
     "route_family": (route_family, f"""WITH {_CTE} SELECT doc_id, family, {_family_case({k: f"'{v[0]}'" for k, v in terms.FAMILIES.items()})} AS resolver_class, {_family_case({k: f"'{v[1]}'" for k, v in terms.FAMILIES.items()})} AS priority,
   ({_family_case({k: str(v[2]) for k, v in terms.FAMILIES.items()})})::DOUBLE AS confidence, {_family_case({k: f"'{','.join(v)}'" for k, v in terms.FAMILY_EVIDENCE.items()})} AS evidence, {_any('low', terms.CAST_TERMS)} AND {_any('low', terms.STAGE_TERMS)} AS cast_question FROM routed"""),
     "anchor_policy": (anchor_policy, _policy_sql()),

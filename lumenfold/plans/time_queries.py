@@ -58,9 +58,10 @@ def coverage_sample(spark, sf_dir):
 
 
 def nearest_join(spark, sf_dir):
+    """Each click with the nearest frame of any other kind."""
     f = frames(spark, sf_dir)
-    probes = f.where("ord % 9 = 0").select("video_id", F.col("ord").alias("probe"), (F.col("time_sec") + 0.5).alias("t"))
-    return timeline.nearest_join(probes, f.where("ord % 4 = 1").select("video_id", "ord", "time_sec"), "video_id", "t", "time_sec", "ord").select("video_id", "probe", "ord", F.abs(F.col("time_sec") - F.col("t")).alias("delta"))
+    probes = f.where("label = 'click'").select("video_id", F.col("ord").alias("probe"), (F.col("time_sec") + 0.5).alias("t"))
+    return timeline.nearest_join(probes, f.where("label <> 'click'").select("video_id", "ord", "time_sec"), "video_id", "t", "time_sec", "ord").select("video_id", "probe", "ord", F.abs(F.col("time_sec") - F.col("t")).alias("delta"))
 
 
 def scope_overlap(spark, sf_dir):
@@ -78,7 +79,7 @@ def suppress_alike(spark, sf_dir):
 
 
 def distinct_times(spark, sf_dir):
-    return timeline.distinct_times(frames(spark, sf_dir).where("ord % 3 = 0"), "video_id", "time_sec", "ord", 1200.0, 16)
+    return timeline.distinct_times(frames(spark, sf_dir), "video_id", "time_sec", "ord", 1200.0, 16)
 
 
 def motion_peaks(spark, sf_dir):
@@ -179,13 +180,27 @@ def stage_records(spark, sf_dir):
     return stage(items, answer)
 
 
-def _spaced_sql(order: str, gap: float, most: int, label: str = "", where: str = "TRUE") -> str:
+def _spaced_sql(order: str, gap: float, most: int, label: str = "") -> str:
     """CTEs up to kept (video_id, x with o, t, l): a fold over each video's rows in order."""
     near = f"abs(k.t - x[1].t) < {gap}::DOUBLE{' AND k.l = x[1].l' if label else ''}"
-    return f"""{FRAMES}, a AS (SELECT video_id, list([{{'o': ord, 't': time_sec, 'l': label}}] ORDER BY {order}) AS rows FROM frames WHERE {where} GROUP BY 1),
+    return f"""{FRAMES}, a AS (SELECT video_id, list([{{'o': ord, 't': time_sec, 'l': label}}] ORDER BY {order}) AS rows FROM frames GROUP BY 1),
 kept AS (SELECT video_id, unnest(list_reduce(rows, lambda acc, x: CASE WHEN len(acc) < {most} AND len(list_filter(acc, lambda k: {near})) = 0 THEN acc || x ELSE acc END)) AS x FROM a)"""
 
 
+def _tracks_sql() -> str:
+    """CTEs up to tracks (video_id, label, and t with a, b, o, n, c): a fold over each video's and label's detections in order."""
+    side = lambda u, lo, hi: f"greatest(0, least({u}.{hi}, x[1].{hi}) - greatest({u}.{lo}, x[1].{lo}))"
+    area = lambda u: f"greatest(0, {u}.x2 - {u}.x1) * greatest(0, {u}.y2 - {u}.y1)"
+    both = lambda u: f"{side(u, 'x1', 'x2')} * {side(u, 'y1', 'y2')}"
+    overlaps = f"list_transform(acc, lambda u: {both('u')} / ({area('u')} + {area('x[1]')} - {both('u')}))"
+    grown = "{'a': t.a, 'b': x[1].b, 'o': t.o, 'n': t.n + 1, 'c': round(greatest(t.c, x[1].c), 4), 'x1': x[1].x1, 'y1': x[1].y1, 'x2': x[1].x2, 'y2': x[1].y2}"
+    return f"""{FRAMES}, d AS (SELECT video_id, lower(label) AS label, list([{{'a': time_sec, 'b': time_sec, 'o': ord, 'n': 1, 'c': round((ord % 10)::DOUBLE / 10, 4), 'x1': (ord % 7)::DOUBLE / 20, 'y1': (ord % 5)::DOUBLE / 20,
+  'x2': (ord % 7)::DOUBLE / 20 + 0.4::DOUBLE, 'y2': (ord % 5)::DOUBLE / 20 + 0.5::DOUBLE}}] ORDER BY time_sec, ord) AS rows FROM frames GROUP BY 1, 2),
+tracks AS (SELECT video_id, label, unnest(list_reduce(rows, lambda acc, x: CASE WHEN list_max({overlaps}) >= 0.3::DOUBLE
+  THEN list_transform(acc, lambda t, i: CASE WHEN i = list_position({overlaps}, list_max({overlaps})) THEN {grown} ELSE t END) ELSE acc || x END)) AS t FROM d),
+numbered AS (SELECT video_id, label, t.a AS first_time, t.b AS last_time, t.o AS first_ord, t.n::BIGINT AS frames_seen, t.c AS confidence, 'T' || lpad((row_number() OVER (PARTITION BY video_id ORDER BY t.a, t.o))::VARCHAR, 2, '0') AS track_id, t.n >= 2 AS confirmed FROM tracks)"""
+
+
 QUERIES = {
     "energy_profile": (energy_profile, f"WITH {_PROFILE} SELECT * FROM profile"),
     "energy_totals": (energy_totals, f"WITH {_PROFILE} SELECT video_id, round(rms_mean, 4) AS rms_mean, round(rms_std, 4) AS rms_std, round(rms_max, 4) AS rms_max, windows FROM stats"),
@@ -204,17 +219,23 @@ SELECT video_id, segment::BIGINT AS segment, arg_min(start_sec, ord) AS start_se
 SELECT p_partkey, part, round(d * part / n, 3) AS start_sec, round(d * (part + 1) / n, 3) AS end_sec FROM p"""),
     "coverage_sample": (coverage_sample, f"""WITH {FRAMES}, p AS (SELECT video_id, ord, row_number() OVER (PARTITION BY video_id ORDER BY ord) - 1 AS k, count(*) OVER (PARTITION BY video_id) AS n FROM frames)
 SELECT DISTINCT video_id, ord FROM p, range(0, 7) AS g(i) WHERE n <= 7 OR round_even(i * (n - 1) / 6.0::DOUBLE, 0)::BIGINT = k"""),
-    "nearest_join": (nearest_join, f"""WITH {FRAMES}, a AS (SELECT video_id, ord AS probe, time_sec + 0.5::DOUBLE AS t FROM frames WHERE ord % 9 = 0), b AS (SELECT video_id, ord, time_sec FROM frames WHERE ord % 4 = 1)
+    "nearest_join": (nearest_join, f"""WITH {FRAMES}, a AS (SELECT video_id, ord AS probe, time_sec + 0.5::DOUBLE AS t FROM frames WHERE label = 'click'), b AS (SELECT video_id, ord, time_sec FROM frames WHERE label <> 'click')
 SELECT video_id, probe, arg_min(ord, (abs(time_sec - t), ord)) AS ord, min(abs(time_sec - t)) AS delta FROM a LEFT JOIN b USING (video_id) GROUP BY video_id, probe"""),
     "scope_overlap_join": (scope_overlap, f"WITH {SEGMENTS}, s AS (SELECT video_id, max(end_sec) * 0.25::DOUBLE AS a, max(end_sec) * 0.5::DOUBLE AS b FROM segments GROUP BY 1) SELECT video_id, ord, start_sec, end_sec FROM segments JOIN s USING (video_id) WHERE end_sec >= a AND start_sec <= b"),
     "suppress_near": (suppress_near, f"WITH {_spaced_sql('score DESC, ord', 600, 12)} SELECT video_id, x.o AS ord, x.t AS time_sec FROM kept"),
     "suppress_alike": (suppress_alike, f"WITH {_spaced_sql('score DESC, ord', 900, 12, 'label')} SELECT video_id, x.o AS ord, x.l AS label FROM kept"),
-    "distinct_times": (distinct_times, f"WITH {_spaced_sql('ord', 1200, 16, where='ord % 3 = 0')} SELECT video_id, x.o AS ord, x.t AS time_sec FROM kept"),
+    "distinct_times": (distinct_times, f"WITH {_spaced_sql('ord', 1200, 16)} SELECT video_id, x.o AS ord, x.t AS time_sec FROM kept"),
     "motion_peaks": (motion_peaks, f"""WITH {FRAMES}, s AS (SELECT *, (coalesce(lag(k) OVER w, 0) + k + coalesce(lead(k) OVER w, 0)) / 3 AS sm FROM (SELECT *, round(score, 2) AS k FROM frames) WINDOW w AS (PARTITION BY video_id ORDER BY ord)),
 t AS (SELECT *, lag(sm) OVER w AS p, lead(sm) OVER w AS n, avg(sm) OVER (PARTITION BY video_id) + 0.4::DOUBLE * stddev_pop(sm) OVER (PARTITION BY video_id) AS thr FROM s WINDOW w AS (PARTITION BY video_id ORDER BY ord))
 SELECT video_id, count(*) AS frames, count(*) FILTER (sm > thr AND sm >= p AND sm > n) AS peaks FROM t GROUP BY 1"""),
     "time_points": (time_points, f"""WITH {SEGMENTS} SELECT video_id, ord, start_sec, end_sec, role, round(CASE role WHEN 'before' THEN start_sec WHEN 'during' THEN (start_sec + end_sec) / 2 ELSE end_sec END, 3) AS time_sec FROM segments, (VALUES ('before'), ('during'), ('after')) AS r(role)"""),
-    "object_tracks": (object_tracks, None), "track_count": (track_count, None), "select_frames": (select_frames, None),
+    "object_tracks": (object_tracks, f"WITH {_tracks_sql()} SELECT * FROM numbered"),
+    "track_count": (track_count, f"""WITH {_tracks_sql()}, c AS (SELECT video_id, count(*) FILTER (confirmed) AS count_value, count(*) FILTER (NOT confirmed) AS uncertain FROM numbered GROUP BY 1)
+SELECT video_id, count_value, CASE WHEN count_value > 0 THEN round(least(0.95::DOUBLE, 0.35::DOUBLE + 0.12::DOUBLE * count_value), 3) ELSE 0 END AS count_confidence, uncertain FROM c"""),
+    "select_frames": (select_frames, """WITH v AS (SELECT 'v' || label::VARCHAR AS video_id, vec_id AS ord, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT *, lag(e) OVER w AS b, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY video_id) AS n FROM v WINDOW w AS (PARTITION BY video_id ORDER BY ord)),
+c AS (SELECT *, round(CASE WHEN b IS NULL THEN 0 ELSE 1 - least(greatest(list_inner_product(e, b) / sqrt(list_inner_product(e, e) * list_inner_product(b, b)), -1), 1) END, 6) AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, i = 0 OR i = n - 1 ORDER BY score DESC, i) AS k FROM c)
+SELECT DISTINCT video_id, ord FROM r, range(1, 5) AS g(j) WHERE n <= 9 OR i = 0 OR i = n - 1 OR k <= 3 OR round_even(j * ((n - 1) / 5.0::DOUBLE), 0)::BIGINT = i"""),
     "lexical_topk": (lexical_topk, f"WITH {_LEXICAL} SELECT * FROM top"),
     "prompt_segments": (prompt_segments, f"""WITH {_LEXICAL}, rest AS (SELECT video_id, ord, row_number() OVER (PARTITION BY video_id ORDER BY ord) - 1 AS k, count(*) OVER (PARTITION BY video_id) AS n FROM segments ANTI JOIN top USING (video_id, ord)),
 cov AS (SELECT DISTINCT video_id, ord FROM rest, range(0, 3) AS g(i) WHERE n <= 3 OR round_even(i * (n - 1) / 2.0::DOUBLE, 0)::BIGINT = k),

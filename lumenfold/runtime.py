@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import tempfile
 import uuid
@@ -30,6 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
+
+    atexit.register(delete)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package, whether or not it is installed there: once for each application, as a zip file."""
     context = spark.sparkContext

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions import terms
-
 LETTERS = "ABCDEFGH"
 
 
@@ -39,9 +37,9 @@ def from_option_lines(rows: DataFrame) -> DataFrame:
     return split.withColumn("letter", F.coalesce(own, F.substring(by_text, 1, 1))).where((F.size("options") >= 2) & F.col("letter").isNotNull())
 
 
-def chat_row(text: Column, choices: Column, truth: Column, image: Column) -> Column:
-    """Struct (messages, images) of a question with an image."""
-    content = F.concat(text, F.lit(terms.CHAT_CHOICES), F.concat_ws("\n", choices), F.lit(terms.CHAT_ORDER))
+def chat_row(text: Column, choices: Column, truth: Column, image: Column, before: str = "\nChoices:\n", after: str = "\nReply with one letter.") -> Column:
+    """Struct (messages, images) of a question with an image; before and after are the wording around the choices."""
+    content = F.concat(text, F.lit(before), F.concat_ws("\n", choices), F.lit(after))
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return F.struct(F.array(message("user", content), message("assistant", truth)).alias("messages"), F.array(image).alias("images"))
 

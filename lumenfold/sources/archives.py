@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,9 +19,14 @@ def _stem(column: str):
     return F.regexp_extract(column, r"([^/]+)\.[^./]+$", 1)
 
 
-def archive_members(spark: SparkSession, path: str, pattern: str = "*.zip", suffixes: tuple[str, ...] = (".mp4",)) -> DataFrame:
-    """stem, archive, member and size of the non-empty members of zip files with one of the suffixes; the last archive of a
-    stem, by name, counts. Archives that can't be read are skipped."""
+def _cells(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """path and content of files, through Spark's reader, which reaches every store; a file has 2 GB at most."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+
+
+def members_of(cells: DataFrame, suffixes: tuple[str, ...] = (".mp4",)) -> DataFrame:
+    """stem, archive, member and size of the non-empty members, with one of the suffixes, of zip cells (path, content); the last
+    archive of a stem, by name, counts. Cells that can't be read are skipped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -33,29 +39,39 @@ def archive_members(spark: SparkSession, path: str, pattern: str = "*.zip", suff
                     continue
             yield pd.DataFrame(rows, columns=["archive", "member", "size"])
 
-    ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    members = files.mapInPandas(run, "archive string, member string, size bigint").withColumn("stem", _stem("member"))
+    ship(cells.sparkSession)
+    members = cells.select("path", "content").mapInPandas(run, "archive string, member string, size bigint").withColumn("stem", _stem("member"))
     last = Window.partitionBy("stem").orderBy(F.desc("archive"), F.desc("member"))
     return members.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").select("stem", "archive", "member", "size")
 
 
-def member_bytes(spark: SparkSession, path: str, members: DataFrame, pattern: str = "*.zip") -> DataFrame:
-    """stem and content of the members listed, read where their archive is read; a member of another size is left out."""
+def contents_of(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """stem and content of the members listed, read where their cell is; members that are broken or of another size are left out."""
     wanted = members.groupBy("archive").agg(F.collect_list(F.struct("stem", "member", "size")).alias("members"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content, listed in zip(pdf["content"], pdf["members"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in listed:
-                        data = z.read(m["member"])
-                        if len(data) == m["size"]:
-                            yield pd.DataFrame({"stem": [m["stem"]], "content": [data]})
-
-    ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("archive"), "content")
-    return files.join(wanted, "archive").select("content", "members").mapInPandas(run, "stem string, content binary")
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for m in listed:
+                            data = z.read(m["member"])
+                            if len(data) == m["size"]:
+                                yield pd.DataFrame({"stem": [m["stem"]], "content": [data]})
+                except (zipfile.BadZipFile, KeyError, zlib.error):
+                    continue
+
+    ship(cells.sparkSession)
+    both = cells.select(F.col("path").alias("archive"), "content").join(wanted, "archive")
+    return both.select("content", "members").mapInPandas(run, "stem string, content binary")
+
+
+def archive_members(spark: SparkSession, path: str, pattern: str = "*.zip", suffixes: tuple[str, ...] = (".mp4",)) -> DataFrame:
+    return members_of(_cells(spark, path, pattern), suffixes)
+
+
+def member_bytes(spark: SparkSession, path: str, members: DataFrame, pattern: str = "*.zip") -> DataFrame:
+    return contents_of(_cells(spark, path, pattern), members)
 
 
 def subtitle_files(spark: SparkSession, path: str, pattern: str = "*.srt") -> DataFrame:

@@ -59,6 +59,50 @@ def image_stats(rows: DataFrame, content: str = "content") -> DataFrame:
     return out.withColumn("megapixels", F.round(F.col("width") * F.col("height") / 1_000_000, 4))
 
 
+def _boxes(d: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Kind, begin and end of the content of each box of an ISO media file."""
+    while at + 8 <= end:
+        size, kind, head = int.from_bytes(d[at : at + 4], "big"), d[at + 4 : at + 8], 8
+        if size == 1:
+            size, head = int.from_bytes(d[at + 8 : at + 16], "big"), 16
+        size = size or end - at
+        if size < head:
+            return
+        yield kind, at + head, min(end, at + size)
+        at += size
+
+
+def video_header(data: bytes | None) -> tuple[int, int, float]:
+    """Width, height and seconds in the headers of an MP4 file; zeros for what isn't there."""
+    d, width, height, seconds = data or b"", 0, 0, 0.0
+    number = lambda at, n: int.from_bytes(d[at : at + n], "big")
+    for kind, a, b in _boxes(d, 0, len(d)):
+        if kind != b"moov":
+            continue
+        for inner, c, e in _boxes(d, a, b):
+            long = 8 if d[c : c + 1] == b"\x01" else 4  # version 1 has times of 8 bytes
+            if inner == b"mvhd" and e - c >= 8 + 3 * long:
+                scale = number(c + 4 + 2 * long, 4)
+                seconds = number(c + 8 + 2 * long, long) / scale if scale else 0.0
+            for track, f, g in _boxes(d, c, e) if inner == b"trak" else ():
+                if track == b"tkhd" and g - f >= 84 and number(g - 8, 4):  # sizes are the last two fields, in 16.16
+                    width, height = max(width, number(g - 8, 4) >> 16), max(height, number(g - 4, 4) >> 16)
+    return width, height, seconds
+
+
+def video_stats(rows: DataFrame, content: str = "content") -> DataFrame:
+    """rows with width, height and duration_sec of a video cell."""
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("width int, height int, duration_sec double")
+    def probed(cells: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in cells:
+            yield pd.DataFrame([video_header(c) for c in batch], columns=["width", "height", "duration_sec"])
+
+    out = rows.withColumn("_header", probed(F.col(content)))
+    return out.withColumns({c: F.col(f"_header.{c}") for c in ("width", "height", "duration_sec")}).drop("_header")
+
+
 def wav_samples(data: bytes | None, rate: int) -> np.ndarray:
     """Mono samples in [-1, 1] at a rate, of a PCM WAV cell of 8, 16, 24 or 32 bits; nothing if it can't be read."""
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import terms
@@ -31,9 +31,14 @@ def done_keys(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of a whitespace-separated list with their position, from 0."""
-    words = spark.read.text(path, wholetext=True).select(F.posexplode_outer(F.split(F.trim("value"), r"\s+")).alias("position", "record_key"))
-    return words.where("record_key <> ''").select("record_key", "position")
+    """Keys of a whitespace-separated list with their position, from 0. Lines are numbered within their split, splits by their counts."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("words"))
+    words = lines.select("line", F.shiftright("line", 33).alias("split"), F.posexplode("words").alias("at", "record_key"))
+    counts = words.groupBy("split").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("split"))  # a row for each split only
+    before = counts.select("split", (upto - F.col("n")).alias("before"))
+    placed = words.withColumn("k", F.row_number().over(Window.partitionBy("split").orderBy("line", "at")) - 1)
+    return placed.join(before, "split").select("record_key", (F.col("k") + F.col("before")).cast("int").alias("position"))
 
 
 def read_parts(spark: SparkSession, paths: list[str] | str) -> DataFrame:

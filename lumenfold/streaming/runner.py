@@ -10,9 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lumenfold.runtime import ship
+from lumenfold.runtime import scratch, ship
 
 RESULT = "record_key string, status string, response string, error string, attempts int"
+COLUMNS = ["record_key", "status", "response", "error", "attempts"]
+
+
+def _answered(item: dict, answer: Callable[[dict, int], str], tokens: int, retries: int) -> tuple:
+    """The result row of one item."""
+    budget, error, response, tried = tokens, None, None, 0
+    while tried < retries and response is None:
+        tried += 1
+        try:
+            response, error = answer(item, budget), None
+        except Exception as e:  # noqa: BLE001  what a model call raises belongs to its record
+            error = f"{type(e).__name__}: {e}"
+            budget = min(max(2 * budget, budget + 256), 2048)
+    return item["record_key"], "failed" if response is None else "completed", response, error, tried
 
 
 def stage(items: DataFrame, answer: Callable[[dict, int], str], tokens: int = 512, retries: int = 3) -> DataFrame:
@@ -21,23 +35,30 @@ def stage(items: DataFrame, answer: Callable[[dict, int], str], tokens: int = 51
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for item in pdf.to_dict("records"):
-                budget, error, response, tried = tokens, None, None, 0
-                while tried < retries and response is None:
-                    tried += 1
-                    try:
-                        response, error = answer(item, budget), None
-                    except Exception as e:  # noqa: BLE001  what a model call raises belongs to its record
-                        error = f"{type(e).__name__}: {e}"
-                        budget = min(max(2 * budget, budget + 256), 2048)
-                rows.append((item["record_key"], "failed" if response is None else "completed", response, error, tried))
-            yield pd.DataFrame(rows, columns=["record_key", "status", "response", "error", "attempts"])
+            yield pd.DataFrame([_answered(item, answer, tokens, retries) for item in pdf.to_dict("records")], columns=COLUMNS)
 
     ship(items.sparkSession)
     return items.mapInPandas(run, RESULT)
 
 
+def queued(jobs: DataFrame, run: Callable[[dict], object], workers: int) -> DataFrame:
+    """record_key, status and error of jobs, of which at most `workers` run at once; a job that raises has failed, the others go on."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for job in pdf.to_dict("records"):
+                try:
+                    run(job)
+                    rows.append((job["record_key"], "completed", None))
+                except Exception as e:  # noqa: BLE001  what a job raises belongs to its record
+                    rows.append((job["record_key"], "failed", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["record_key", "status", "error"])
+
+    ship(jobs.sparkSession)
+    return jobs.repartition(workers).mapInPandas(work, "record_key string, status string, error string")
+
+
 def with_failover(models: list[Callable[[dict, int], str]], dead: Callable[[Exception], bool] = lambda e: False, wait: float = 0.0) -> Callable[[dict, int], str]:
     """An answer function that tries models in order; one whose error is deadly isn't tried again by the worker."""
     gone: set[int] = set()
@@ -59,18 +80,36 @@ def with_failover(models: list[Callable[[dict, int], str]], dead: Callable[[Exce
     return answer
 
 
-def evaluate(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, answer: Callable[[dict, int], str], files_per_batch: int = 1) -> StreamingQuery:
-    """Evaluate the JSON items under source whose key has no completed record under sink, a few files at a time, till none is new."""
-    items = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
+def evaluate(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, answer: Callable[[dict, int], str], files_per_batch: int = 1, tokens: int = 512, retries: int = 3) -> StreamingQuery:
+    """Evaluate the JSON items under source whose key has no completed record under sink, a few files at a time, till none is new.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        done = spark.read.schema(RESULT).json(sink).where("status = 'completed'").select("record_key").distinct()
-        todo = rows.dropDuplicates(["record_key"]).join(done, "record_key", "left_anti")
-        stage(todo, answer).write.mode("append").json(sink)
+    The sink is read once, at the start, for its finished keys; those that finish later are the query's state, so a batch costs
+    its own items. A key that failed is tried again when it comes again.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     folder = spark._jvm.org.apache.hadoop.fs.Path(sink)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
-    return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finished = scratch(spark, "finished")
+    spark.read.schema(RESULT).json(sink).where("status = 'completed' AND record_key IS NOT NULL").select("record_key").distinct().write.parquet(finished)
+    known = spark.read.schema("record_key string").parquet(finished).withColumn("_finished", F.lit(True))
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        todo = not state.exists
+        for pdf in batches:
+            if todo and len(pdf):
+                row = _answered(pdf.to_dict("records")[0], answer, tokens, retries)
+                if row[1] == "completed":
+                    state.update((True,))
+                todo = False
+                yield pd.DataFrame([row], columns=COLUMNS)
+
+    ship(spark)
+    items = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
+    fresh = items.join(known, "record_key", "left").where("_finished IS NULL").drop("_finished")
+    results = fresh.groupBy("record_key").applyInPandasWithState(step, RESULT, "finished boolean", "append", GroupStateTimeout.NoTimeout)
+    write = lambda rows, _: rows.write.mode("append").json(sink)
+    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def change_stream(frames: DataFrame, key: str = "video_id") -> DataFrame:
