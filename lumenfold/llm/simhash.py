@@ -124,8 +124,11 @@ WORDS, PART, DISTANCE, LOW = 4, 32, 44, 6
 PARTS = WORDS * BITS // PART
 #: A shingle of more texts than COMMON comes last in the order of shingles. A key misses a pair with at most this probability.
 COMMON, MISS = 64, 1e-10
-#: Bits of the filter of common shingles (512 KB), shingles counted at once, rounds in which keys are chosen anew.
-COMMON_BITS, COUNTED, ROUNDS = 1 << 22, 1 << 20, 3
+#: Bits of the filter of common shingles (512 KB), shingles counted at once, rounds in which keys are chosen anew, pairs of a key row beyond which they are.
+COMMON_BITS, COUNTED, ROUNDS, CROSSED = 1 << 22, 1 << 20, 3, 8
+#: Smallest shingles kept of each set, and how many of the smallest of two sets together both must have: with a similarity of 0.8 or
+#: more, fewer have a probability under MISS (a binomial distribution).
+SKETCH, SKETCH_LEAST = 64, 27
 _ROW = [f"f{w}" for w in range(WORDS)]
 
 
@@ -201,7 +204,8 @@ def _apart(a: str, b: str):
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """A row (doc_id, text_hash, id, f0 to f3, low) of each text: id names its set of shingles. And rows (id, df) of shingles that
+    """A row (doc_id, text_hash, id, f0 to f3, low, sketch) of each text: id names its set of shingles, and sketch has the first
+    32 bits, as signed numbers in order, of its SKETCH smallest. And rows (id, df) of shingles that
     three of a task's different sets or more have, of every COUNTED shingles: what is common shows there."""
 
     def run(batches: Iterator) -> Iterator:
@@ -210,8 +214,8 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
 
         seen: dict[int, object] = {}
         size = 0
-        names = ["doc_id", "text_hash", "id", *_ROW, "low", "df"]
-        kinds = [pa.int64()] * (3 + WORDS) + [pa.list_(pa.int8()), pa.int64()]
+        names = ["doc_id", "text_hash", "id", *_ROW, "low", "sketch", "df"]
+        kinds = [pa.int64()] * (3 + WORDS) + [pa.list_(pa.int8()), pa.list_(pa.int32()), pa.int64()]
 
         def frequent() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(list(seen.values())), return_counts=True)
@@ -223,17 +227,18 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found, ids = [], []
+                found, ids, sketches = [], [], []
                 for t in part.column(2).cast(pa.binary()):
                     hashes = shingle_hashes(t.as_py() or b"", shingle)
                     distinct, name = shingle_set(hashes)
                     found.append(wide_fingerprint(hashes))
                     ids.append(name)
+                    sketches.append(((distinct[:SKETCH] >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32))
                     if name not in seen:
                         seen[name] = distinct
                         size += len(distinct)
                 words = [pa.array([f[w] for f, _ in found], pa.int64()) for w in range(WORDS)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.int64()), *words, pa.array([low for _, low in found], kinds[-2]), pa.nulls(part.num_rows, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.int64()), *words, pa.array([low for _, low in found], kinds[-3]), pa.array(sketches, kinds[-2]), pa.nulls(part.num_rows, pa.int64())], names)
                 if size >= COUNTED:
                     yield frequent()
                     seen.clear()
@@ -242,7 +247,7 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
             yield frequent()
 
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id bigint, text_hash bigint, id bigint, {', '.join(f'{c} bigint' for c in _ROW)}, low array<tinyint>, df bigint")
+    return source.mapInArrow(run, f"doc_id bigint, text_hash bigint, id bigint, {', '.join(f'{c} bigint' for c in _ROW)}, low array<tinyint>, sketch array<int>, df bigint")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -260,12 +265,22 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
+def _hopeful(a, b):
+    """Whether two sketches allow a similarity of 0.8: enough of the smallest shingles of both sets are common. Sets that are
+    smaller than a sketch are compared whole, with some room for equal first halves of hashes."""
+    smallest = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    common = F.size(F.array_intersect(smallest, F.array_intersect(a, b)))
+    return F.when(F.size(smallest) < SKETCH, common >= 0.75 * F.size(smallest)).otherwise(common >= SKETCH_LEAST)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Edges (a, b), a written table, of the pairs (id, other) whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
-    Only texts that stand in a pair are read again.
+    Sketches rule most others out. Only texts that stand in a pair that is left are read again, and counted exactly.
     """
-    pairs = written(pairs.distinct(), "similar-pairs")
+    sketches = nodes.select("id", "sketch")
+    both = pairs.distinct().join(sketches, "id").join(sketches.select(F.col("id").alias("other"), F.col("sketch").alias("other_sketch")), "other")
+    pairs = written(both.where(_hopeful(F.col("sketch"), F.col("other_sketch"))).select("id", "other"), "similar-pairs")
     if pairs.isEmpty():
         return pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))
     ids = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
@@ -301,7 +316,8 @@ def _fast_pairs(nodes: DataFrame) -> DataFrame:
 def _keys(docs: DataFrame, frequent: DataFrame, shingle: int) -> DataFrame:
     """id, n (shingles), key and common: the chosen keys of each set, a written table.
 
-    Keys that turn out to be common are put last, and all keys chosen anew, at most ROUNDS times; any order gives the same groups.
+    While common keys would make many pairs, they are put last and all keys chosen anew, at most ROUNDS times; any order gives the
+    same groups.
     """
     import numpy as np
 
@@ -340,30 +356,35 @@ def _keys(docs: DataFrame, frequent: DataFrame, shingle: int) -> DataFrame:
     add(frequent.groupBy(F.col("id").alias("key")).agg(F.sum("df").alias("df")).where(F.col("df") > COMMON))
     for _ in range(ROUNDS):
         keys = of_texts()
-        often = written(keys.where("NOT common").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") > COMMON).select("key"), "similar-common")
-        if often.isEmpty():
+        often = written(keys.where("NOT common").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") > COMMON), "similar-common")
+        crossed = often.agg(F.sum(F.col("df").cast("double") * F.col("df"))).first()[0] or 0.0
+        if crossed <= CROSSED * keys.count():
+            discard(often)
             return keys
         add(often)
         discard(keys, often)
     return of_texts()
 
 
-def _across(keys: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
+def _rooted(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, n, key and root of the keys that more than one component has, a written table."""
+    rooted = keys.select("id", "n", "key").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return written(rooted.join(open_keys, "key"), "similar-rooted")
+
+
+def _across(rooted: DataFrame, every: bool) -> DataFrame:
     """Pairs (id, other) of one key that aren't in one component yet and whose sizes allow a similarity of 0.8.
 
     First each set with a hub of the key, another one for each key. With every, each set outside the key's largest component
     with all of the key.
     """
-    rooted = keys.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rooted = rooted.join(open_keys, "key").select("id", "n", "key", "root")
     fits = F.expr("root != other_root AND 5 * least(n, m) >= 4 * greatest(n, m)")
     other = [F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")]
     if not every:
         hubs = rooted.groupBy("key").agg(F.min_by(F.struct(*other), F.xxhash64("id", "key")).alias("hub")).select("key", "hub.*")
         met = rooted.join(hubs, "key").where(fits)
     else:
-        rooted = written(rooted, "similar-rooted")
         sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
         largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
         side = rooted.join(largest, "key").where("root != main").select("key", *other)
@@ -386,13 +407,17 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     ship(docs.sparkSession)
     table = written(_marked(docs, shingle), "similar-fp")
     marked = table.where("df IS NULL")
-    nodes = marked.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", *_ROW, "low")).alias("first"))
-    nodes = written(nodes.select("id", F.struct("first.doc_id", "first.text_hash").alias("first"), F.col("first.low").alias("low"), *(F.col(f"first.{c}").alias(c) for c in _ROW)), "similar-nodes")
+    own = ("low", "sketch", *_ROW)
+    nodes = marked.groupBy("id").agg(F.min(F.struct("doc_id", "text_hash", *own)).alias("first"))
+    nodes = written(nodes.select("id", F.struct("first.doc_id", "first.text_hash").alias("first"), *(F.col(f"first.{c}").alias(c) for c in own)), "similar-nodes")
     edges = _verified(_fast_pairs(nodes), nodes, docs, shingle)
     keys = _keys(docs, table.where("df IS NOT NULL").select("id", "df"), shingle)
     roots = written(components(edges), "similar-roots")
     for every in (False, True):
-        more = _verified(_across(keys, roots, every), nodes, docs, shingle)
+        rooted = _rooted(keys, roots)
+        discard(keys)
+        keys = rooted
+        more = _verified(_across(rooted, every), nodes, docs, shingle)
         if not more.isEmpty():
             edges = edges.unionByName(more)
             roots = written(components(edges), "similar-roots")
