@@ -49,6 +49,19 @@ def test_op1_scores_equal_plain_regression(spark):
         url_filter.train(spark.range(url_filter.MAX_LABELS + 1).selectExpr("'http://a.b/c' url", "1 label"), 64)
 
 
+def test_op1_blocks_unseen_hosts(spark):
+    """Every fifth host is held out."""
+    import zlib
+
+    name = lambda url: url.split("/")[2].split(".example")[0].split(".")[-1]
+    rows = url_filter.labelled_urls()
+    held = [r for r in rows if zlib.crc32(name(r[0]).encode()) % 5 == 0]
+    weights = url_filter.train(spark.createDataFrame([r for r in rows if r not in held], "url string, label int"))
+    scored = url_filter.judged(spark.createDataFrame(held, "url string, label int"), weights).collect()
+    assert len({name(r.url) for r in scored if r.label}) > 8
+    assert sum((r.score >= 0.5) == bool(r.label) for r in scored) >= 0.95 * len(scored)
+
+
 def brute_exponent(tokens, most=None, entropy=None):
     total = sum(tokens)
     low, high = 0.0, 1.0
