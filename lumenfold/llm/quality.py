@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import let, space_words, text_of, written
 
 DIMS = 4
-H, STEPS, DRIFT, CUTOFF, MIN_GROUP, BINS = 0.75, 12, 1e-3, 60.0, 40, 1024
+H, STEPS, DRIFT, CUTOFF, MIN_GROUP, BINS = 0.75, 8, 0.01, 60.0, 40, 1024
 _X = [f"x{j}" for j in range(DIMS)]
 _MODEL = [*(f"m{j}" for j in range(DIMS)), *(f"c{j}{k}" for j in range(DIMS) for k in range(j + 1))]
 #: Median of the chi-square distribution with DIMS degrees of freedom.
@@ -162,9 +162,10 @@ def fit(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         near = nearest(H, *_sums())
         near = near.groupBy("estimate", "start").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in near.columns if c[0] in "sp" and c[1:].isdigit()))
-        stepped = written(_factor(near), "mcd-model")
-        drift = stepped.join(model.select("estimate", "start", F.col("det").alias("last")), ["estimate", "start"]).agg(F.max(F.abs(F.col("det") - F.col("last")))).first()[0]
-        model = stepped
+        before = model.select("estimate", "start", F.col("det").alias("last"))
+        model = written(_factor(near).join(before, ["estimate", "start"]), "mcd-model")
+        drift = model.agg(F.max(F.abs(F.col("det") - F.col("last")))).first()[0]
+        model = model.drop("last")
         if drift < DRIFT:
             break
     best = F.row_number().over(Window.partitionBy("estimate").orderBy("det", "start"))

@@ -418,9 +418,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
         discard(keys)
         keys = rooted
         more = _verified(_across(rooted, every), nodes, docs, shingle)
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            roots = written(components(edges), "similar-roots")
+        if not more.isEmpty():  # what is joined already is a star to its root
+            roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "similar-roots")
     joined = nodes.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     keepers = written(joined.groupBy("root").agg(F.min("first").alias("keeper")), "similar-keepers")
     classes = written(joined.join(keepers, "root").select("id", "keeper"), "similar-classes")
