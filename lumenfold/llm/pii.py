@@ -2,9 +2,10 @@
 
 Candidates are the base spans and the matches of wider patterns. Five labelers vote on each (yes, no or abstain): a format
 check, a gazetteer, the words before it in favour, the words before it against, and its boundaries. Candidates are counted by
-kind, votes and length class, a table bounded by its cells whatever the corpus; on it, expectation-maximisation estimates each
-labeler's reliability and each candidate's probability of being personal, and a logistic span classifier is trained on these
-probabilities. Candidates of the wider kinds that the classifier accepts, and that touch no base span, are added.
+kind, votes, length class, shape and hashed word before, a table bounded by its cells whatever the corpus; on it,
+expectation-maximisation estimates each labeler's reliability and each candidate's probability of being personal, and a
+logistic span classifier is trained on these probabilities. It sees shapes and words, which no labeler votes on, so it tells
+candidates with equal votes apart. Candidates of the wider kinds that the classifier accepts, and that touch no base span, are added.
 
 One map stage finds spans and votes; the small table that it writes is counted, then scored. Offsets come from the lengths of
 matches and of the text between them. The patterns are possessive and anchored at the start of a run, so that they take time in
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ LABELERS = ("format", "gazetteer", "context", "against", "boundary")
 #: Wider kinds that may be added; number only gives the labelers something to reject.
 ADDED = WIDER[:-1]
 ACCEPT = 0.5
+#: Classes of length and shape, and buckets of the word before.
+SIZES, SHAPES, WORD_BUCKETS = 8, 8, 32
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Pattern of each kind, and a cheaper one that texts without a match fail.
@@ -114,12 +118,26 @@ def _votes(kind: str, text: Column, span: Column) -> list[Column]:
     return [_vote(formats[kind]), lists[kind], let(before, lambda b: _vote(F.regexp_like(b, F.lit(FOR)), never)), let(before, lambda b: F.when(F.regexp_like(b, F.lit(AGAINST)), 0).otherwise(2)), F.when(F.regexp_like(around, F.lit("[A-Za-z0-9]")), 0).otherwise(1)]
 
 
+def _shape(m: Column) -> Column:
+    """Class of the characters: digits, digits with marks, digits and letters, no digits; twice that if a run of four equal characters is in it."""
+    kind = F.when(~m.rlike("[0-9]"), 3).when(m.rlike("[A-Za-z]"), 2).when(m.rlike("[^0-9]"), 1).otherwise(0)
+    return (kind + F.when(m.rlike(r"(.)\1{3}"), 4).otherwise(0)).cast("int")
+
+
+def _word_before(text: Column, span: Column) -> Column:
+    """Bucket from 1 of the lower-cased word before the span on its line, 0 if there is none."""
+    before = F.substring(text, F.greatest(span["start"] - 31, F.lit(1)), F.least(span["start"], F.lit(32)))
+    word = F.regexp_extract(before, r"([A-Za-z]{2,24})[^A-Za-z\n]{0,8}$", 1)
+    return F.when(word == "", 0).otherwise(1 + F.pmod(F.xxhash64(F.lower(word)), F.lit(WORD_BUCKETS - 1))).cast("int")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and spans: arrays of (kind, start, end, votes, size) of all kinds, by kind as listed, then start."""
+    """doc_id and spans: arrays of (kind, start, end, votes, size, shape, word) of all kinds, by kind as listed, then start."""
     def of_kind(text: Column, k: int) -> Column:
         kind = KINDS[k]
         found = _match(*PATTERNS[kind], text, VALID.get(kind))
-        return F.transform(found, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*_votes(kind, text, s)).alias("votes"), F.least(F.floor((s["end"] - s["start"]) / 8), F.lit(7)).cast("int").alias("size")))
+        return F.transform(found, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*_votes(kind, text, s)).alias("votes"), F.least(F.floor((s["end"] - s["start"]) / 8), F.lit(SIZES - 1)).cast("int").alias("size"),
+            _shape(s["m"]).alias("shape"), _word_before(text, s).alias("word")))
 
     return docs.select("doc_id", let(text_of(), lambda t: F.concat(*(of_kind(t, k) for k in range(len(KINDS))))).alias("spans"))
 
@@ -149,45 +167,54 @@ def reliabilities(cells: list[tuple[int, tuple[int, ...], int]], rounds: int = 6
     return tables, prior, post
 
 
-def _features(kind: int, votes, size: int) -> list[int]:
-    """Active features: the kind, each labeler's vote, the size class."""
-    return [kind, *(len(KINDS) + 3 * j + v for j, v in enumerate(votes)), len(KINDS) + 3 * len(LABELERS) + size]
-
-
-N_FEATURES = len(KINDS) + 3 * len(LABELERS) + 8
-
-
-def span_classifier(cells: list[tuple[int, tuple[int, ...], int, int]], steps: int = 300, rate: float = 1.0) -> list[float]:
-    """Weights by feature of a logistic regression on the posteriors of (kind, votes, size, count)."""
-    post = reliabilities([(k, v, n) for k, v, _, n in cells])[2] if cells else []
-    weights, past = [0.0] * N_FEATURES, [1e-6] * N_FEATURES
-    weight = [math.sqrt(n) for *_, n in cells]  # damped, so that frequent cells don't decide alone
-    total = sum(weight) or 1.0
+#: Where the features of each sort begin: kinds, votes, sizes, shapes, words.
+_AT = [0]
+for _n in (len(KINDS), 3 * len(LABELERS), SIZES, SHAPES, WORD_BUCKETS):
+    _AT.append(_AT[-1] + _n)
+N_FEATURES = _AT[-1]
+
+
+def _features(kind: int, votes, size: int, shape: int, word: int) -> list[int]:
+    """Active features: the kind, each labeler's vote, the classes of length and shape, the word before."""
+    return [kind, *(_AT[1] + 3 * j + v for j, v in enumerate(votes)), _AT[2] + size, _AT[3] + shape, _AT[4] + word]
+
+
+def span_classifier(cells: list[tuple], steps: int = 300, rate: float = 0.3) -> list[float]:
+    """Weights by feature of a logistic regression (AdaGrad) on the posteriors of (kind, votes, size, shape, word, count)."""
+    if not cells:
+        return [0.0] * N_FEATURES
+    counts: dict[tuple, int] = {}
+    for kind, votes, *_, n in cells:
+        counts[kind, votes] = counts.get((kind, votes), 0) + n
+    keys = sorted(counts)
+    post = dict(zip(keys, reliabilities([(*k, counts[k]) for k in keys])[2], strict=True))
+    target = np.array([post[c[0], c[1]] for c in cells])
+    on = np.array([_features(*c[:-1]) for c in cells])
+    weight = np.sqrt([c[-1] for c in cells])  # damped, so that frequent cells don't decide alone
+    weight = weight / weight.sum()
+    weights, past = np.zeros(N_FEATURES), np.full(N_FEATURES, 1e-6)
     for _ in range(steps):
-        slope = [1e-4 * w for w in weights]
-        for (k, v, s, _), p, n in zip(cells, post, weight, strict=True):
-            on = _features(k, v, s)
-            error = (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[f] for f in on))))) - p) * n / total
-            for f in on:
-                slope[f] += error
-        for f, g in enumerate(slope):
-            past[f] += g * g
-            weights[f] -= rate * 0.3 * g / math.sqrt(past[f])
-    return weights
+        error = (1 / (1 + np.exp(-np.clip(weights[on].sum(axis=1), -30, 30))) - target) * weight
+        slope = 1e-4 * weights + np.bincount(on.ravel(), np.repeat(error, on.shape[1]), N_FEATURES)
+        past += slope * slope
+        weights -= rate * slope / np.sqrt(past)
+    return [float(w) for w in weights]
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id and spans: arrays of (kind, start, end, probability, added) of base spans and added ones, by kind as listed, then start."""
     table = written(candidates(docs), "pii-spans")
-    # at most kinds * 3 ** labelers * sizes cells
-    rows = table.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.size").agg(F.count("*").alias("n")).orderBy("kind", "votes", "size").collect()
-    weights = span_classifier([(r["kind"], tuple(r["votes"]), r["size"], r["n"]) for r in rows])
+    # the cells that occur, at most kinds * 3 ** labelers * sizes * shapes * words
+    by = ["kind", "votes", "size", "shape", "word"]
+    rows = table.select(F.explode("spans").alias("s")).groupBy(*(f"s.{c}" for c in by)).agg(F.count("*").alias("n")).orderBy(*by).collect()
+    weights = span_classifier([(r["kind"], tuple(r["votes"]), r["size"], r["shape"], r["word"], r["n"]) for r in rows])
     model = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     names = F.array(*map(F.lit, KINDS))
 
     def judged(s: Column) -> Column:
-        votes = F.aggregate(F.transform(s["votes"], lambda v, j: F.get(model, F.lit(len(KINDS)) + 3 * j + v)), F.lit(0.0), lambda a, x: a + x)
-        odds = F.get(model, s["kind"]) + votes + F.get(model, F.lit(len(KINDS) + 3 * len(LABELERS)) + s["size"])
+        votes = F.aggregate(F.transform(s["votes"], lambda v, j: F.get(model, F.lit(_AT[1]) + 3 * j + v)), F.lit(0.0), lambda a, x: a + x)
+        own = [F.get(model, F.lit(at) + s[c]) for at, c in zip(_AT, ("kind", None, "size", "shape", "word"), strict=False) if c]
+        odds = sum(own, votes)
         return F.struct(s["kind"].alias("k"), F.get(names, s["kind"]).alias("kind"), s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"), (1 / (1 + F.exp(-odds))).alias("probability"), (s["kind"] >= len(BASE)).alias("added"))
 
     def chosen(all_spans: Column) -> Column:
