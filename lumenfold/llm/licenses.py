@@ -150,7 +150,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
 
         def of_lines(lines: Column) -> Column:
             own = F.when(F.size(lines) > 1, named("line", F.transform(lines, lambda x: F.flatten(x)))).otherwise(none)
-            several = named("sentence", F.flatten(F.filter(lines, lambda x: F.size(x) > 1)))
+            some = lambda x: F.filter(x, lambda w: F.size(w) > 0)
+            several = named("sentence", F.flatten(F.filter(F.transform(lines, some), lambda x: F.size(x) > 1)))
             rest = lambda sentences: F.concat(passages(sentences), named("text", F.array(F.flatten(sentences))))
             return F.concat(own, several, blocks, let(F.flatten(lines), rest))
 
@@ -188,13 +189,13 @@ WITH templates(name, grams) AS (VALUES {rows}),
 known AS (SELECT list(DISTINCT g) AS u FROM (SELECT unnest(grams) AS g FROM templates)),
 normal AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
 lines AS (SELECT doc_id, l[i] AS line, i, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM normal))),
-parts AS (SELECT doc_id, i, n, k, len(p) AS m, {words.format('p[k]')} AS w
+parts AS (SELECT doc_id, i, n, k, {words.format('p[k]')} AS w
   FROM (SELECT doc_id, i, n, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, i, n, regexp_split_to_array(line, '{SENTENCE_END}') AS p FROM lines))),
 judged AS (SELECT doc_id, i, k, w, CASE WHEN len(w) > 1 THEN 2 * len(list_intersect({grams.format('w')}, u)) >= len({grams.format('w')}) END AS alike FROM parts, known),
 run AS (SELECT *, sum(CASE WHEN NOT alike THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, k) AS r FROM judged),
 units AS (
   SELECT doc_id, flatten(list(w ORDER BY k)) AS w FROM parts WHERE n > 1 GROUP BY doc_id, i
-  UNION ALL SELECT doc_id, w FROM parts WHERE m > 1
+  UNION ALL SELECT doc_id, w FROM (SELECT *, count(*) FILTER (len(w) > 0) OVER (PARTITION BY doc_id, i) AS m FROM parts) WHERE m > 1
   UNION ALL SELECT doc_id, {words.format('u')} FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\\n[^a-z0-9\\n]*\\n[^a-z0-9]*')) AS u FROM normal WHERE regexp_matches(t, '\\n[^a-z0-9\\n]*\\n'))
   UNION ALL SELECT doc_id, flatten(list(w ORDER BY i, k)) FROM run WHERE coalesce(alike, true) GROUP BY doc_id, r HAVING count(*) FILTER (WHERE alike) > 1
   UNION ALL SELECT doc_id, flatten(list(w ORDER BY i, k)) FROM parts GROUP BY doc_id),

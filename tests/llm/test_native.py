@@ -129,13 +129,34 @@ def test_mixing_of_hard_rows(spark):
         mixing.mixture(docs)
 
 
+def grams_of(words):
+    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+
 def brute_license(text):
-    t = re.sub("[^a-z0-9\n]+", " ", (text or "").lower())
-    units = (t.split("\n") if "\n" in t else []) + (re.split("\n *\n[ \n]*", t) if re.search("\n *\n", t) else []) + [t]
+    t = (text or "").lower()
+    own = lambda x: re.findall("[a-z0-9]+", x)
+    lines = [[own(p) for p in re.split("[.;:!?]+(?:[ \t\r]|$)", x)] for x in t.split("\n")]
+    units = [sum(x, []) for x in lines] if len(lines) > 1 else []
+    for x in lines:
+        several = [w for w in x if w]
+        units += several if len(several) > 1 else []
+    if re.search("\n[^a-z0-9\n]*\n", t):
+        units += [own(p) for p in re.split("\n[^a-z0-9\n]*\n[^a-z0-9]*", t)]
+    known = {g for x in licenses.TEMPLATES.values() for g in licenses.bigrams_of(x)}
+    run, alike = [], 0
+    for words in [*sum(lines, []), None]:
+        grams = grams_of(words or [])
+        if words is None or (grams and 2 * len(grams & known) < len(grams)):
+            units += [sum(run, [])] if alike > 1 else []
+            run, alike = [], 0
+        else:
+            run.append(words)
+            alike += bool(grams)
+    units.append(sum(sum(lines, []), []))
     found = []
-    for u in units:
-        w = u.split()
-        g = {f"{a} {b}" for a, b in zip(w, w[1:])}
+    for w in units:
+        g = grams_of(w)
         for name, template in licenses.TEMPLATES.items():
             h = set(licenses.bigrams_of(template))
             if g and 2 * len(g & h) / (len(g) + len(h)) >= licenses.THRESHOLD:
@@ -143,6 +164,21 @@ def brute_license(text):
     return len(found), ",".join(sorted({n for _, n in found})), min(((-d, n) for d, n in found), default=(None, None))
 
 
+def test_notices_over_paragraphs_and_within_lines_are_found(spark):
+    t = licenses.TEMPLATES
+    wide = lambda x: re.sub(r"(?<=[.:;]) ", "\n\n", x)
+    texts = {
+        f"{prose(1, 60)}\n\n{wide(t['bsd-2-clause'])}\n\n{prose(2, 60)}": "bsd-2-clause",
+        f"{prose(3, 80)}\n{wide(t['apache-2.0-header'])}\n{prose(4, 80)}": "apache-2.0-header",
+        f"Copyright (c) 2020 Nobody\n\n{wide(t['mit-full'])}": "mit-full",
+        f"{prose(5, 40)}. Released under the MIT License. {prose(6, 40)}": "mit",
+        f"{prose(7, 50)}\n{wide(t['bsd-3-clause-full'])}\n{prose(8, 50)}": "bsd-3-clause-full",
+        prose(9, 300): None,
+    }
+    got = {r.doc_id: r.best_license for r in licenses.op5_license_scan(frame(spark, list(texts))).collect()}
+    assert all((got[i] or "").startswith(want) if want else got[i] is None for i, want in enumerate(texts.values())), got
+
+
 def test_short_notices_are_found_in_many_wordings(spark):
     verbs = ("Licensed", "Released", "Distributed", "Available", "This project is released")
     want = [(f"{v} under {called}.", name) for v in verbs for name, called in licenses.NAMES.items() if called.startswith("the ") or " " not in v]
