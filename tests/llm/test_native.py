@@ -119,6 +119,18 @@ def test_mixture_realises_the_weights(spark):
     assert max(map(len, places.values())) < 200 and len(places) > 6
 
 
+def test_hot_sources_and_ids_are_split_into_blocks(spark):
+    """A source without tokens, and one doc_id of many texts, are many blocks; every row is drawn once at rate 1."""
+    rows = [(i, "", "none") for i in range(3000)] + [(7, f"w{i} x", "one") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    drawn = mixing.mixture(docs, max_repeats=1.0, block_rows=100, keep=("text",)).collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in drawn) == sorted(rows)
+    sizes = defaultdict(int)
+    for r in drawn:
+        sizes[r.source, r.block] += 1
+    assert max(sizes.values()) < 200 and len(sizes) == 60
+
+
 def test_mixing_of_hard_rows(spark):
     docs = frame(spark, HARD)
     once = mixing.mixture(docs.union(docs), max_repeats=1.0).collect()
