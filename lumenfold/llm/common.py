@@ -96,20 +96,25 @@ SIFT_CELLS = 1 << 17
 _SIFT_MASK = "shiftleft(1L, int(shiftright(_sift_h, 17) & 63)) | shiftleft(1L, int(shiftright(_sift_h, 23) & 63))"
 
 
-def _sifted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs that may be among keys (doc_id, text_hash), and those that surely aren't.
+def sifted(rows: DataFrame, own: Column, keys: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash own may be among the hashes key of keys, and those for which it surely isn't.
 
     The keys make a Bloom filter: each sets two bits of one cell. It has a fixed size; the more keys, the more rows may be
     among them, up to all.
     """
-    hashed = lambda doc_id, text_hash: F.xxhash64(doc_id.cast("string"), text_hash)
     cell = F.expr(f"int(_sift_h & {SIFT_CELLS - 1})").alias("_sift_cell")
-    bits = keys.select(hashed(keys["doc_id"], keys["text_hash"]).alias("_sift_h"))
-    bits = written(bits.groupBy(cell).agg(F.bit_or(F.expr(_SIFT_MASK)).alias("_sift_bits")), "sift")
-    marked = docs.withColumn("_sift_h", hashed(docs["doc_id"], F.xxhash64(docs["text"]))).withColumn("_sift_cell", cell)
+    bits = keys.select(key.alias("_sift_h")).groupBy(cell).agg(F.bit_or(F.expr(_SIFT_MASK)).alias("_sift_bits"))
+    bits = written(bits, "sift")
+    marked = rows.withColumn("_sift_h", own).withColumn("_sift_cell", cell)
     marked = marked.join(F.broadcast(bits), "_sift_cell", "left")
     may = F.coalesce(F.expr(f"_sift_bits & ({_SIFT_MASK}) = ({_SIFT_MASK})"), F.lit(False))
-    return tuple(marked.where(part).select(docs.columns) for part in (may, ~may))
+    return tuple(marked.where(part).select(rows.columns) for part in (may, ~may))
+
+
+def _of_documents(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sifted() by doc_id and text_hash."""
+    hashed = lambda doc_id, text_hash: F.xxhash64(doc_id.cast("string"), text_hash)
+    return sifted(docs, hashed(docs["doc_id"], F.xxhash64(docs["text"])), keys, hashed(keys["doc_id"], keys["text_hash"]))
 
 
 def _same(docs: DataFrame, keys: DataFrame) -> Column:
@@ -122,14 +127,13 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     Rows that a filter of the keys lets through are shuffled to the keys by doc_id and text, so copies of a text part; the
     others, nearly all if few keys are gone, never move. Exact for any number of keys, and one plan for all of them.
     """
-    may, rest = _sifted(docs, gone)
+    may, rest = _of_documents(docs, gone)
     return rest.unionAll(may.join(gone.hint("shuffle_hash"), _same(may, gone), "left_anti"))
 
 
-def within(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id and text are among wanted (doc_id, text_hash), likewise."""
-    may, _ = _sifted(docs, wanted)
-    return may.join(wanted.hint("shuffle_hash"), _same(may, wanted), "left_semi")
+def perhaps_within(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text are among wanted (doc_id, text_hash), and some others; nothing is shuffled."""
+    return _of_documents(docs, wanted)[0]
 
 
 def _delete(spark: SparkSession, path: str) -> None:

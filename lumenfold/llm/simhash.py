@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import discard, within, without, written
+from lumenfold.llm.common import discard, perhaps_within, sifted, without, written
 from lumenfold.llm.components import components
 from lumenfold.runtime import ship
 
@@ -278,18 +278,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
 
     Sketches rule most others out. Only texts that stand in a pair that is left are read again, and counted exactly.
     """
-    sketches = nodes.select("id", "sketch")
-    both = pairs.distinct().join(sketches, "id").join(sketches.select(F.col("id").alias("other"), F.col("sketch").alias("other_sketch")), "other")
+    met = written(pairs.distinct(), "similar-met")
+    both_ids = lambda p: p.select("id").unionByName(p.select(F.col("other").alias("id"))).distinct()
+    sketches, _ = sifted(nodes.select("id", "sketch"), F.xxhash64("id"), both_ids(met), F.xxhash64("id"))
+    both = met.join(sketches, "id").join(sketches.select(F.col("id").alias("other"), F.col("sketch").alias("other_sketch")), "other")
     pairs = written(both.where(_hopeful(F.col("sketch"), F.col("other_sketch"))).select("id", "other"), "similar-pairs")
     if pairs.isEmpty():
         return pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))
-    ids = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
-    wanted = written(nodes.join(ids, "id").select("first.doc_id", "first.text_hash"), "similar-wanted")
-    sets = written(_sets(within(docs, wanted), shingle).dropDuplicates(["id"]), "similar-sets")
+    wanted = written(nodes.select("id", "first").join(both_ids(pairs), "id").select("first.doc_id", "first.text_hash"), "similar-wanted")
+    sets = written(_sets(perhaps_within(docs, wanted), shingle).dropDuplicates(["id"]), "similar-sets")
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("shingles").alias("others")), "other")
     alike = both.where(9 * F.size(F.array_intersect("shingles", "others")) >= 4 * (F.size("shingles") + F.size("others")))
     edges = written(alike.select(F.col("id").alias("a"), F.col("other").alias("b")), "similar-edges")
-    discard(pairs, wanted, sets)
+    discard(met, pairs, wanted, sets)
     return edges
 
 
