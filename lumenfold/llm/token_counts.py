@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,18 +120,24 @@ class Trie:
         return tokens[node]
 
 
-@cache
-def _pieces(path: str) -> Pieces:
-    return Pieces(vocabulary(path))
+_built: dict[str, Pieces] = {}
+
+
+def _pieces(path: str, scores) -> Pieces:
+    """The automaton of a vocabulary's broadcast scores, made once by each worker."""
+    if path not in _built:
+        _built[path] = Pieces(scores.value)
+    return _built[path]
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_words, n_tokens and n_bytes of each row. The vocabulary file is at path on every executor."""
+    """doc_id, n_words, n_tokens and n_bytes of each row. Only the driver reads the file at path; its pieces, about a megabyte, are broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        trie, ends = Trie(_pieces(path)), {}
+        trie, ends = Trie(_pieces(path, shared)), {}
         for batch in batches:
             words, tokens, size = [], [], []
             for text in batch.column(1).cast(pa.binary()):
