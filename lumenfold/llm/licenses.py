@@ -1,8 +1,8 @@
 """License scans: Dice coefficient over word bigrams between units of a text and licence templates.
 
-Units of a text are its lines, the sentences of lines that have several, its paragraphs (parted by blank lines), its passages
-and the whole text. A passage is a run of sentences, over any lines and paragraphs, of which each has half of its bigrams or
-more in some template; so a notice within a longer line is a sentence or a passage, and one over several paragraphs a
+Units of a text are its lines, the licence-like sentences of lines that have several, its paragraphs (parted by blank lines),
+its passages and the whole text. A sentence is licence-like if half of its words and half of its bigrams or more are in some
+template; a passage is a run of such sentences, over any lines and paragraphs. So a notice within a longer line is a sentence or a passage, and one over several paragraphs a
 passage. A unit with n distinct bigrams can reach a Dice coefficient of t only against templates with t/(2-t)*n to (2-t)/t*n
 distinct bigrams; others are pruned before any bigram is compared. All work is within a row: no shuffle, no state that grows
 with the corpus.
@@ -107,6 +107,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
     rows = sorted((name, grams) for name, text in (TEMPLATES if templates is None else templates).items() if (grams := bigrams_of(text)))
     table = F.from_json(F.lit(_json(rows)), "array<struct<name:string,grams:array<string>>>")
     known = sorted({g for _, grams in rows for g in grams})
+    vocabulary = sorted({w for g in known for w in g.split()})
     least, most = min((len(g) for _, g in rows), default=0), max((len(g) for _, g in rows), default=-1)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
 
@@ -129,8 +130,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
         """True or false; null for a sentence without a bigram, which parts no passage."""
         if not known:
             return F.lit(False)
-        hits = lambda grams: 2 * F.size(F.filter(grams, lambda g: g.isin(known))) >= F.size(grams)
-        return F.when(F.size(words) > 1, let(_bigrams(words), hits))
+        # most sentences have few of the words, so that their bigrams needn't be made
+        mostly = lambda values, these: 2 * F.size(F.filter(values, lambda v: v.isin(these))) >= F.size(values)
+        return F.when(F.size(words) > 1, mostly(words, vocabulary) & let(_bigrams(words), lambda grams: mostly(grams, known)))
 
     def passages(sentences: Column) -> Column:
         def between(like: Column) -> Column:
@@ -151,7 +153,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, th
         def of_lines(lines: Column) -> Column:
             own = F.when(F.size(lines) > 1, named("line", F.transform(lines, lambda x: F.flatten(x)))).otherwise(none)
             some = lambda x: F.filter(x, lambda w: F.size(w) > 0)
-            several = named("sentence", F.flatten(F.filter(F.transform(lines, some), lambda x: F.size(x) > 1)))
+            several = named("sentence", F.filter(F.flatten(F.filter(F.transform(lines, some), lambda x: F.size(x) > 1)), licence_like))
             rest = lambda sentences: F.concat(passages(sentences), named("text", F.array(F.flatten(sentences))))
             return F.concat(own, several, blocks, let(F.flatten(lines), rest))
 
@@ -186,16 +188,16 @@ def op5_sql() -> str:
     words = "list_filter(regexp_split_to_array({}, '[^a-z0-9]+'), lambda x: x <> '')"
     return f"""
 WITH templates(name, grams) AS (VALUES {rows}),
-known AS (SELECT list(DISTINCT g) AS u FROM (SELECT unnest(grams) AS g FROM templates)),
+known AS (SELECT list(DISTINCT g) AS u, list_distinct(flatten(list(string_split(g, ' ')))) AS v FROM (SELECT unnest(grams) AS g FROM templates)),
 normal AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
 lines AS (SELECT doc_id, l[i] AS line, i, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM normal))),
 parts AS (SELECT doc_id, i, n, k, {words.format('p[k]')} AS w
   FROM (SELECT doc_id, i, n, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, i, n, regexp_split_to_array(line, '{SENTENCE_END}') AS p FROM lines))),
-judged AS (SELECT doc_id, i, k, w, CASE WHEN len(w) > 1 THEN 2 * len(list_intersect({grams.format('w')}, u)) >= len({grams.format('w')}) END AS alike FROM parts, known),
+judged AS (SELECT doc_id, i, k, w, CASE WHEN len(w) > 1 THEN 2 * len(list_filter(w, lambda x: list_contains(v, x))) >= len(w) AND 2 * len(list_intersect({grams.format('w')}, u)) >= len({grams.format('w')}) END AS alike FROM parts, known),
 run AS (SELECT *, sum(CASE WHEN NOT alike THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, k) AS r FROM judged),
 units AS (
   SELECT doc_id, flatten(list(w ORDER BY k)) AS w FROM parts WHERE n > 1 GROUP BY doc_id, i
-  UNION ALL SELECT doc_id, w FROM (SELECT *, count(*) FILTER (len(w) > 0) OVER (PARTITION BY doc_id, i) AS m FROM parts) WHERE m > 1
+  UNION ALL SELECT doc_id, w FROM (SELECT *, count(*) FILTER (len(w) > 0) OVER (PARTITION BY doc_id, i) AS m FROM judged) WHERE m > 1 AND alike
   UNION ALL SELECT doc_id, {words.format('u')} FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\\n[^a-z0-9\\n]*\\n[^a-z0-9]*')) AS u FROM normal WHERE regexp_matches(t, '\\n[^a-z0-9\\n]*\\n'))
   UNION ALL SELECT doc_id, flatten(list(w ORDER BY i, k)) FROM run WHERE coalesce(alike, true) GROUP BY doc_id, r HAVING count(*) FILTER (WHERE alike) > 1
   UNION ALL SELECT doc_id, flatten(list(w ORDER BY i, k)) FROM parts GROUP BY doc_id),

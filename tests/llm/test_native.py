@@ -150,16 +150,18 @@ def brute_license(text):
     own = lambda x: re.findall("[a-z0-9]+", x)
     lines = [[own(p) for p in re.split("[.;:!?]+(?:[ \t\r]|$)", x)] for x in t.split("\n")]
     units = [sum(x, []) for x in lines] if len(lines) > 1 else []
+    known = {g for x in licenses.TEMPLATES.values() for g in licenses.bigrams_of(x)}
+    vocabulary = {w for g in known for w in g.split()}
+    like = lambda w: 2 * sum(x in vocabulary for x in w) >= len(w) and 2 * len(grams_of(w) & known) >= len(grams_of(w))
     for x in lines:
         several = [w for w in x if w]
-        units += several if len(several) > 1 else []
+        units += [w for w in several if len(w) > 1 and like(w)] if len(several) > 1 else []
     if re.search("\n[^a-z0-9\n]*\n", t):
         units += [own(p) for p in re.split("\n[^a-z0-9\n]*\n[^a-z0-9]*", t)]
-    known = {g for x in licenses.TEMPLATES.values() for g in licenses.bigrams_of(x)}
     run, alike = [], 0
     for words in [*sum(lines, []), None]:
         grams = grams_of(words or [])
-        if words is None or (grams and 2 * len(grams & known) < len(grams)):
+        if words is None or (grams and not like(words)):
             units += [sum(run, [])] if alike > 1 else []
             run, alike = [], 0
         else:
