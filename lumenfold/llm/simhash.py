@@ -315,7 +315,7 @@ def _fast_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame, frequent: DataFrame, shingle: int) -> DataFrame:
-    """id, n (shingles), key and common: the chosen keys of each set, a written table.
+    """id, n (shingles), key, place (of the key in the order of the set's shingles) and common: the chosen keys of each set, a written table.
 
     While common keys would make many pairs, they are put last and all keys chosen anew, at most ROUNDS times; any order gives the
     same groups.
@@ -339,20 +339,19 @@ def _keys(docs: DataFrame, frequent: DataFrame, shingle: int) -> DataFrame:
 
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
-                    ids, sizes, calm, common = [], [], [], []
+                    ids, sizes, chosen, calm = [], [], [], []
                     for t in batch.column(0).slice(at, 1000).cast(pa.binary()):
                         distinct, name = shingle_set(shingle_hashes(t.as_py() or b"", shingle))
                         keys, n = chosen_keys(distinct, shared.value)
                         ids.append(name)
                         sizes.append(len(distinct))
-                        calm.append(keys[:n].view(np.int64))
-                        common.append(keys[n:].view(np.int64))
-                    lists = [pa.array(x, pa.list_(pa.int64())) for x in (calm, common)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *lists], ["id", "n", "calm", "common"])
+                        chosen.append(keys.view(np.int64))
+                        calm.append(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(chosen, pa.list_(pa.int64())), pa.array(calm, pa.int32())], ["id", "n", "chosen", "calm"])
 
-        rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id bigint, n bigint, calm array<bigint>, common array<bigint>")
-        each = lambda c: F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(c == "common").alias("common")))
-        return written(rows.select("id", "n", F.inline(F.concat(each("calm"), each("common")))).distinct(), "similar-keys")
+        rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id bigint, n bigint, chosen array<bigint>, calm int")
+        each = F.transform("chosen", lambda k, at: F.struct(k.alias("key"), at.alias("place"), (at >= F.col("calm")).alias("common")))
+        return written(rows.select("id", "n", F.inline(each)).distinct(), "similar-keys")
 
     add(frequent.groupBy(F.col("id").alias("key")).agg(F.sum("df").alias("df")).where(F.col("df") > COMMON))
     for _ in range(ROUNDS):
@@ -368,28 +367,33 @@ def _keys(docs: DataFrame, frequent: DataFrame, shingle: int) -> DataFrame:
 
 
 def _rooted(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """id, n, key and root of the keys that more than one component has, a written table."""
-    rooted = keys.select("id", "n", "key").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    """id, n, key, place and root of the keys that more than one component has, a written table."""
+    rooted = keys.select("id", "n", "key", "place").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     return written(rooted.join(open_keys, "key"), "similar-rooted")
 
 
 def _across(rooted: DataFrame, every: bool) -> DataFrame:
-    """Pairs (id, other) of one key that aren't in one component yet and whose sizes allow a similarity of 0.8.
+    """Pairs (id, other) of one key that aren't in one component yet and of which a similarity of 0.8 is possible.
 
-    First each set with a hub of the key, another one for each key. With every, each set outside the key's largest component
-    with all of the key.
+    First each set with a hub of the key, another one for each key, if their sizes allow it. With every, each set outside the key's
+    largest component with all of the key for which the key can be the first shingle that both have: a pair shares none before
+    its first, so of n shingles, place of them before the key, n - place at most are shared, and 9(n - place) >= 4(n + m) bounds the
+    other's size m by the reach (5n - 9 place) / 4, for either side. Any similar pair is met at its first shared key. Sets look
+    up the sizes that a key has within their reach, then the sets of these sizes.
     """
-    fits = F.expr("root != other_root AND 5 * least(n, m) >= 4 * greatest(n, m)")
-    other = [F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")]
     if not every:
+        other = [F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")]
         hubs = rooted.groupBy("key").agg(F.min_by(F.struct(*other), F.xxhash64("id", "key")).alias("hub")).select("key", "hub.*")
-        met = rooted.join(hubs, "key").where(fits)
+        met = rooted.join(hubs, "key").where("root != other_root AND 5 * least(n, m) >= 4 * greatest(n, m)")
     else:
+        rooted = rooted.withColumn("reach", F.expr("(5 * n - 9 * place) div 4"))
         sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
         largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-        side = rooted.join(largest, "key").where("root != main").select("key", *other)
-        met = rooted.join(side, "key").where(fits)
+        side = rooted.join(largest, "key").where("root != main")
+        spread = rooted.groupBy("key", F.col("n").alias("m")).agg(F.max("reach").alias("far"))
+        looked = side.join(spread, "key").where("m <= reach AND n <= far").select("key", "m", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+        met = rooted.withColumnRenamed("n", "m").join(looked, ["key", "m"]).where("root != other_root AND other_n <= reach")
     return met.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other"))
 
 
@@ -403,7 +407,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     uncertain bits, where alike texts differ, and meet their neighbours there.
 
     That joins most of each group. The rest is complete but for a chance of MISS for each pair: any two similar sets share one of
-    their chosen keys, and those that do and aren't in one component yet are compared, first with a hub of the key, then all.
+    their chosen keys, and those that do and aren't in one component yet are compared, first with a hub of the key, then all for
+    which the key can be the first that both have.
     """
     ship(docs.sparkSession)
     table = written(_marked(docs, shingle), "similar-fp")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from lumenfold.llm import components, simhash
@@ -116,6 +117,49 @@ def test_similar_groups_miss_no_pair_beside_a_shared_passage(spark):
     assert keepers == {i: i - i % 2 for i in range(400)}
 
 
+def edited(words, rng, times, kinds):
+    words = list(words)
+    for _ in range(times):
+        at = rng.randrange(len(words))
+        words[at : at + 1] = {"change": [f"w{rng.random()}"], "drop": [], "add": [words[at], f"w{rng.random()}"]}[rng.choice(kinds)]
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("kinds", [("change",), ("change", "drop", "add")])
+def test_similar_groups_of_a_cloud_equal_brute_force_without_all_its_pairs(spark, monkeypatch, kinds):
+    rng = random.Random(9)
+    base = prose(90, 150).split()
+    texts = [edited(base, rng, rng.randint(1, 9), kinds) for _ in range(600)]
+    met = []
+    write = simhash.written
+
+    def seen(df, label):
+        out = write(df, label)
+        if label == "similar-met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", seen)
+    keepers = {r.doc_id: r.keeper for r in simhash.similar_groups(frame(spark, texts)).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 9 * shared >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert keepers == {i: find(i) for i in range(len(sets))}
+    assert 100 < len({*keepers.values()}) < 500  # many are similar to others, many to none
+    assert met[-1] < 10 * len(texts)  # pairs compared at the end
+
+
 def test_dedup_of_hard_rows(spark):
     docs = frame(spark, HARD)
     kept = simhash.deduplicated(docs.union(docs.where("doc_id IN (3, 14)")))  # rows repeated with their id
