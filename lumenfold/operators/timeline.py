@@ -95,16 +95,15 @@ def coverage_sample(rows: DataFrame, key: str, ord_: str, count: int) -> DataFra
 def nearest_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_ord: str) -> DataFrame:
     """Each left row with the right row of its key nearest in time, whatever the distance; the smallest ordinal among equals.
 
-    One sort of both sides by key and time finds the neighbours before and after: no pairs of a key are formed.
+    A sort of both sides by key and time finds the neighbour before, and one in reverse the neighbour after: no pairs of a key
+    are formed, and both frames run on from row to row (one that ends at a key's last row would be read anew for each).
     """
     names = [c for c in right.columns if c != key]
     once = right.groupBy(key, right_time).agg(F.min_by(F.struct(*names), right_ord).alias("_r"))
     a = left.select(key, F.struct(*left.columns).alias("_l"), F.lit(None).cast(once.schema["_r"].dataType).alias("_r"), F.col(left_time).cast("double").alias("_t"), F.lit(1).alias("_side"))
     b = once.select(key, F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), "_r", F.col(right_time).cast("double").alias("_t"), F.lit(0).alias("_side"))
-    order = Window.partitionBy(key).orderBy("_t", "_side")
-    both = a.unionByName(b).withColumns({
-        "_before": F.last("_r", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_after": F.first("_r", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))}).where("_side = 1")
+    latest = lambda *order: F.last("_r", True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = a.unionByName(b).withColumns({"_before": latest("_t", "_side"), "_after": latest(F.desc("_t"), F.desc("_side"))}).where("_side = 1")
     away = lambda c: F.abs(F.col(f"{c}.{right_time}").cast("double") - F.col("_t"))
     second = F.col("_before").isNull() | (away("_after") < away("_before")) | ((away("_after") == away("_before")) & (F.col(f"_after.{right_ord}") < F.col(f"_before.{right_ord}")))
     best = F.when(second & F.col("_after").isNotNull(), F.col("_after")).otherwise(F.col("_before"))

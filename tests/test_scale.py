@@ -44,6 +44,16 @@ def test_folds_take_nulls_and_empty_tables(spark):
     assert timeline.object_tracks(boxes.limit(0)).count() == 0
 
 
+def test_nearest_join_reads_no_frame_anew_for_each_row(spark):
+    left = [(k, 10 * n + i, None if i == 7 else float(i * 5 % 13)) for n, k in enumerate(("a", "b", "c")) for i in range(9)]
+    right = [("a", i, float(i * 3 % 11)) for i in range(40)] + [("a", 50, None), ("b", 60, 6.0)]
+    df = timeline.nearest_join(spark.createDataFrame(left, "k string, probe int, t double"), spark.createDataFrame(right, "k string, ord int, time_sec double"), "k", "t", "time_sec", "ord")
+    assert "unboundedfollowing" not in plan(df).lower()
+    got = {r.probe: r.ord for r in df.where("t IS NOT NULL").collect()}
+    best = lambda k, t: min(((abs(x - t), o) for kk, o, x in right if kk == k and x is not None), default=(0, None))[1]
+    assert got == {p: best(k, t) for k, p, t in left if t is not None}
+
+
 def test_shards_are_even_and_number_no_whole_group(spark, items):
     dealt = sampling.shards(items, "video_id", "ord", 4)
     counts = dealt.groupBy("video_id", "shard").count().collect()
