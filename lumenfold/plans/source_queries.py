@@ -5,6 +5,7 @@ Files that a query reads are first written from a table to the shared folder; th
 
 from __future__ import annotations
 
+import math
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -190,9 +191,12 @@ def resampled_audio(spark, sf_dir):
 
 
 def audio_spectrum(spark, sf_dir):
-    """A tone of eight samples a period, as loud as its part's number says."""
-    x = F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda k: (F.col("p_size") / 50.0) * F.sin(k * 2 * 3.141592653589793 / 8))
-    out = timeline.spectrum_summary(table(spark, sf_dir, "part").where("p_size IS NOT NULL").select(F.col("p_partkey").cast("string").alias("clip_id"), x.alias("samples")))
+    """A tone of eight samples a period, as loud as its part's number says. Parts are dealt anew, as a few bytes of each become
+    16 KB of samples: the splits of their file are too few."""
+    tone = F.lit([math.sin(k * 2 * math.pi / 8) for k in range(2048)])
+    parts = table(spark, sf_dir, "part").where("p_size IS NOT NULL").select("p_partkey", "p_size").repartition("p_partkey")
+    x = F.transform(tone, lambda s: F.col("p_size") / 50.0 * s)
+    out = timeline.spectrum_summary(parts.select(F.col("p_partkey").cast("string").alias("clip_id"), x.alias("samples")))
     return out.select("clip_id", F.round("rms", 5).alias("rms"), F.get("top_hz", F.lit(0)).alias("loudest"))
 
 

@@ -2,11 +2,13 @@
 
 import html
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import unescaped
 from lumenfold.operators import sampling, timeline
+from lumenfold.plans import catalog
 from lumenfold.sources import media
 from lumenfold.streaming import runner
 
@@ -54,6 +56,24 @@ def test_nearest_join_reads_no_frame_anew_for_each_row(spark):
     assert got == {p: best(k, t) for k, p, t in left if t is not None}
 
 
+def test_spectra_stay_arrays_and_parts_are_dealt(spark):
+    draw = np.random.default_rng(5)
+    cells = [draw.normal(size=n).tolist() for n in (0, 300, 1024, 1500, 1500, 1600, 2048)] + [None, [1.0, None, 2.0], [0.0] * 1100] + [draw.normal(size=1100).tolist() for _ in range(600)]
+    clips = spark.createDataFrame([(f"c{i}", c) for i, c in enumerate(cells)], "clip_id string, samples array<double>").coalesce(1)
+    df = timeline.spectrum_summary(clips)
+    assert "MapInArrow" in plan(df) and "MapInPandas" not in plan(df)
+    got = {r.clip_id: r for r in df.collect()}
+    assert len(got) == len(cells)
+    for i, c in enumerate(cells):
+        x = np.asarray([] if c is None else c, dtype=np.float64)
+        frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, (0, max(0, 1024 - len(x)))), 1024)[::512] * np.hanning(1024)
+        magnitude = np.abs(np.fft.rfft(frames, axis=1))
+        r = got[f"c{i}"]
+        assert r.top_hz == (np.argsort(-magnitude.mean(axis=0), kind="stable")[:5] * 16000.0 / 1024).tolist()
+        assert np.allclose([r.log_magnitude, r.rms], [np.log1p(magnitude).mean(), np.sqrt((x**2).mean()) if len(x) else 0.0], equal_nan=True)
+    assert "hashpartitioning(p_partkey" in plan(catalog.queries()["audio_spectrum"](spark, "/root/testdata/sf0.001"))
+
+
 def test_shards_are_even_and_number_no_whole_group(spark, items):
     dealt = sampling.shards(items, "video_id", "ord", 4)
     counts = dealt.groupBy("video_id", "shard").count().collect()
