@@ -31,14 +31,18 @@ def done_keys(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def read_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of a whitespace-separated list with their position, from 0. Lines are numbered within their split, splits by their counts."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.filter(F.split("value", r"\s+"), lambda w: w != "").alias("words"))
-    words = lines.select("line", F.shiftright("line", 33).alias("split"), F.posexplode("words").alias("at", "record_key"))
-    counts = words.groupBy("split").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("split"))  # a row for each split only
-    before = counts.select("split", (upto - F.col("n")).alias("before"))
-    placed = words.withColumn("k", F.row_number().over(Window.partitionBy("split").orderBy("line", "at")) - 1)
-    return placed.join(before, "split").select("record_key", (F.col("k") + F.col("before")).cast("int").alias("position"))
+    """Keys of whitespace-separated lists with their position, from 0; files follow one another by name.
+
+    Words are numbered as they are read, so none is shuffled or sorted: a word's position is its place in its task, less the
+    place of the first word of its split, plus the words of all splits before. There is one row for each split, as in the scan's own plan.
+    """
+    words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), words.alias("words"))
+    placed = lines.select("file", "start", F.explode("words").alias("record_key")).withColumn("place", F.monotonically_increasing_id())
+    splits = placed.groupBy("file", "start").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file", "start"))
+    shifts = splits.select("file", "start", (upto - F.col("n") - F.col("first")).alias("shift"))
+    return placed.join(F.broadcast(shifts), ["file", "start"]).select("record_key", (F.col("place") + F.col("shift")).cast("int").alias("position"))
 
 
 def read_parts(spark: SparkSession, paths: list[str] | str) -> DataFrame:

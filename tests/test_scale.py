@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.text import unescaped
 from lumenfold.operators import sampling, timeline
 from lumenfold.plans import catalog
-from lumenfold.sources import media
+from lumenfold.sources import media, records
 from lumenfold.streaming import runner
 
 
@@ -74,6 +74,20 @@ def test_spectra_stay_arrays_and_parts_are_dealt(spark):
     assert "hashpartitioning(p_partkey" in plan(catalog.queries()["audio_spectrum"](spark, "/root/testdata/sf0.001"))
 
 
+def test_key_lists_of_many_files_and_splits_are_numbered_without_a_sort(spark, tmp_path):
+    texts = {"a": "k0\n", "b": "".join(f" b{i}\tc{i}\n" + "\n" * (i % 3) for i in range(900)), "c": "", "d": "d0 d1\n\n  d2\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        df = records.read_keys(spark, str(tmp_path))
+        assert "row_number" not in plan(df)
+        got = sorted((r.position, r.record_key) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate(" ".join(texts.values()).split()))
+
+
 def test_shards_are_even_and_number_no_whole_group(spark, items):
     dealt = sampling.shards(items, "video_id", "ord", 4)
     counts = dealt.groupBy("video_id", "shard").count().collect()
