@@ -80,11 +80,12 @@ def with_failover(models: list[Callable[[dict, int], str]], dead: Callable[[Exce
     return answer
 
 
-def evaluate(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, answer: Callable[[dict, int], str], files_per_batch: int = 1, tokens: int = 512, retries: int = 3) -> StreamingQuery:
+def evaluate(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, answer: Callable[[dict, int], str], files_per_batch: int = 1, tokens: int = 512, retries: int = 3, buckets: int = 1 << 12) -> StreamingQuery:
     """Evaluate the JSON items under source whose key has no completed record under sink, a few files at a time, till none is new.
 
-    The sink is read once, at the start, for its finished keys; those that finish later are the query's state, so a batch costs
-    its own items. A key that failed is tried again when it comes again.
+    The sink is read once, at the start, for its finished keys; those that finish later are the query's state, by buckets of keys,
+    as a call for each key would cost far more than the key. A batch costs its own items and the keys of the buckets that they
+    fall into. A checkpoint keeps its number of buckets. A key that failed is tried again when it comes again.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -95,19 +96,25 @@ def evaluate(spark: SparkSession, source: str, schema: str, sink: str, checkpoin
     known = spark.read.schema("record_key string").parquet(finished).withColumn("_finished", F.lit(True))
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        todo = not state.exists
+        finished = list(state.get[0]) if state.exists else []
+        seen, before = set(finished), len(finished)
         for pdf in batches:
-            if todo and len(pdf):
-                row = _answered(pdf.to_dict("records")[0], answer, tokens, retries)
-                if row[1] == "completed":
-                    state.update((True,))
-                todo = False
-                yield pd.DataFrame([row], columns=COLUMNS)
+            rows = []
+            for item in pdf.drop(columns="_bucket").to_dict("records"):
+                if item["record_key"] in seen:
+                    continue
+                seen.add(item["record_key"])
+                rows.append(_answered(item, answer, tokens, retries))
+                if rows[-1][1] == "completed":
+                    finished.append(item["record_key"])
+            yield pd.DataFrame(rows, columns=COLUMNS)
+        if len(finished) > before:
+            state.update((finished,))
 
     ship(spark)
     items = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
-    fresh = items.join(known, "record_key", "left").where("_finished IS NULL").drop("_finished")
-    results = fresh.groupBy("record_key").applyInPandasWithState(step, RESULT, "finished boolean", "append", GroupStateTimeout.NoTimeout)
+    fresh = items.join(known, "record_key", "left").where("_finished IS NULL").drop("_finished").withColumn("_bucket", F.pmod(F.xxhash64("record_key"), F.lit(buckets)))
+    results = fresh.groupBy("_bucket").applyInPandasWithState(step, RESULT, "finished array<string>", "append", GroupStateTimeout.NoTimeout)
     write = lambda rows, _: rows.write.mode("append").json(sink)
     return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -124,3 +124,23 @@ def test_a_batch_of_the_stream_does_not_read_the_sink(spark, tmp_path):
     spark.createDataFrame([("b", "3"), ("c", "4")], "record_key string, x string").write.mode("append").json(source)
     runner.evaluate(spark, source, "record_key string, x string", sink, f"{tmp_path}/state", answer).awaitTermination()
     assert sorted((r.record_key, r.response) for r in spark.read.schema(runner.RESULT).json(sink).collect()) == [("a", "0"), ("b", "2"), ("c", "4")]
+
+
+def test_the_stream_keeps_finished_keys_by_bucket(spark, tmp_path):
+    source, sink = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def answer(item, tokens):
+        if item["x"] == "bad":
+            raise ValueError("no answer")
+        return ",".join(sorted(item)) + item["x"]
+
+    keys = [f"k{i}" for i in range(30)] + [None]
+    for rows in ([(k, "bad" if k == "k3" else "1") for k in keys + keys], [(k, "2") for k in [*keys, "new"]]):
+        spark.createDataFrame(rows, "record_key string, x string").coalesce(1).write.mode("append").json(source)
+        query = runner.evaluate(spark, source, "record_key string, x string", sink, f"{tmp_path}/state", answer, buckets=2)
+        query.awaitTermination()
+    got = [(r.record_key, r.status, r.response) for r in spark.read.schema(runner.RESULT).json(sink).collect()]
+    fields = "record_key,x"
+    want = [(k, "completed", fields + "1") for k in keys if k != "k3"] + [("k3", "failed", None), ("k3", "completed", fields + "2"), ("new", "completed", fields + "2")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
