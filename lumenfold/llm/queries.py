@@ -11,7 +11,7 @@ from lumenfold.llm.language_crf import op9_language_id
 from lumenfold.llm.licenses import op5_license_scan, op5_sql
 from lumenfold.llm.mixing import op3_source_mixing
 from lumenfold.llm.pii import op10_pii
-from lumenfold.llm.quality import op2_quality_rules
+from lumenfold.llm.quality import base_counts, op2_quality_rules
 from lumenfold.llm.secret_scan import op8_secret_scan
 from lumenfold.llm.simhash import op6_simhash_dedup
 from lumenfold.llm.token_counts import op7_token_counts
@@ -40,7 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pii": _over(op10_pii, "documents"),
         # the columns of four operators that SQL can express
         "url_rules": _columns(op1_url_filter, "pages", "page_id", "host", "path", "rule"),
-        "quality_base_counts": _columns(op2_quality_rules, "documents", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
+        "quality_base_counts": _columns(base_counts, "documents", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
         "secret_base_spans": _columns(op8_secret_scan, "documents", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
         "personal_base_spans": _columns(op10_pii, "documents", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"),
     }

@@ -83,3 +83,10 @@ def test_small_and_empty_tables(spark):
     few = quality.op2_quality_rules(frame(spark, [prose(1, 50), None])).collect()
     assert [(r.doc_id, r.kept, r.distance) for r in few] == [(0, True, None), (1, False, None)]
     assert math.isclose(quality.CHI_MEDIAN, 3.3567, abs_tol=1e-3)
+
+
+def test_base_counts_equal_those_of_quality_in_one_pass(spark):
+    docs = spark.createDataFrame([(i, "en", "web", " ".join(["word", "other#", "more"] * (i % 9))) for i in range(60)] + [(99, None, None, None)], "doc_id bigint, lang string, source string, text string")
+    counts = quality.base_counts(docs)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(counts.collect()) == sorted(quality.quality(docs).select(*counts.columns).collect())
